@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heliospark.llm import decontaminate, quality_rules, url_filter
+from heliospark.llm import decontaminate, packing, pii, quality_rules, secrets, url_filter
 from heliospark.llm.shared import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": lambda s, d: secrets.report(table(s, d, "documents")),
         "op3_url_filter": lambda s, d: url_filter.report(table(s, d, "pages"), table(s, d, "labels")),
         "op4_decontaminate": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
         "op7_quality_rules": lambda s, d: quality_rules.report(table(s, d, "documents")),
+        "op8_pack": lambda s, d: packing.pack(table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+        "op10_pii": lambda s, d: pii.report(table(s, d, "documents")),
     }
 
 
