@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heliospark.llm import decontaminate, packing, pii, quality_rules, secrets, url_filter
+from heliospark.llm import decontaminate, jaccard_join, packing, pii, quality_rules, secrets, url_filter
 from heliospark.llm.shared import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": lambda s, d: jaccard_join.report(table(s, d, "documents")),
         "op2_secrets": lambda s, d: secrets.report(table(s, d, "documents")),
         "op3_url_filter": lambda s, d: url_filter.report(table(s, d, "pages"), table(s, d, "labels")),
         "op4_decontaminate": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
