@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heliospark.llm import decontaminate, jaccard_join, packing, pii, quality_rules, secrets, url_filter
+from heliospark.llm import decontaminate, jaccard_join, kneser_ney, lm_score, packing, pii, quality_rules, secrets, token_counts, url_filter
 from heliospark.llm.shared import table
 
 
@@ -17,8 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": lambda s, d: secrets.report(table(s, d, "documents")),
         "op3_url_filter": lambda s, d: url_filter.report(table(s, d, "pages"), table(s, d, "labels")),
         "op4_decontaminate": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op5_token_counts": lambda s, d: token_counts.count_tokens(table(s, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
+        "op6_lm_score": lambda s, d: lm_score.score(table(s, d, "documents")),
         "op7_quality_rules": lambda s, d: quality_rules.report(table(s, d, "documents")),
         "op8_pack": lambda s, d: packing.pack(table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+        "op9_kneser_ney": lambda s, d: kneser_ney.report(table(s, d, "documents"), table(s, d, "labels")),
         "op10_pii": lambda s, d: pii.report(table(s, d, "documents")),
     }
 

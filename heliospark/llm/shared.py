@@ -30,7 +30,7 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
