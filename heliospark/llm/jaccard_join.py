@@ -2,15 +2,17 @@
 
 The global order of shingles is that of their hashes. It is cut into fragments, and a set is the sequence of
 its parts in them. Two sets with 100 * intersection >= percent * union differ in at most
-D = (100 - percent) * (sum of sizes) / (100 + percent) shingles, so of D + 1 + r fragments at least r + 1 agree
-in both; a set with at most r empty fragments therefore agrees with each partner in a fragment that is not
-empty. A set with more also sends its empty fragments, which meet those of other such sets alone. Fragments
-are cut by size class, and a set joins its own class and those above that may hold a partner.
-
-1. Equal sets become one node. 2. Nodes that agree in a fragment are candidates; their connected components
-are clusters. 3. Sets of a cluster meet in blocks of bounded size, where overlaps are counted fragment by
-fragment and summed per pair; a block returns a spanning forest of its links. 4. Components of these are the
-result. No pair is a row anywhere but where it is a link of a forest.
+D = (100 - percent) * (sum of sizes) / (100 + percent) shingles, so of K fragments K - D at least agree in both.
+Each set is cut by size class (K is about 1.5 D of the largest sets of a class), in its own class and in those
+above that may hold a partner.
+
+1. Equal sets become one node. 2. Each node's fragments meet those of all others. A node that shares fewer
+than K - D fragments with anyone (its own D, less its empty fragments) has no partner and leaves; so do most
+that share a passage and nothing else. A set with so many empty fragments that the bound says nothing sends
+them too, and stays. What is left and shares a fragment is tied, and connected components are clusters.
+3. Sets of a cluster meet in blocks of bounded size, where overlaps are counted fragment by fragment and
+summed per pair; a block returns a spanning forest of its links. 4. Components of these are the result. No
+pair is a row anywhere but where it is a link of a forest.
 
 Defined cases: a null text is empty; a text without words has an empty set and is linked with nothing; a text
 of fewer words than a shingle is one shingle; rows of one doc_id are one document; a null doc_id takes part in
@@ -65,8 +67,8 @@ def differences(percent: int, both: int) -> int:
     return (100 - percent) * both // (100 + percent)
 
 
-def size_class(n: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """(class, fragments, spare ones, differences) for the classes that a set of n shingles joins."""
+def size_class(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(class, fragments, agreeing ones that a partner needs) for the classes that a set of n shingles joins."""
     out, low, k = [], 1, 0
     while True:
         high = max(low, int(low * RATIO))
@@ -74,26 +76,27 @@ def size_class(n: int, percent: int) -> list[tuple[int, int, int, int]]:
             return out
         d = differences(percent, 2 * high)
         if n <= high and d:
-            spare = 1 + ceil(0.04 * d)
-            out.append((k, d + 1 + spare, spare, d))
+            fragments = d + 2 + ceil(d / 2)
+            out.append((k, fragments, fragments - differences(percent, n + min(high, 100 * n // percent))))
         low, k = high + 1, k + 1
 
 
-def signatures(s: np.ndarray, classes: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """One hash for each fragment of each class that is not empty, and for the empty ones of sparse sets."""
+def signatures(s: np.ndarray, classes: list[tuple[int, int, int]]) -> list[tuple[int, int, np.ndarray]]:
+    """For each class, (class, how many must be shared, a hash for each fragment); empty fragments are sent only where so many are empty that none that is not need agree."""
     out = []
-    scalar = lambda x: np.uint64((k + 1) * int(x) % 2**64)
     marked = H.mix(s * H.ODD[5])
     top = s >> np.uint64(32)
-    for k, fragments, spare, _ in classes:
+    for k, fragments, need in classes:
+        scalar = lambda x: np.uint64((k + 1) * int(x) % 2**64)  # noqa: B023, E731
         at = ((top * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)  # not falling, as s is sorted
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        place = at[first].astype(np.uint64) * H.ODD[1] + scalar(H.ODD[2])
-        out.append(H.mix(np.add.reduceat(marked, first) * H.ODD[3] + place))
-        if fragments - len(first) > spare:
+        sigs = H.mix(np.add.reduceat(marked, first) * H.ODD[3] + at[first].astype(np.uint64) * H.ODD[1] + scalar(H.ODD[2]))
+        need -= fragments - len(first)
+        if need < 1:
             empty = np.setdiff1d(np.arange(fragments), at[first]).astype(np.uint64)
-            out.append(H.mix(empty * H.ODD[4] + scalar(H.ODD[7])))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            sigs, need = np.r_[sigs, H.mix(empty * H.ODD[4] + scalar(H.ODD[7]))], 1
+        out.append((k, need, sigs))
+    return out
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
@@ -111,77 +114,89 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, fp2 long")
 
 
-def candidate_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): nodes that agree in a fragment, as each shard's spanning forest."""
+def shared_fragments(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, node, cls, need): the fragments that some other node shares, per node and class."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_size: dict[int, list] = {}
 
-    def send(nodes: list[int], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def send(members: list[tuple[int, int, int]], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not sigs:
             return
-        all_sigs = np.concatenate(sigs)
-        owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(x) for x in sigs])
-        order = np.argsort(all_sigs)
-        all_sigs, owner = all_sigs[order], owner[order]
-        # of the nodes of a task that agree in a fragment, one stands for all in the shuffle; the others are tied to it here
-        same = np.r_[False, all_sigs[1:] == all_sigs[:-1]]
-        ties = np.unique(np.stack([owner[1:][same[1:]], owner[:-1][same[1:]]]), axis=1) if same.any() else np.zeros((2, 0), np.uint32)
-        all_sigs, owner = all_sigs[~same], owner[~same]
-        shard = ((all_sigs >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        ids = np.array(nodes, np.int64)
+        sig = np.concatenate(sigs)
+        owner = np.repeat(np.arange(len(members), dtype=np.uint32), [len(x) for x in sigs])
+        order = np.argsort(sig)
+        sig, owner = sig[order], owner[order]
+        # what a task's own nodes share is known here; one of them goes on, marked as counted, to meet other tasks'
+        again = np.r_[False, sig[1:] == sig[:-1]]
+        known = again | np.r_[again[1:], False]
+        table = np.array(members, np.int64)
         rows: list[tuple] = []
-        for k in range(shards):
-            if cut[k] < cut[k + 1]:
-                used, at = np.unique(owner[cut[k] : cut[k + 1]], return_inverse=True)
-                rows.append((k, ids[used].tobytes(), all_sigs[cut[k] : cut[k + 1]].tobytes(), at.astype(np.uint32).tobytes()))
-        for i in range(0, ties.shape[1], 100_000):
-            t = ties[:, i : i + 100_000]
-            rows.append((i // 100_000 % shards, ids[t[0]].tobytes(), b"", ids[t[1]].tobytes()))
+
+        def row(shard: int, where: np.ndarray, counted: int) -> None:
+            used, at = np.unique(owner[where], return_inverse=True)
+            rows.append((shard, counted, table[used].tobytes(), sig[where].tobytes(), at.astype(np.uint32).tobytes()))
+
+        at = np.flatnonzero(known)
+        for i in range(0, len(at), 100_000):
+            row(i // 100_000 % shards, at[i : i + 100_000], 2)
+        for counted, mask in ((0, ~known), (1, known & ~again)):
+            at = np.flatnonzero(mask)
+            shard = ((sig[at] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+            cut = np.searchsorted(shard, np.arange(shards + 1))
+            for k in range(shards):
+                if cut[k] < cut[k + 1]:
+                    row(k, at[cut[k] : cut[k + 1]], counted)
         for i in range(0, len(rows), 64):
             c = list(zip(*rows[i : i + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["shard", "nodes", "sigs", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["shard", "counted", "members", "sigs", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, sigs, held, seen = [], [], 0, set()
+        members, sigs, held, seen = [], [], 0, set()
         for whole in batches:
             for b in parts(whole, 0):
                 for s in sets_of(b.column(0), size):
                     if len(s) and (fp := fingerprint(s)[0]) not in seen:
+                        seen.add(fp)
                         if len(s) not in by_size:
                             by_size[len(s)] = size_class(len(s), percent)
-                        sig = signatures(s, by_size[len(s)])
-                        seen.add(fp)
-                        if len(sig):
-                            nodes.append(fp)
+                        for k, need, sig in signatures(s, by_size[len(s)]):
+                            members.append((fp, k, need))
                             sigs.append(sig)
                             held += len(sig)
                 if held > HELD:
-                    yield from send(nodes, sigs)
-                    nodes, sigs, held, seen = [], [], 0, set()
-        yield from send(nodes, sigs)
+                    yield from send(members, sigs)
+                    members, sigs, held, seen = [], [], 0, set()
+        yield from send(members, sigs)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ties = pdf["sigs"].map(len) == 0
-        a, b = [], []
-        for x, y in zip(pdf["nodes"][ties], pdf["at"][ties], strict=True):
-            a.append(np.frombuffer(x, np.int64))
-            b.append(np.frombuffer(y, np.int64))
-        pdf = pdf[~ties]
-        if len(pdf):
-            sig = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["sigs"]])
-            node = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(y, np.uint32)] for x, y in zip(pdf["nodes"], pdf["at"], strict=True)])
-            order = np.argsort(sig, kind="stable")
-            sig, node = sig[order], node[order]
-            same = np.flatnonzero(sig[1:] == sig[:-1])
-            a.append(node[same])
-            b.append(node[same + 1])
-        a, b = np.concatenate(a), np.concatenate(b)
-        roots = forest(a[a != b], b[a != b])
-        return pd.DataFrame({"a": list(roots), "b": list(roots.values())}, dtype="int64")
-
-    d = docs.select("text").mapInArrow(run, "shard int, nodes binary, sigs binary, at binary")
-    return d.groupBy("shard").applyInPandas(meet, "a long, b long").distinct()
+        sig = [np.frombuffer(x, np.uint64) for x in pdf["sigs"]]
+        member = [np.frombuffer(x, np.int64).reshape(-1, 3)[np.frombuffer(y, np.uint32)] for x, y in zip(pdf["members"], pdf["at"], strict=True)]
+        counted = np.repeat(pdf["counted"].to_numpy(), [len(x) for x in sig])
+        sig, member = np.concatenate(sig), np.concatenate(member)
+        out = counted == 2
+        rest = np.flatnonzero(~out)
+        if len(rest):
+            rest = rest[np.lexsort((member[rest, 0], sig[rest]))]
+            new = np.r_[True, sig[rest][1:] != sig[rest][:-1]]
+            group = np.cumsum(new) - 1
+            # equal sets of several tasks are one node: they share nothing with themselves
+            nodes = np.bincount(group, weights=new | np.r_[True, member[rest, 0][1:] != member[rest, 0][:-1]])
+            out[rest[(nodes[group] > 1) & (counted[rest] == 0)]] = True
+        m = member[out]
+        return pd.DataFrame({"sig": sig[out].view(np.int64), "node": m[:, 0], "cls": m[:, 1].astype(np.int32), "need": m[:, 2].astype(np.int32)})
+
+    d = docs.select("text").mapInArrow(run, "shard int, counted int, members binary, sigs binary, at binary")
+    return d.groupBy("shard").applyInPandas(meet, "sig long, node long, cls int, need int")
+
+
+def candidate_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): nodes that share a fragment and may have a partner."""
+    shared = stored(shared_fragments(docs, size, percent))
+    # a node may come from several tasks, so its fragments are counted once each
+    able = shared.groupBy("node", "cls").agg(F.count_distinct("sig").alias("n"), F.max("need").alias("need")).where("n >= need").select("node", "cls")
+    kept = stored(shared.join(able, ["node", "cls"]).select("sig", "node"))
+    first = kept.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("sig", "b")
+    return kept.join(first, "sig").where("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
