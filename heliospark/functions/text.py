@@ -14,7 +14,7 @@ def _squeeze(text: Column) -> Column:
 
 
 def fold(text: Column, punctuation: str = KEEP_UNDERSCORE) -> Column:
-    """Lower case, Kazakh letters as their Russian neighbours, no street words, no punctuation."""
+    """Lower case, Kazakh letters as their Russian neighbours, no street words, no punctuation. Letters come first, so a street word with Kazakh letters of its own stays, as Russian ones."""
     out = F.translate(F.lower(text), "".join(KAZAKH_TO_RUSSIAN), "".join(KAZAKH_TO_RUSSIAN.values()))
     for word in STREET_WORDS:
         out = F.replace(out, F.lit(word), F.lit(" "))

@@ -86,5 +86,5 @@ def score(edges: DataFrame, parts: DataFrame, stamps: DataFrame, cell: float = 6
     night = stamps.select("stamp").join(parts.select("stamp").distinct(), "stamp", "left_anti").withColumn("night", F.lit(True))
     whole = edges.select("edge_id", geo.line_length(F.col("coords")).alias("length"))
     all_rows = whole.crossJoin(F.broadcast(stamps.select("stamp").join(night, "stamp", "left")))  # some dozens of stamps
-    shade = F.when(F.col("night"), 1.0).otherwise(F.coalesce(F.least(F.lit(1.0), F.try_divide("dark", "length")), F.lit(0.0)))
+    shade = F.when(F.col("night"), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide("dark", "length"), F.lit(0.0))))
     return all_rows.join(sums, ["stamp", "edge_id"], "left").select("stamp", "edge_id", shade.cast("float").alias("shade"))

@@ -73,8 +73,9 @@ def lon_lat(point: Column) -> Column:
 def simplified(ring: Column, tolerance: float = SIMPLIFY) -> Column:
     """A ring without corners that lie closer than the tolerance to the corner kept before them; the first and the last stay."""
     near = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])) < tolerance
-    kept = F.aggregate(ring, F.slice(ring, 1, 1), lambda acc, p: F.when(near(F.element_at(acc, -1), p), acc).otherwise(F.concat(acc, F.array(p))))
-    return F.when(F.size(kept) >= 3, F.concat(kept, F.slice(ring, 1, 1))).otherwise(ring)
+    open_ring = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1)))
+    kept = F.aggregate(open_ring, F.slice(ring, 1, 1), lambda acc, p: F.when(near(F.element_at(acc, -1), p), acc).otherwise(F.concat(acc, F.array(p))))
+    return F.when(F.size(kept) >= 3, F.concat(kept, F.slice(ring, -1, 1))).otherwise(ring)
 
 
 def polygon_features(parts: DataFrame, properties: list[str]) -> DataFrame:
