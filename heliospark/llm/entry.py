@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heliospark.llm import decontaminate, jaccard_join, kneser_ney, lm_score, packing, pii, quality_rules, secrets, token_counts, url_filter
+from heliospark.llm import decontaminate, jaccard_join, kneser_ney, lm_score, oracles, packing, pii, quality_rules, secrets, token_counts, url_filter
 from heliospark.llm.shared import table
 
 
@@ -27,4 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries hold fitted models, spans of a lexer or a field, or a packing."""
+    return {"op1_jaccard_join": oracles.OP1, "op3_url_filter": oracles.OP3, "op4_decontaminate": oracles.OP4}
