@@ -45,6 +45,12 @@ def quadkey(lat: Column, lon: Column, zoom: int) -> Column:
     return F.array_join(digits, "")
 
 
+def tiles_over(south: float, west: float, north: float, east: float, zoom: int) -> Column:
+    """Sorted names of the tiles that a box's corners, edge middles and centre lie in."""
+    mid = lambda a, b: (a, (a + b) / 2, b)
+    return F.array_sort(F.array_distinct(F.array(*[quadkey(F.lit(a), F.lit(o), zoom) for a in mid(south, north) for o in mid(west, east)])))
+
+
 # Transverse Mercator by Krüger's series, fourth order in the third flattening of WGS 84
 
 _F = 1 / 298.257223563

@@ -96,6 +96,18 @@ def write_features(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").text(path)
 
 
+def valid_canopy(canopy: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """canopy(rings, height_m, height_source) that a map can show: closed rings of at least four corners, an area, a height, inside the box (x0, y0, x1, y1). None at all is an error."""
+    from heliospark.functions.geo import polygon_area
+
+    inside = F.forall(F.flatten("rings"), lambda p: p["x"].between(box[0], box[2]) & p["y"].between(box[1], box[3]))
+    closed = F.forall("rings", lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
+    out = canopy.where((F.size("rings") > 0) & closed & inside & (F.col("height_m") > 0)).where(polygon_area(F.col("rings")) > 0)
+    if not out.limit(1).count():
+        raise ValueError("no canopy is valid")
+    return out
+
+
 FOLD_RULES = {"chars": KAZAKH_TO_RUSSIAN, "strip": STREET_WORDS, "translit": LATIN, "collapse": [list(p) for p in COLLAPSE]}
 
 

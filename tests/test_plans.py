@@ -209,3 +209,51 @@ def test_weather_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["feels"] for r in spark.table("w").collect()] == [6.0]
+
+
+def test_weather_days(spark):
+    from heliospark.plans.policy import WeatherDays, for_day
+
+    now, calls, today = [0.0], [], dt.date(2026, 10, 1)
+
+    def fetch(date):
+        calls.append(date)
+        if date == today + dt.timedelta(1):
+            raise OSError
+        return [(12, 4.0, 0.0, 0.0)]
+
+    w = WeatherDays(fetch, lambda: today, lambda: now[0])
+    assert w.day(today) == w.day(today) and len(calls) == 1
+    now[0] = 1801
+    w.day(today)
+    assert len(calls) == 2 and w.day(today + dt.timedelta(16)) == [] and w.day(today - dt.timedelta(2)) == [] and len(calls) == 2
+    assert w.day(today + dt.timedelta(1)) == [] and w.day(today + dt.timedelta(1)) == [] and len(calls) == 3
+    now[0] += 61
+    w.day(today + dt.timedelta(1))
+    assert len(calls) == 4
+    got = {r["stamp"]: r["preference"] for r in for_day(spark, w, today, ["12:00", "13:00"]).collect()}
+    assert (got["12:00"]["reason"], got["12:00"]["provider"], got["13:00"]["reason"], got["13:00"]["provider"]) == ("cold", "forecast", "seasonal_fallback", None)
+
+
+def test_classifier_on_unseen_blocks(spark):
+    from heliospark.operators import classify, quality
+
+    r = random.Random(5)
+    rows = [(i, r.uniform(0, 3000), r.uniform(0, 3000), r.random(), r.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, a double, b double")
+    both = classify.samples(df.where("a > 0.5"), df.where("a <= 0.5 and b > 0.5"), df.where("a <= 0.5 and b <= 0.5"), per_class=150)
+    assert both.count() == 300
+    scored = classify.out_of_fold(both, ["a", "b"], trees=3, folds=3)
+    assert scored.count() == 300 and quality.roc_auc(scored, "label", "score").first()[0] > 0.95
+    assert classify.fit_predict(both, df, ["a", "b"], trees=2).count() == 400
+
+
+def test_tiles_and_canopy(spark):
+    from heliospark.functions import geo
+
+    assert spark.range(1).select(geo.tiles_over(51.1605, 71.4704, 51.2953, 71.4704, 9)).first()[0] == ["121302121", "121302123"]
+    good, open_ring = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]], [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]]
+    df = spark.createDataFrame([(good, 4.0, "chm_height"), (open_ring, 4.0, "x"), (good, -1.0, "x")], "rings array<array<struct<x:double,y:double>>>, height_m double, height_source string")
+    assert files.valid_canopy(df, (0, 0, 5, 5)).count() == 1
+    with pytest.raises(ValueError, match="valid"):
+        files.valid_canopy(df, (0, 0, 0.5, 5))
