@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliospark.llm.shared import ascii_lower
+from heliospark.llm.shared import ascii_lower, small, stored
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows up to this number are broadcast; beyond it they meet the words of the documents in a shuffled join.
@@ -84,4 +84,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, mos
     """docs without those of which more than most_percent of the words lie in benchmark windows."""
     places = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))))
     bad = scan(docs, benchmark, size).where((F.size("hits") > 0) & (100 * places > most_percent * F.col("n_words"))).select(F.col("doc_id").alias("__hs_id"), F.col("__hs_text").alias("__hs_hash"))
+    bad = small(stored(bad))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__hs_id"]) & (F.xxhash64(docs["text"]) == bad["__hs_hash"]), "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from heliospark.llm import hashing as H
 from heliospark.llm.components import components
-from heliospark.llm.shared import stored
+from heliospark.llm.shared import small, stored
 
 #: Sets in a block; pieces of text hashed at once (bytes); signatures gathered in a task before they are sent.
 BLOCK, PIECE, HELD = 1024, 4 << 20, 4_000_000
@@ -114,6 +114,17 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, fp2 long")
 
 
+def narrow(sig: np.ndarray) -> bytes:
+    """The upper five bytes of each hash, byte by byte. Fewer bits only add candidates, which the sets decide."""
+    return np.ascontiguousarray(sig.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+
+
+def wide(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(x, np.uint8).reshape(5, -1).T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def shared_fragments(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(sig, node, cls, need): the fragments that some other node shares, per node and class."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -134,11 +145,14 @@ def shared_fragments(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         def row(shard: int, where: np.ndarray, counted: int) -> None:
             used, at = np.unique(owner[where], return_inverse=True)
-            rows.append((shard, counted, table[used].tobytes(), sig[where].tobytes(), at.astype(np.uint32).tobytes()))
+            rows.append((shard, counted, table[used].tobytes(), narrow(sig[where]), at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()))
 
         at = np.flatnonzero(known)
-        for i in range(0, len(at), 100_000):
-            row(i // 100_000 % shards, at[i : i + 100_000], 2)
+        own = H.mix(table[:, 0].view(np.uint64))[owner[at]] % np.uint64(shards)
+        at = at[np.argsort(own, kind="stable")]
+        for k, part in enumerate(np.split(at, np.cumsum(np.bincount(own.astype(np.int64), minlength=shards))[:-1])):
+            if len(part):
+                row(k, part, 2)
         for counted, mask in ((0, ~known), (1, known & ~again)):
             at = np.flatnonzero(mask)
             shard = ((sig[at] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -169,8 +183,8 @@ def shared_fragments(docs: DataFrame, size: int, percent: int) -> DataFrame:
         yield from send(members, sigs)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = [np.frombuffer(x, np.uint64) for x in pdf["sigs"]]
-        member = [np.frombuffer(x, np.int64).reshape(-1, 3)[np.frombuffer(y, np.uint32)] for x, y in zip(pdf["members"], pdf["at"], strict=True)]
+        sig = [wide(x) for x in pdf["sigs"]]
+        member = [np.frombuffer(x, np.int64).reshape(-1, 3)[np.frombuffer(y, np.uint16 if len(y) == 2 * len(z) else np.uint32)] for x, y, z in zip(pdf["members"], pdf["at"], sig, strict=True)]
         counted = np.repeat(pdf["counted"].to_numpy(), [len(x) for x in sig])
         sig, member = np.concatenate(sig), np.concatenate(member)
         out = counted == 2
@@ -190,13 +204,36 @@ def shared_fragments(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def candidate_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): nodes that share a fragment and may have a partner."""
-    shared = stored(shared_fragments(docs, size, percent))
-    # a node may come from several tasks, so its fragments are counted once each
-    able = shared.groupBy("node", "cls").agg(F.count_distinct("sig").alias("n"), F.max("need").alias("need")).where("n >= need").select("node", "cls")
-    kept = stored(shared.join(able, ["node", "cls"]).select("sig", "node"))
-    first = kept.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("sig", "b")
-    return kept.join(first, "sig").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    """(a, b): nodes that share a fragment and may have a partner.
+
+    A node's fragments meet in one task, which counts them, drops nodes that share too few, ties those of its own that agree,
+    and sends on one node for each fragment; so a fragment of very many nodes is a row of each task and no more."""
+
+    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        if not got:
+            return
+        sig, node, cls, need = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((sig, cls, node))
+        sig, node, cls, need = sig[order], node[order], cls[order], need[order]
+        new = np.r_[True, (node[1:] != node[:-1]) | (cls[1:] != cls[:-1])]
+        once = new | np.r_[True, sig[1:] != sig[:-1]]  # a node of several tasks counts a fragment once
+        group = np.cumsum(new) - 1
+        keep = once & (np.bincount(group, weights=once)[group] >= need)
+        sig, node = sig[keep], node[keep]
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
+        same = np.flatnonzero(~first)
+        tied = forest(node[same - 1], node[same])
+        for kind, a, b in ((0, np.array(list(tied), np.int64), np.array(list(tied.values()), np.int64)), (1, sig[first], node[first])):
+            for i in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[i : i + 100_000]), kind, np.int32)), pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["kind", "a", "b"])
+
+    rows = stored(shared_fragments(docs, size, percent).repartition("node").mapInArrow(able, "kind int, a long, b long"), "kind")
+    met = rows.where("kind = 1").groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("n")).where("size(n) > 1")  # a row of each task at most
+    across = met.select(F.explode(F.slice("n", 2, F.size("n") - 1)).alias("a"), F.col("n")[0].alias("b")).where("a != b")
+    return rows.where("kind = 0").select("a", "b").unionByName(across).distinct()
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
@@ -283,10 +320,10 @@ def placed(reps: DataFrame, percent: int) -> DataFrame:
 def link_forest(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): spanning forests of the links of each block, between doc_ids."""
     spark = docs.sparkSession
-    to = placed(reps, percent)
+    to = stored(placed(reps, percent))
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), to.count() // (BLOCK * 2) + 1)
-    per_doc = to.groupBy("doc_id", "fp", "fp2").agg(F.collect_list("block").alias("blocks"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "fp", "fp2", "blocks")
+    per_doc = stored(to.groupBy("doc_id", "fp", "fp2").agg(F.collect_list("block").alias("blocks")))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(per_doc), "doc_id").select("doc_id", "text", "fp", "fp2", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -327,7 +364,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that share a component with a smaller doc_id; of repeated rows of one id, one stays."""
     found = stored(classes(docs, size, percent))
-    drop = found.where("doc_id != component_id").select(F.col("doc_id").alias("__hs_id")).distinct()
+    drop = small(stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("__hs_id")).distinct()))
     kept = docs.join(drop, docs["doc_id"] == drop["__hs_id"], "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))

@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of the tables that `stored` has written and nobody has dropped.
+TABLES: list[str] = []
+#: Rows up to which keys are broadcast; they are counted first, and more of them meet the other side in a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, with a hint to broadcast it if it has at most BROADCAST_KEYS rows, or else to shuffle both sides and hash the keys."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys.hint("shuffle_hash")
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """df written to the shared folder and read back: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -30,9 +41,18 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of `stored` that nothing will read again."""
+    for path in paths:
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        TABLES.remove(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
