@@ -16,29 +16,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospark.llm import decontaminate, jaccard_join, packing, pii, quality_rules
-from heliospark.llm.shared import stored, table
+from heliospark.llm.shared import TABLES, drop_tables, stored, table
 
 #: The rows depend on a fitted model, on union-find and on a search for a packing.
 ORACLE_SQL = None
 
 
+#: Tables that the last stage made for itself.
+_made: list[str] = []
+
+
+def stage(f):
+    """A stage that first deletes what the stage before it made for itself: that one's result has been written by then, or else docs still reads those tables, and they stay."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _made else []
+        drop_tables(spark, [t for t in _made if t in TABLES and not any(t in x for x in read)])
+        before = set(TABLES)
+        out = f(spark, docs, sf_dir)
+        _made[:] = [t for t in TABLES if t not in before]
+        return out
+
+    run_stage.__doc__, run_stage.__name__ = f.__doc__, f.__name__
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
 
 
+@stage
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.keep_one(docs)
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = pii.redact(docs).drop("__hs_spans")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,8 +72,8 @@ STAGES = [("quality_rules", quality), ("ngram_jaccard_join", dedupe), ("decontam
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, step in STAGES:
+        docs = step(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs)
     return docs
