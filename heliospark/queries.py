@@ -595,7 +595,7 @@ def reach_components(s, d):
 def crowns_from_raster(s, d):
     """Patches of high pixels with their median heights, over all parts as pixels: labels are tested in reach_components."""
     k = F.col("p_partkey")
-    tiles = load(s, d, "part").select((k * 37 % 97).cast("int").alias("row"), (k * 53 % 89).cast("int").alias("col"), (dbl("p_size") - 38).alias("value"))
+    tiles = load(s, d, "part").select((k * 37 % 23).cast("int").alias("row"), (k * 53 % 19).cast("int").alias("col"), (dbl("p_size") / 10).alias("value"))
     return canopy.crowns(canopy.composite(tiles))
 
 
