@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -33,6 +35,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of text, one row at least; what is made of a slice is gone before the next."""
+    _, offsets = strings(batch.column(column))
+    i = 0
+    while i < len(batch):
+        j = max(int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1, i + 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is empty."""
     if column.null_count:

@@ -33,23 +33,14 @@ from pyspark.sql import functions as F
 
 from heliospark.llm import hashing as H
 from heliospark.llm.components import components
+from heliospark.llm.hashing import parts
 from heliospark.llm.shared import small, stored
 
-#: Sets in a block; pieces of text hashed at once (bytes); signatures gathered in a task before they are sent.
-BLOCK, PIECE, HELD = 1024, 4 << 20, 4_000_000
+#: Sets in a block; signatures gathered in a task before they are sent.
+BLOCK, HELD = 1024, 2_000_000
 RATIO = 1.25
 
 
-def parts(batch: pa.RecordBatch, column: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `most` bytes of text, one row at least."""
-    _, offsets = H.strings(batch.column(column))
-    i = 0
-    while i < len(batch):
-        j = max(int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1, i + 1)
-        yield batch.slice(i, j - i)
-        i = j
-
-
 def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
     data, offsets = H.strings(texts)
     starts, ends, firsts = H.word_bounds(data, offsets)
@@ -140,15 +131,16 @@ def shared_fragments(docs: DataFrame, size: int, percent: int) -> DataFrame:
         # what a task's own nodes share is known here; one of them goes on, marked as counted, to meet other tasks'
         again = np.r_[False, sig[1:] == sig[:-1]]
         known = again | np.r_[again[1:], False]
-        table = np.array(members, np.int64)
+        table = np.array([m[0] for m in members], np.int64)
+        code = np.array([m[1] << 25 | m[2] for m in members], np.uint32)  # class and need
         rows: list[tuple] = []
 
         def row(shard: int, where: np.ndarray, counted: int) -> None:
             used, at = np.unique(owner[where], return_inverse=True)
-            rows.append((shard, counted, table[used].tobytes(), narrow(sig[where]), at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()))
+            rows.append((shard, counted, table[used].tobytes(), code[used].tobytes(), narrow(sig[where]), at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()))
 
         at = np.flatnonzero(known)
-        own = H.mix(table[:, 0].view(np.uint64))[owner[at]] % np.uint64(shards)
+        own = H.mix(table.view(np.uint64))[owner[at]] % np.uint64(shards)
         at = at[np.argsort(own, kind="stable")]
         for k, part in enumerate(np.split(at, np.cumsum(np.bincount(own.astype(np.int64), minlength=shards))[:-1])):
             if len(part):
@@ -162,7 +154,7 @@ def shared_fragments(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     row(k, at[cut[k] : cut[k + 1]], counted)
         for i in range(0, len(rows), 64):
             c = list(zip(*rows[i : i + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["shard", "counted", "members", "sigs", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["shard", "counted", "nodes", "codes", "sigs", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, sigs, held, seen = [], [], 0, set()
@@ -184,22 +176,26 @@ def shared_fragments(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = [wide(x) for x in pdf["sigs"]]
-        member = [np.frombuffer(x, np.int64).reshape(-1, 3)[np.frombuffer(y, np.uint16 if len(y) == 2 * len(z) else np.uint32)] for x, y, z in zip(pdf["members"], pdf["at"], sig, strict=True)]
-        counted = np.repeat(pdf["counted"].to_numpy(), [len(x) for x in sig])
-        sig, member = np.concatenate(sig), np.concatenate(member)
+        shift = np.cumsum([0, *(len(x) // 8 for x in pdf["nodes"])])
+        at = np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * len(y) else np.uint32) + np.uint32(z) for x, y, z in zip(pdf["at"], sig, shift[:-1], strict=True)])
+        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
+        code = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["codes"]])
+        counted = np.repeat(pdf["counted"].to_numpy(np.int8), [len(x) for x in sig])
+        sig = np.concatenate(sig)
         out = counted == 2
         rest = np.flatnonzero(~out)
         if len(rest):
-            rest = rest[np.lexsort((member[rest, 0], sig[rest]))]
-            new = np.r_[True, sig[rest][1:] != sig[rest][:-1]]
+            rest = rest[np.lexsort((nodes[at[rest]], sig[rest]))]
+            s, n = sig[rest], nodes[at[rest]]
+            new = np.r_[True, s[1:] != s[:-1]]
             group = np.cumsum(new) - 1
             # equal sets of several tasks are one node: they share nothing with themselves
-            nodes = np.bincount(group, weights=new | np.r_[True, member[rest, 0][1:] != member[rest, 0][:-1]])
-            out[rest[(nodes[group] > 1) & (counted[rest] == 0)]] = True
-        m = member[out]
-        return pd.DataFrame({"sig": sig[out].view(np.int64), "node": m[:, 0], "cls": m[:, 1].astype(np.int32), "need": m[:, 2].astype(np.int32)})
+            many = np.bincount(group, weights=new | np.r_[True, n[1:] != n[:-1]]) > 1
+            out[rest[many[group] & (counted[rest] == 0)]] = True
+        at = at[out]
+        return pd.DataFrame({"sig": sig[out].view(np.int64), "node": nodes[at], "cls": (code[at] >> 25).astype(np.int32), "need": (code[at] & ((1 << 25) - 1)).astype(np.int32)})
 
-    d = docs.select("text").mapInArrow(run, "shard int, counted int, members binary, sigs binary, at binary")
+    d = docs.select("text").mapInArrow(run, "shard int, counted int, nodes binary, codes binary, sigs binary, at binary")
     return d.groupBy("shard").applyInPandas(meet, "sig long, node long, cls int, need int")
 
 
@@ -327,7 +323,7 @@ def link_forest(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in parts(whole, 1, PIECE // 4):
+            for b in parts(whole, 1, 1 << 20):
                 ids, fps, blocks = b.column(0).to_pylist(), list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)), b.column(4).to_pylist()
                 rows = [(k, i, s.tobytes()) for i, fp, ks, s in zip(ids, fps, blocks, sets_of(b.column(1), size), strict=True) if fingerprint(s) == fp for k in ks]
                 for j in range(0, len(rows), 512):

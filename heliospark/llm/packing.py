@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliospark.llm.hashing import parts
 from heliospark.llm.shared import stored
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
@@ -35,7 +36,7 @@ def tokenizer(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
+    exact: list = []  # read only if a text needs it
     spec = json.load(open(path, encoding="utf-8"))
     added = [t["content"] for t in spec.get("added_tokens", [])]
     # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
@@ -48,7 +49,9 @@ def tokenizer(path: str):
 
     def encode(text: str) -> list[int]:
         if any(t in text for t in added):
-            return exact.encode(text, add_special_tokens=False).ids
+            if not exact:
+                exact.append(Tokenizer.from_file(path))
+            return exact[0].encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -61,7 +64,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, closing_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(tokenizer_path)
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole, 1)):
             rows: list[list] = [[] for _ in range(5 + with_ids)]
             at = []
             for i, text in enumerate(b.column(1).to_pylist()):

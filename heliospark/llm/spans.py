@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heliospark.llm.hashing import parts
+
 #: start and end count code points; end is exclusive.
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -23,7 +25,7 @@ def find(docs: DataFrame, finder: Finder, columns: list[str], text: str = "text"
     out = T.StructType([*[kept.schema[c] for c in columns], T.StructField("__hs_spans", SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole, read.index(text))):
             texts = b.column(read.index(text)).to_pylist()
             spans = [finder(t) if t else [] for t in texts]
             cols = [b.column(read.index(c)) for c in columns]

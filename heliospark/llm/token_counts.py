@@ -23,6 +23,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from heliospark.llm.hashing import parts
+
 MARK, UNKNOWN_COST, REMEMBERED = "▁", 10.0, 400_000
 
 
@@ -129,7 +131,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary_path)
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole, 1)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
 
     d = docs.select("doc_id", "text")
