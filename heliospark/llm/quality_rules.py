@@ -1,8 +1,8 @@
 """Quality rules by weak supervision, in DataFrame functions alone.
 
 Each rule votes good, votes bad or abstains on a text. Expectation-maximisation over the counts of vote
-patterns (at most 3 ** len(RULES) rows, whatever the corpus) estimates each rule's accuracy and the share
-of good texts; a text is kept if its posterior probability of being good is at least KEEP_FROM.
+patterns (at most 3 ** len(RULES) rows, whatever the corpus) estimates how each rule votes on good and on bad
+texts, and the share of good ones; a text is kept if its posterior probability of being good is at least KEEP_FROM.
 
 Defined cases: a null text counts as empty; a text without words has all metrics 0, fails the base rules
 and is not kept; repeated rows are judged one by one; an empty table gives an empty result; a null doc_id
@@ -20,18 +20,25 @@ from heliospark.llm.shared import let, stored
 
 SPACES = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals"]
+METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_function_words"]
 KEEP_FROM = 0.5
 ROUNDS = 25
 
-#: name, votes bad if, votes good if; between the two a rule abstains.
+#: Languages whose commonest words are known, and these words.
+LANGUAGES = ["en", "fr", "es", "de"]
+FUNCTION_WORDS = (
+    "the of and to in is that it for on was with as be this by are from at or an have not de la le et les des en un une du que est pour dans par sur el los las y se del con una por der die und das den von zu mit ist im auf dem nicht ein eine als sich"
+).split()
+
+#: name, votes bad if, votes good if (never, if empty); between the two, or where a metric is null, a rule abstains.
 RULES: list[tuple[str, str, str]] = [
     ("length", "n_words < 20", "n_words >= 100"),
-    ("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words", "word_chars between 3 * n_words and 9 * n_words"),
-    ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    ("lines", "10 * n_dup_lines > n_lines * 3", "n_dup_lines = 0"),
-    ("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
-    ("capitals", "2 * n_capitals > word_chars", "5 * n_capitals <= word_chars"),
+    ("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words", ""),
+    ("symbols", "10 * n_symbols > n_words", ""),
+    ("lines", "10 * n_dup_lines > 5 * n_lines", ""),
+    ("repeats", "100 * n_repeat_words > 30 * n_words", ""),
+    ("capitals", "2 * n_capitals > word_chars", ""),
+    ("function_words", "100 * n_function_words < 5 * n_words", "100 * n_function_words >= 15 * n_words"),
 ]
 
 
@@ -83,9 +90,10 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return F.when(n >= 4, let(mask, lambda m: let(F.sort_array(windows(m)), lambda s: let(repeated(m, s), covered)))).otherwise(F.lit(0).cast("long"))
 
 
-def with_metrics(docs: DataFrame, text: str = "text", into: str = "__hs_m") -> DataFrame:
-    """docs with one struct column more: METRICS and n_lines, as longs."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def with_metrics(docs: DataFrame, text: str = "text", into: str = "__hs_m", lang: str = "lang") -> DataFrame:
+    """docs with one struct column more: METRICS and n_lines, as longs. Function words are counted in texts of LANGUAGES and of no stated one."""
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    known = F.coalesce(F.col(f"`{lang}`").isin(LANGUAGES), F.lit(True)) if lang in docs.columns else F.lit(True)
 
     def of(t: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -100,6 +108,7 @@ def with_metrics(docs: DataFrame, text: str = "text", into: str = "__hs_m") -> D
                     (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                     _repeat_words(w, F.size(w)).alias("n_repeat_words"),
                     F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
+                    F.when(known, F.size(F.filter(w, lambda x: x.isin(FUNCTION_WORDS)))).cast("long").alias("n_function_words"),
                     F.size(ls).cast("long").alias("n_lines"),
                 ),
             ),
@@ -116,32 +125,40 @@ def votes(into: str = "__hs_m") -> list[Column]:
         out = " ".join(f"{into}.{w}" if w in fields else w for w in sql.split(" "))
         return F.expr(out)
 
-    return [F.when(on(bad), F.lit(-1)).when(on(good), F.lit(1)).otherwise(F.lit(0)) for _, bad, good in RULES]
+    return [F.when(on(bad), F.lit(-1)).when(on(good) if good else F.lit(False), F.lit(1)).otherwise(F.lit(0)) for _, bad, good in RULES]
+
 
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
+    """Expectation-maximisation over (votes, how many texts): the share of good texts, and for each rule the log-odds that a bad and a good vote add.
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """Expectation-maximisation over (votes, how many texts): the share of good texts and each rule's accuracy."""
-    share, right = 0.8, [0.8] * len(RULES)
+    How often a rule votes each way is estimated for good and for bad texts. Rules are better than chance by assumption: a bad
+    vote is at least three times as likely in bad texts, and a good vote adds between nothing and a factor of three."""
     total = sum(n for _, n in patterns)
-    if not total:
-        return share, right
-    for _ in range(rounds):
-        good_sum, hit, cast = 0.0, [0.0] * len(RULES), [0.0] * len(RULES)
+    rates = [[{-1: 0.02, 0: 0.08, 1: 0.9}, {-1: 0.3, 0: 0.2, 1: 0.5}] for _ in RULES]
+    share = 0.8
+
+    def weights() -> list[tuple[float, float]]:
+        three = math.log(3)
+        return [(min(math.log(g[-1] / b[-1]), -three), min(max(math.log(g[1] / b[1]), 0.0), three)) for g, b in rates]
+
+    for _ in range(rounds if total else 0):
+        w = weights()
+        seen = [[{-1: 1.0, 0: 1.0, 1: 1.0} for _ in range(2)] for _ in RULES]
+        good = 0.0
         for vote, n in patterns:
-            p = posterior(vote, share, right)
-            good_sum += n * p
+            p = posterior(vote, share, w)
+            good += n * p
             for r, v in enumerate(vote):
-                if v:
-                    cast[r] += n
-                    hit[r] += n * (p if v > 0 else 1 - p)
-        share = min(max((good_sum + 1) / (total + 2), 0.05), 0.95)
-        # better than chance and never certain: else a rule that nearly always votes alike would outvote the rest
-        right = [min(max((h + 8) / (c + 10), 0.55), 0.95) for h, c in zip(hit, cast, strict=True)]
-    return share, right
+                seen[r][0][v] += n * p
+                seen[r][1][v] += n * (1 - p)
+        # a text on which all rules abstain is kept
+        share = min(max((good + 1) / (total + 2), 0.6), 0.95)
+        rates = [[{v: c / sum(k.values()) for v, c in k.items()} for k in both] for both in seen]
+    return share, weights()
 
 
-def posterior(vote: tuple[int, ...], share: float, right: list[float]) -> float:
-    odds = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(vote, right, strict=True))
+def posterior(vote: tuple[int, ...], share: float, weights: list[tuple[float, float]]) -> float:
+    odds = math.log(share / (1 - share)) + sum((bad if v < 0 else good) for v, (bad, good) in zip(vote, weights, strict=True) if v)
     return 1 / (1 + math.exp(-odds))
 
 
@@ -153,10 +170,10 @@ def judge(docs: DataFrame, text: str = "text", keep_columns: list[str] | None =
     seen = stored(with_metrics(docs, text).select(*[F.col(f"`{c}`") for c in cols], "__hs_m"))
     pattern = F.concat_ws(",", *[v.cast("string") for v in votes()])
     counts = seen.groupBy(pattern.alias("p")).count().collect()  # at most 3 ** len(RULES) rows
-    share, right = fit([(tuple(map(int, r["p"].split(","))), r["count"]) for r in counts])
+    share, weights = fit([(tuple(map(int, r["p"].split(","))), r["count"]) for r in counts])
     odds = F.lit(math.log(share / (1 - share)))
-    for v, a in zip(votes(), right, strict=True):
-        odds = odds + v * F.lit(math.log(a / (1 - a)))
+    for v, (bad, good) in zip(votes(), weights, strict=True):
+        odds = odds + F.when(v < 0, F.lit(bad)).when(v > 0, F.lit(good)).otherwise(F.lit(0.0))
     failed = (F.col("__hs_m.n_words") < 50) | (100 * F.col("__hs_m.n_repeat_words") > 50 * F.col("__hs_m.n_words"))
     return (
         seen.withColumn("__hs_p", 1 / (1 + F.exp(-odds)))

@@ -38,10 +38,27 @@ def test_quality_filter_keeps_columns(spark):
     assert quality_rules.quality_filter(docs).columns == docs.columns
 
 
-def test_fit_trusts_agreeing_rules():
-    patterns = [((1,) * 6, 80), ((-1,) * 6, 15), ((1, 1, 1, 1, 1, -1), 5)]
-    share, right = quality_rules.fit(patterns)
-    assert 0.7 < share < 0.95 and quality_rules.posterior((1,) * 6, share, right) > 0.9 > 0.1 > quality_rules.posterior((-1,) * 6, share, right)
+def test_fit_learns_which_votes_go_together():
+    n = len(quality_rules.RULES)
+    vote = lambda **x: tuple(x.get(name, 0) for name, _, _ in quality_rules.RULES)
+    good, junk, odd = vote(length=1, function_words=1), vote(length=1, symbols=-1, function_words=-1), vote(length=1, lines=-1, function_words=1)
+    share, w = quality_rules.fit([(good, 900), (junk, 80), (odd, 3), ((0,) * n, 17)])
+    p = lambda v: quality_rules.posterior(v, share, w)
+    assert p(good) > 0.9 and p((0,) * n) >= 0.5 and p(junk) < 0.1
+    assert quality_rules.fit([])[0] == 0.8
+
+
+def test_verdicts_on_labelled_text(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.report(docs).join(labels, "doc_id").where("not base_failed").collect()
+    kept = lambda q: [r["kept"] for r in rows if r["quality"] == q]
+    assert sum(kept(1)) / len(kept(1)) > 0.99 and sum(kept(0)) / len(kept(0)) < 0.1
+
+
+def test_unknown_language_is_not_judged_by_function_words(spark):
+    t = " ".join("".join(chr(97 + (i * j) % 23) for j in range(1, 6)) + str(i) for i in range(120))
+    docs = spark.createDataFrame([(1, t, "it", "s", 1), (2, t, "en", "s", 1)], DOCS)
+    assert {r["doc_id"]: r["__hs_m"]["n_function_words"] for r in quality_rules.with_metrics(docs).collect()} == {1: None, 2: 0}
 
 
 def words10(text):
