@@ -37,7 +37,7 @@ from heliospark.llm.hashing import parts
 from heliospark.llm.shared import small, stored
 
 #: Sets in a block; signatures gathered in a task before they are sent.
-BLOCK, HELD = 1024, 2_000_000
+BLOCK, HELD = 1024, 1_000_000
 RATIO = 1.25
 
 
