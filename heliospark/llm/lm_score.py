@@ -3,14 +3,16 @@
 Events are the tokens of the training texts and one more for all unseen ones, as in the base score. Unigrams
 have Good-Turing-like discounts for counts of 1, 2 and more, estimated from the counts of counts; what is
 taken off is the probability of an unseen token. The automaton's root holds the unigrams. A token that goes
-before others often enough is a state: its arcs hold the discounted shares of its frequent successors, and
-its failure arc leads to the root at the weight of the mass kept back. One left-to-right traversal carries
-the state and adds up. An arc is kept if its count is at least the ARCS-th part of all training tokens, so
-there are at most ARCS arcs at every size of corpus.
+before another twice is a state: its arcs hold the discounted shares of the successors it was seen with LEAST
+times or more, and its failure arc leads to the root at the weight of the mass kept back. One left-to-right
+traversal carries the state and adds up. The number of arcs grows with the corpus and has no bound.
 
 Counts are exact, over all training texts, and never meet in one place: texts are read once into chunks; each
-chunk asks the shards that hold the counts of its distinct tokens and gets the answers back. A bigram's count
-is at most that of either token, so only bigrams of two frequent tokens need to be counted at all.
+chunk asks the shards that hold the counts of its distinct tokens, and then those that hold its bigrams, and
+gets the answers back. A bigram's count is at most that of either token, so bigrams of a token seen fewer than
+LEAST times need not be asked for. The first answers number the other tokens, so that bigrams are short numbers.
+A context's bigrams are in one shard, which adds up its mass; those of a context that would fill a shard of
+its own are dealt to all, and the masses of these few (at most as many as there are shards) are sent to every task.
 
 Defined cases: a null text is empty, and an empty one is its end token; repeated rows are scored one by one
 and, if in training, counted one by one; a null doc_id counts as the empty string for the split; without
@@ -20,6 +22,7 @@ not read.
 
 from __future__ import annotations
 
+import math
 import os
 import pickle
 import zlib
@@ -34,11 +37,16 @@ from pyspark.sql import functions as F
 
 from heliospark.llm import hashing as H
 from heliospark.llm.hashing import parts
-from heliospark.llm.shared import stored
+from heliospark.llm.shared import TABLES, drop_tables, stored
 
-ARCS = 1 << 18
+#: Arcs are bigrams seen so often.
+LEAST = 2
+#: A bound on the arcs, as training tokens for one; there is none.
+ARCS = math.inf
 DISCOUNT = 0.75
 CHUNK = 12 << 20
+#: Training tokens for one shard of bigrams.
+SHARE = 1 << 22
 #: Stands for the end of a text as a token, and for its start as a context.
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -61,6 +69,15 @@ def _sharded(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     return [(k, i, j) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
 
 
+def _tight(x: np.ndarray) -> bytes:
+    """Whole numbers of at least 0, by byte planes, whose upper ones are mostly zeros."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
+
+def _loose(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 ROWS = "kind int, chunk long, shard int, n long, a binary, b binary, c binary"
 
 
@@ -117,16 +134,18 @@ def read(docs: DataFrame) -> DataFrame:
 
 
 def answers(seen: DataFrame, least: int) -> DataFrame:
-    """(chunk, shard, a, b): the training counts of the tokens that a chunk asked a shard for, and those of the tokens that occur `least` times or more; for chunk -1, the tokens in all, the distinct ones, and those seen 1, 2, 3 and 4 times."""
+    """(chunk, shard, a, b): the training counts of the tokens that a chunk asked a shard for, and the steps between the numbers in the shard of those that occur `least` times or more; for chunk -1, the tokens in all, the distinct ones, and those seen 1, 2, 3 and 4 times."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         asked = [np.frombuffer(x, np.uint64) for x in pdf["a"]]
         found, which = np.unique(np.concatenate(asked), return_inverse=True)
         counts = np.zeros(len(found), np.int64)
         np.add.at(counts, which, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["b"]]))
-        got = np.split(counts[which], np.cumsum([len(x) for x in asked])[:-1])
-        often = [x[n >= least].tobytes() for x, n in zip(asked, got, strict=True)]
-        out = pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "a": [x.tobytes() for x in got], "b": often})
+        number = np.cumsum(counts >= least) - 1
+        at = np.split(which, np.cumsum([len(x) for x in asked])[:-1])
+        got = [_tight(counts[i]) for i in at]
+        often = [_tight(np.diff(number[i[counts[i] >= least]], prepend=0)) for i in at]
+        out = pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "a": got, "b": often})
         sums = np.array([counts.sum(), (counts > 0).sum(), *((counts == k).sum() for k in (1, 2, 3, 4))], np.int64)
         out = pd.concat([out, pd.DataFrame({"chunk": [-1], "shard": pdf["shard"].iloc[:1].to_list(), "a": [b""], "b": [b""]})])
         for i in range(6):
@@ -138,29 +157,57 @@ def answers(seen: DataFrame, least: int) -> DataFrame:
     return stored(seen.where("kind = 1").select("chunk", "shard", "a", "b").groupBy("shard").applyInPandas(meet, f"chunk long, shard int, a binary, b binary, {kinds}"))
 
 
-def joined(seen: DataFrame, told: DataFrame, least: int) -> DataFrame:
-    """Chunks with the counts of their tokens (kind 0), and their bigrams of tokens that occur `least` times or more (1: contexts, successors of each, and counts)."""
-    shards = _shards(seen)
+def _dealt(x: np.ndarray, shards: int) -> np.ndarray:
+    return (((H.mix(x) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def bigrams(which: np.ndarray, end: int, counts: np.ndarray, number: np.ndarray, least: int, total: int, shards: int) -> tuple[np.ndarray, ...]:
+    """What a chunk asks the shards of bigrams, in order: contexts, their shards and how many successors each has there; contexts, successors and shards of the bigrams. Tokens are places among the distinct ones. Then which bigram stands at each place, or -1, and which tokens are dealt to all shards as contexts."""
+    # END goes before the first token of each text
+    before = np.empty_like(which)
+    before[1:] = which[:-1]
+    before[:1] = end
+    often = counts >= least
+    heavy = often & (counts * shards >= total)
+    at = np.flatnonzero(often[before] & often[which])
+    pairs, place = np.unique(before[at].astype(np.uint64) << np.uint64(32) | which[at], return_inverse=True)
+    # a context that is not dealt to all is asked for without a successor, too
+    alone = np.unique(before)
+    alone = alone[often[alone] & ~heavy[alone]].astype(np.int64)
+    a = np.r_[(pairs >> np.uint64(32)).astype(np.int64), alone]
+    b = np.r_[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), np.full(len(alone), -1)]
+    x, y = number[a], np.where(b < 0, -1, number[b])
+    shard = _dealt(np.where(heavy[a], x.astype(np.uint64) * H.ODD[1] + y.astype(np.uint64) * H.ODD[2], x.astype(np.uint64)), shards)
+    order = np.lexsort((y, x, shard))
+    a, b, shard, real = a[order], b[order], shard[order], b[order] >= 0
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (shard[1:] != shard[:-1])]) if len(a) else np.zeros(0, np.int64)
+    successors = np.add.reduceat(real.astype(np.int64), first) if len(a) else first
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(real) - 1
+    found = np.full(len(which), -1, np.int64)
+    found[at] = rank[: len(pairs)][place]
+    return a[first], shard[first], successors, a[real], b[real], shard[real], found, heavy
+
+
+def joined(seen: DataFrame, told: DataFrame, least: int, total: int, shards: int) -> DataFrame:
+    """Chunks with the counts and numbers of their tokens (kind 0), and what they ask the shards of bigrams (1: contexts, if they are dealt to all, and how many successors of each follow; successors; training counts)."""
+    dealt = _shards(seen)
 
     def meet(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         x = _unpacked(chunk["a"].iloc[0])
         got = got.sort_values("shard")
-        counts = np.concatenate([np.frombuffer(v, np.int64) for v in got["a"]])
-        which, often = x["which"], counts >= least
-        tokens = np.zeros(len(counts), np.uint64)
-        tokens[often] = np.concatenate([np.frombuffer(v, np.uint64) for v in got["b"]])
+        counts = np.concatenate([_loose(v) for v in got["a"]])
+        number = np.zeros(len(counts), np.int64)
+        number[counts >= least] = np.concatenate([np.cumsum(_loose(v)) * dealt + k for k, v in zip(got["shard"], got["b"], strict=True)])
         name = int(chunk["chunk"].iloc[0])
-        # END goes before the first token of each text
-        before = np.empty_like(which)
-        before[1:] = which[:-1]
-        before[:1] = x["end"]
+        c, c_shard, m, a, b, shard, found, heavy = bigrams(x["which"], x["end"], counts, number, least, total, shards)
         in_train = np.repeat(~x["held"], x["length"])
-        at = np.flatnonzero(in_train & often[which] & often[before])
-        pairs, n = np.unique(before[at].astype(np.uint64) << np.uint64(32) | which[at], return_counts=True)
-        a, b = tokens[(pairs >> np.uint64(32)).astype(np.int64)], tokens[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        rows = [(k, 0, a[i:j].tobytes(), b[i:j].tobytes(), n[i:j].astype(np.int64).tobytes()) for k, i, j in _sharded(a, shards)]
-        keep = _packed(ids=x["ids"], held=x["held"], length=x["length"], which=which, counts=counts, tokens=tokens)
-        out = [(0, name, 0, 0, keep, None, None), *((1, name, *r) for r in rows)]
+        n = np.bincount(found[in_train & (found >= 0)], minlength=len(a))
+        out = [(0, name, 0, 0, _packed(**x, counts=_tight(counts), number=_tight(number)), None, None)]
+        names = number[c] * 2 + heavy[c]
+        for k in np.unique(c_shard).tolist():
+            (i, j), (p, q) = np.searchsorted(c_shard, [k, k + 1]), np.searchsorted(shard, [k, k + 1])
+            out.append((1, name, k, int(j - i), _tight(np.r_[names[i:j], m[i:j]]), _tight(number[b[p:q]]), _tight(n[p:q])))
         return pd.DataFrame(out, columns=["kind", "chunk", "shard", "n", "a", "b", "c"])
 
     left = seen.where("kind = 0").select("chunk", "a").groupBy("chunk")
@@ -168,26 +215,41 @@ def joined(seen: DataFrame, told: DataFrame, least: int) -> DataFrame:
     return stored(left.cogroup(right).applyInPandas(meet, ROWS), "kind")
 
 
-def frequent_arcs(chunks: DataFrame, least: int) -> DataFrame:
-    """(a, b, n): bigrams, as signed hashes, with a count of `least` or more; counted in shards of their contexts' hashes."""
+def arcs(chunks: DataFrame, least: int) -> DataFrame:
+    """(chunk, shard, a, b, number, mass): the counts of the arcs among the bigrams that a chunk asked a shard for, else 0 (a), and four times the mass of all arcs of each context (b); for chunk -1, contexts that are dealt to all shards, and the mass of their arcs in one."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.concatenate([np.frombuffer(x, np.uint64) for x in pdf[c]]) for c in "ab")
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["c"]])
+        asked = [_loose(x).reshape(2, -1) for x in pdf["a"]]
+        names = np.concatenate([x[0] for x in asked])
+        contexts, of = np.unique(names, return_inverse=True)
+        a = np.repeat(of, np.concatenate([x[1] for x in asked]))
+        sent = [_loose(x) for x in pdf["b"]]
+        b = np.concatenate(sent)
+        n = np.concatenate([_loose(x) for x in pdf["c"]])
         order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        n = np.add.reduceat(n, first)
-        keep = n >= least
-        return pd.DataFrame({"a": a[first][keep].view(np.int64), "b": b[first][keep].view(np.int64), "n": n[keep]})
-
-    return chunks.where("kind = 1").select("shard", "a", "b", "c").groupBy("shard").applyInPandas(meet, "a long, b long, n long")
-
-
-class Automaton:
-    """The root's discounts, and the states with their arcs."""
-
-    def __init__(self, total: int, distinct: int, once: tuple[int, int, int, int], arcs: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])] if len(a) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(n[order], first) if len(a) else n
+        sums = np.where(sums >= least, sums, 0)
+        mass = np.zeros(len(contexts), np.int64)
+        np.add.at(mass, a[order][first], np.where(sums > 0, 4 * sums - round(4 * DISCOUNT), 0))
+        counts = np.empty(len(a), np.int64)
+        counts[order] = sums[np.cumsum(new) - 1]
+        got = np.split(counts, np.cumsum([len(x) for x in sent])[:-1])
+        masses = np.split(mass[of], np.cumsum([x.shape[1] for x in asked])[:-1])
+        out = pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "a": [_tight(x) for x in got], "b": [_tight(x) for x in masses], "number": 0, "mass": 0})
+        heavy = np.flatnonzero(contexts % 2 == 1)
+        more = pd.DataFrame({"chunk": -1, "shard": pdf["shard"].iloc[0], "a": b"", "b": b"", "number": contexts[heavy] // 2, "mass": mass[heavy]})
+        return pd.concat([out, more]) if len(more) else out
+
+    asked = chunks.where("kind = 1").select("chunk", "shard", "a", "b", "c")
+    return stored(asked.groupBy("shard").applyInPandas(meet, "chunk long, shard int, a binary, b binary, number long, mass long"))
+
+
+class Root:
+    """The discounts of tokens without a context."""
+
+    def __init__(self, total: int, distinct: int, once: tuple[int, int, int, int]):
         n1, n2, n3, n4 = once
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.75, 3 - 4 * y * n4 / n3 if n3 else 0.75]
@@ -196,68 +258,67 @@ class Automaton:
         taken = (self.off[1] * n1 + self.off[2] * n2 + self.off[3] * (distinct - n1 - n2)) / total if total else 1.0
         self.unseen = max(taken, 0.5 / (total + 1)) if total else 1.0
         self.scale = (1 - self.unseen) / (1 - taken) if total else 0.0
-        a, b, n = arcs
-        key = self.key(a, b)
-        order = np.argsort(key)
-        self.keys, self.shares = key[order], n[order] - DISCOUNT
-        self.states, which = np.unique(a, return_inverse=True)
-        self.out = np.bincount(which, weights=n - DISCOUNT, minlength=len(self.states))
-
-    @staticmethod
-    def key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return H.mix(a * H.ODD[1] + b * H.ODD[2])
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        """Probabilities of tokens of these counts without a context."""
+
+    def probabilities(self, counts: np.ndarray) -> np.ndarray:
         seen = self.scale * (counts - self.off[np.minimum(counts, 3)]) / max(self.total, 1)
         return np.where(counts > 0, seen, self.unseen)
 
-    def traverse(self, tokens: np.ndarray, counts: np.ndarray, which: np.ndarray, start: int) -> np.ndarray:
-        """log10 probability at each place: by the arc of the state that the token before left, and by its failure arc to the root."""
-        plain = self.root(counts)
-        if not len(self.keys):
-            return np.log10(plain)[which]
-        at = np.minimum(np.searchsorted(self.states, tokens), len(self.states) - 1)
-        state = np.where(self.states[at] == tokens, at, -1)
-        before = np.r_[start, which[:-1].astype(np.int64)]
-        p = plain[which]
-        live = np.flatnonzero(state[before] >= 0)
-        a, b = before[live], which[live]
-        i = np.minimum(np.searchsorted(self.keys, key := self.key(tokens[a], tokens[b])), len(self.keys) - 1)
-        share = np.where(self.keys[i] == key, self.shares[i], 0.0)
-        p[live] = (share + (counts[a] - self.out[state[a]]) * p[live]) / counts[a]
-        return np.log10(p)
+
+def traverse(root: Root, counts: np.ndarray, which: np.ndarray, end: int, found: np.ndarray, arc: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """log10 probability at each place: by the arc of the state that the token before left, and by its failure arc to the root."""
+    p = root.probabilities(counts)[which]
+    before = np.r_[end, which[:-1].astype(np.int64)]
+    live = np.flatnonzero(out[before] > 0)
+    a, i = before[live], found[live]
+    n = np.where(i >= 0, arc[i], 0) if len(arc) else np.zeros(len(live))
+    p[live] = (np.where(n > 0, n - DISCOUNT, 0.0) + (counts[a] - out[a]) * p[live]) / counts[a]
+    return np.log10(p)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
+    first_table = len(TABLES)
     seen = read(docs)
-    least = max(2, -(-(seen.where("kind = 0").agg(F.sum("n")).first()[0] or 0) // ARCS))
+    least = max(LEAST, math.ceil((seen.where("kind = 0").agg(F.sum("n")).first()[0] or 0) / ARCS))
     told = answers(seen, least)
     total, distinct, *once = told.where("chunk = -1").agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(6))).first()
-    chunks = joined(seen, told, least)
-    rows = frequent_arcs(chunks, least).toPandas()  # at most ARCS rows
-    arcs = (rows["a"].to_numpy(np.int64).view(np.uint64), rows["b"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
-    model = spark.sparkContext.broadcast(Automaton(total, distinct, tuple(once), arcs))
+    shards = max(_shards(docs), total // SHARE + 1)
+    chunks = joined(seen, told, least, total, shards)
+    drop_tables(spark, TABLES[first_table:-1])
+    replies = arcs(chunks, least)
+    # at most `shards` contexts are so frequent
+    masses = {r["number"]: r["m"] for r in replies.where("chunk = -1").groupBy("number").agg(F.sum("mass").alias("m")).collect()}
+    heavy_numbers = np.array(sorted(masses), np.int64)
+    known = spark.sparkContext.broadcast((Root(total, distinct, tuple(once)), heavy_numbers, np.array([masses[k] for k in heavy_numbers.tolist()], np.int64)))
     id_type = docs.schema["doc_id"].dataType
+    batch_type = to_arrow_type(id_type)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                x = _unpacked(blob)
-                counts, which, length = x["counts"], x["which"], x["length"]
-                first = np.cumsum(length) - length
-                base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
-                end = int(which[-1])
-                own = model.value.traverse(x["tokens"], counts, which, end)
-                sums = [np.add.reduceat(v, first) for v in ((counts > 0).astype(np.int64)[which], base[which], own)]
-                out = [x["ids"], x["held"], length, sums[0], np.full(len(length), total), sums[1], sums[2]]
-                types = [batch_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(id_type)
-    return chunks.where("kind = 0").select("a").mapInArrow(run, f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        root, numbers, sums = known.value
+        x = _unpacked(chunk.column("a")[0].as_py())
+        counts, number, which, length = _loose(x["counts"]), _loose(x["number"]), x["which"], x["length"]
+        c, _, _, _, _, _, found, heavy = bigrams(which, x["end"], counts, number, least, total, shards)
+        got = got.sort_by("shard")
+        arc, mass = (np.concatenate([np.zeros(0, np.int64), *(_loose(v) for v in got.column(k).to_pylist())]) for k in ("a", "b"))
+        out = np.zeros(len(counts))
+        out[c] = mass / 4
+        dealt = np.flatnonzero(heavy)
+        if len(numbers):
+            at = np.minimum(np.searchsorted(numbers, number[dealt]), len(numbers) - 1)
+            out[dealt] = np.where(numbers[at] == number[dealt], sums[at], 0) / 4
+        first = np.cumsum(length) - length
+        base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
+        own = traverse(root, counts, which, x["end"], found, arc, out)
+        values = [np.add.reduceat(v, first) for v in ((counts > 0).astype(np.int64)[which], base[which], own)]
+        columns = [x["ids"], x["held"], length, values[0], np.full(len(length), total), values[1], values[2]]
+        types = [batch_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=names)
+
+    left = chunks.where("kind = 0").select("chunk", "a").groupBy("chunk")
+    right = replies.where("chunk >= 0").select("chunk", "shard", "a", "b").groupBy("chunk")
+    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return left.cogroup(right).applyInArrow(run, schema)

@@ -89,3 +89,14 @@ def test_held_out_texts_score_better_than_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm_score.score(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
     assert r["s"] / r["n"] > r["b"] / r["n"] + 0.05
+
+
+def test_a_bigram_seen_twice_is_an_arc_in_a_large_corpus(spark):
+    train = [i for i in range(20) if not lm_score.held_out(i)][:5]
+    held = next(i for i in range(20) if lm_score.held_out(i))
+    texts = {i: "x " * 150_000 for i in train} | {train[0]: "x " * 150_000 + "ann bob", train[1]: "ann bob", held: "ann bob"}
+    rows = [(i, t, "", "", 0) for i, t in texts.items()]
+    r = lm_score.score(docs_frame(spark, [], extra=rows)).where("held_out").first()
+    assert r["train_tokens"] > 600_000 and r["n_tokens"] == 3
+    # only ann goes by the root; without the arcs to bob and to the end, each of the three costs 5 or more
+    assert r["score"] > -10
