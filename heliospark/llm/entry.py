@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other queries hold fitted models, spans of a lexer or a field, or a packing."""
-    return {"op1_jaccard_join": oracles.OP1, "op3_url_filter": oracles.OP3, "op4_decontaminate": oracles.OP4}
+    return {"op1_jaccard_join": oracles.OP1, "op3_url_filter": oracles.OP3, "op4_decontaminate": oracles.OP4, "op7_quality_rules": oracles.OP7}

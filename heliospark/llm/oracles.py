@@ -1,5 +1,7 @@
 """The contracts that SQL can say, for DuckDB."""
 
+from heliospark.llm import quality_rules as Q
+
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+')"
 ITEM_WORDS = rf"list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -37,3 +39,28 @@ OP3 = f"""with p as (select page_id, {HOST} as host, {PATH} as path from pages),
   h2 as (select host, {SHRUNK.format(5)} as rate, n + 5 as total from hs join d2 using (domain, suffix)),
   f as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as v from b, {RULES} where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
   select page_id, b.host, path, rule, coalesce(v, case when rate - 1.645::double * sqrt(rate * (1 - rate) / (total + 1)) > 0.5::double then 'block' else 'allow' end) as verdict from b join h2 on h2.host = b.host left join f using (page_id)"""
+
+
+def op7() -> str:
+    """Metrics, votes and expectation-maximisation as a recursive query whose one row holds the model."""
+    rules, believed = Q.RULES, (f"{Q.PRIOR * Q.BAD_IN_GOOD}", f"{Q.PRIOR * Q.BAD_IN_BAD}")
+    vote = lambda name, bad, good: f"case when ({bad}) and {'true' if name == 'length' else f'n_words >= {Q.FEW}'} then -1 when ({good}) and n_words >= {Q.FEW} then 1 else 0 end"
+    odds = "ln(share / (1 - share))" + "".join(f" + case v[{i}] when -1 then ln(g{i} / b{i}) when 1 then ln((1 - g{i}) / (1 - b{i})) else 0 end" for i in range(1, len(rules) + 1))
+    rate = lambda i, p, c, k: f"(sum(case when v[{i}] < 0 then {p} else 0 end) + {believed[k]}) / (sum(case when v[{i}] <> 0 then {p} else 0 end) + {Q.PRIOR}) as {c}{i}"
+    steps = ", ".join(f"{rate(i, 'n * p', 'g', 0)}, {rate(i, 'n * (1 - p)', 'b', 1)}" for i in range(1, len(rules) + 1))
+    first = ", ".join(f"{Q.BAD_IN_GOOD}::double as g{i}, {Q.BAD_IN_BAD}::double as b{i}" for i in range(1, len(rules) + 1))
+    return rf"""with recursive t as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+  w as (select rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t),
+  win as (select rid, unnest(range(1, len(w) - 1)) as k, w from w), dup as (select rid, unnest(list(k)) as k from (select rid, k, array_to_string(w[k:k + 2], ' ') as g from win) group by rid, g having count(*) > 1),
+  rep as (select rid, count(distinct pos) as r from (select rid, unnest(range(k, k + 3)) as pos from dup) group by rid),
+  m as (select rid, doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+    coalesce(r, 0) as n_repeat_words, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) as n_capitals, length(regexp_replace(t, '[\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g')) as n_marks,
+    len(list_filter(w, lambda x: not regexp_matches(x, '[\p{{L}}\p{{N}}]'))) as n_wordless, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_stutters, len(ls) as n_lines from w left join rep using (rid)),
+  votes as (select *, [{", ".join(vote(*r) for r in rules)}] as v from m), pat as (select v, count(*) as n from votes group by v),
+  em as (select 0 as k, {Q.GOOD}::double as share, {first} union all
+    select k + 1, (sum(n * p) + {Q.PRIOR * Q.GOOD}) / (sum(n) + {Q.PRIOR}) as share, {steps} from (select em.*, v, n, 1 / (1 + exp(-({odds}))) as p from em, pat where k < {Q.ROUNDS}) group by k),
+  j as (select votes.*, 1 / (1 + exp(-({odds}))) as p, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from votes, em where k = {Q.ROUNDS})
+  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and p >= {Q.KEEP_FROM} as kept, round(p, 6) as p_good from j"""
+
+
+OP7 = op7()

@@ -1,12 +1,15 @@
 """Quality rules by weak supervision, in DataFrame functions alone.
 
 Each rule votes good, votes bad or abstains on a text. Expectation-maximisation over the counts of vote
-patterns (at most 3 ** len(RULES) rows, whatever the corpus) estimates how each rule votes on good and on bad
-texts, and the share of good ones; a text is kept if its posterior probability of being good is at least KEEP_FROM.
+patterns (at most 3 ** len(RULES) rows, whatever the corpus) estimates how often each rule votes bad on good and
+on bad texts, and the share of good ones; an abstention says nothing. The estimates are maxima a posteriori:
+PRIOR texts' worth of belief that rules are better than chance, which a corpus outweighs. Nothing is clamped,
+so a vote weighs what its agreement with the other rules earns it. A text is kept if its posterior
+probability of being good is at least KEEP_FROM; `report` adds the hard base rules, `quality_filter` does not.
 
 Defined cases: a null text counts as empty; a text without words has all metrics 0, fails the base rules
 and is not kept; repeated rows are judged one by one; an empty table gives an empty result; a null doc_id
-stays null; other columns of the input, whatever their names, pass through `judge` untouched.
+stays null; other columns of the input, whatever their names, pass through `quality_filter` untouched.
 """
 
 from __future__ import annotations
@@ -16,29 +19,28 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliospark.llm.shared import let, stored
+from heliospark.llm.shared import fresh, let, stored
 
 SPACES = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_function_words"]
+METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "n_wordless", "n_stutters", "n_lines"]
 KEEP_FROM = 0.5
-ROUNDS = 25
+#: How many texts the beliefs below weigh; the share of good texts; how often a rule's vote is bad on good and on bad texts.
+PRIOR, GOOD, BAD_IN_GOOD, BAD_IN_BAD = 20.0, 0.9, 0.02, 0.4
+ROUNDS = 50
 
-#: Languages whose commonest words are known, and these words.
-LANGUAGES = ["en", "fr", "es", "de"]
-FUNCTION_WORDS = (
-    "the of and to in is that it for on was with as be this by are from at or an have not de la le et les des en un une du que est pour dans par sur el los las y se del con una por der die und das den von zu mit ist im auf dem nicht ein eine als sich"
-).split()
-
-#: name, votes bad if, votes good if (never, if empty); between the two, or where a metric is null, a rule abstains.
+#: name, votes bad if, votes good if; between the two, a rule abstains. Shares say nothing of texts with fewer than FEW words.
+FEW = 5
 RULES: list[tuple[str, str, str]] = [
-    ("length", "n_words < 20", "n_words >= 100"),
-    ("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words", ""),
-    ("symbols", "10 * n_symbols > n_words", ""),
-    ("lines", "10 * n_dup_lines > 5 * n_lines", ""),
-    ("repeats", "100 * n_repeat_words > 30 * n_words", ""),
-    ("capitals", "2 * n_capitals > word_chars", ""),
-    ("function_words", "100 * n_function_words < 5 * n_words", "100 * n_function_words >= 15 * n_words"),
+    ("length", "n_words < 2", "n_words >= 50"),
+    ("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words", "word_chars >= 3 * n_words and word_chars <= 9 * n_words"),
+    ("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    ("marks", "100 * n_marks > 15 * word_chars", "100 * n_marks <= 10 * word_chars"),
+    ("wordless", "5 * n_wordless > n_words", "20 * n_wordless <= n_words"),
+    ("lines", "2 * n_dup_lines > n_lines", "5 * n_dup_lines <= n_lines"),
+    ("repeats", "100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words <= 20 * n_words"),
+    ("stutters", "5 * n_stutters > n_words", "20 * n_stutters <= n_words"),
+    ("capitals", "2 * n_capitals > word_chars", "5 * n_capitals <= word_chars"),
 ]
 
 
@@ -90,106 +92,115 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return F.when(n >= 4, let(mask, lambda m: let(F.sort_array(windows(m)), lambda s: let(repeated(m, s), covered)))).otherwise(F.lit(0).cast("long"))
 
 
-def with_metrics(docs: DataFrame, text: str = "text", into: str = "__hs_m", lang: str = "lang") -> DataFrame:
-    """docs with one struct column more: METRICS and n_lines, as longs. Function words are counted in texts of LANGUAGES and of no stated one."""
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    known = F.coalesce(F.col(f"`{lang}`").isin(LANGUAGES), F.lit(True)) if lang in docs.columns else F.lit(True)
+def metrics(text: Column) -> Column:
+    """A struct of METRICS, as longs."""
 
     def of(t: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        count = lambda x: F.size(x).cast("long")
+        chars = F.length(_without(t, " " + SPACES)).cast("long")
         return let(
             words_of(t),
             lambda w: let(
                 lines,
                 lambda ls: F.struct(
-                    F.size(w).cast("long").alias("n_words"),
-                    F.length(_without(t, " " + SPACES)).cast("long").alias("word_chars"),
+                    count(w).alias("n_words"),
+                    chars.alias("word_chars"),
                     (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
                     (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                     _repeat_words(w, F.size(w)).alias("n_repeat_words"),
                     F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
-                    F.when(known, F.size(F.filter(w, lambda x: x.isin(FUNCTION_WORDS)))).cast("long").alias("n_function_words"),
-                    F.size(ls).cast("long").alias("n_lines"),
+                    F.length(F.regexp_replace(t, r"[\p{L}\p{N}\x20\x09-\x0D]+", "")).cast("long").alias("n_marks"),
+                    count(F.filter(w, lambda x: ~x.rlike(r"[\p{L}\p{N}]"))).alias("n_wordless"),
+                    count(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))).alias("n_stutters"),
+                    count(ls).alias("n_lines"),
                 ),
             ),
         )
 
-    return docs.withColumn(into, let(t, of))
+    return let(F.coalesce(text.cast("string"), F.lit("")), of)
 
 
-def votes(into: str = "__hs_m") -> list[Column]:
-    """One column per rule: 1 good, -1 bad, 0 abstains. The expressions name fields of the metrics struct."""
-    fields = sorted([*METRICS, "n_lines"], key=len, reverse=True)
+def votes(into: str) -> list[Column]:
+    """One column per rule: 1 good, -1 bad, 0 abstains; `into` is a column of `metrics`."""
 
     def on(sql: str) -> Column:
-        out = " ".join(f"{into}.{w}" if w in fields else w for w in sql.split(" "))
-        return F.expr(out)
-
-    return [F.when(on(bad), F.lit(-1)).when(on(good) if good else F.lit(False), F.lit(1)).otherwise(F.lit(0)) for _, bad, good in RULES]
+        return F.expr(" ".join(f"`{into}`.{w}" if w in METRICS else w for w in sql.split(" ")))
 
+    enough = on(f"n_words >= {FEW}")
+    return [F.when(on(bad) & (F.lit(True) if name == "length" else enough), F.lit(-1)).when(on(good) & enough, F.lit(1)).otherwise(F.lit(0)) for name, bad, good in RULES]
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
-    """Expectation-maximisation over (votes, how many texts): the share of good texts, and for each rule the log-odds that a bad and a good vote add.
 
-    How often a rule votes each way is estimated for good and for bad texts. Rules are better than chance by assumption: a bad
-    vote is at least three times as likely in bad texts, and a good vote adds between nothing and a factor of three."""
-    total = sum(n for _, n in patterns)
-    rates = [[{-1: 0.02, 0: 0.08, 1: 0.9}, {-1: 0.3, 0: 0.2, 1: 0.5}] for _ in RULES]
-    share = 0.8
+Fit = tuple[float, list[float], list[float]]  # share of good texts; per rule, how often its vote is bad on good and on bad texts
 
-    def weights() -> list[tuple[float, float]]:
-        three = math.log(3)
-        return [(min(math.log(g[-1] / b[-1]), -three), min(max(math.log(g[1] / b[1]), 0.0), three)) for g, b in rates]
 
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> Fit:
+    """Expectation-maximisation over (votes, how many texts)."""
+    n_rules = len(RULES)
+    share, in_good, in_bad = GOOD, [BAD_IN_GOOD] * n_rules, [BAD_IN_BAD] * n_rules
+    total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
-        w = weights()
-        seen = [[{-1: 1.0, 0: 1.0, 1: 1.0} for _ in range(2)] for _ in RULES]
         good = 0.0
+        bad_votes, all_votes = [[[0.0, 0.0] for _ in range(n_rules)] for _ in range(2)]
         for vote, n in patterns:
-            p = posterior(vote, share, w)
+            p = posterior(vote, (share, in_good, in_bad))
             good += n * p
             for r, v in enumerate(vote):
-                seen[r][0][v] += n * p
-                seen[r][1][v] += n * (1 - p)
-        # a text on which all rules abstain is kept
-        share = min(max((good + 1) / (total + 2), 0.6), 0.95)
-        rates = [[{v: c / sum(k.values()) for v, c in k.items()} for k in both] for both in seen]
-    return share, weights()
+                for k, weight in enumerate((n * p, n * (1 - p)) if v else ()):
+                    all_votes[r][k] += weight
+                    bad_votes[r][k] += weight * (v < 0)
+        share = (good + PRIOR * GOOD) / (total + PRIOR)
+        in_good = [(b[0] + PRIOR * BAD_IN_GOOD) / (a[0] + PRIOR) for b, a in zip(bad_votes, all_votes, strict=True)]
+        in_bad = [(b[1] + PRIOR * BAD_IN_BAD) / (a[1] + PRIOR) for b, a in zip(bad_votes, all_votes, strict=True)]
+    return share, in_good, in_bad
 
 
-def posterior(vote: tuple[int, ...], share: float, weights: list[tuple[float, float]]) -> float:
-    odds = math.log(share / (1 - share)) + sum((bad if v < 0 else good) for v, (bad, good) in zip(vote, weights, strict=True) if v)
+def weights(model: Fit) -> tuple[float, list[tuple[float, float]]]:
+    """The log-odds of good texts, and for each rule what a bad and a good vote add to them."""
+    share, in_good, in_bad = model
+    return math.log(share / (1 - share)), [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in zip(in_good, in_bad, strict=True)]
+
+
+def posterior(vote: tuple[int, ...], model: Fit) -> float:
+    odds, by_rule = weights(model)
+    odds += sum((bad if v < 0 else good) for v, (bad, good) in zip(vote, by_rule, strict=True) if v)
     return 1 / (1 + math.exp(-odds))
 
 
-def judge(docs: DataFrame, text: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
-    """keep_columns (all unless given) of docs, with the struct __hs_m of metrics, __hs_p (posterior), __hs_base_failed and __hs_kept.
+def judge(docs: DataFrame, text: str = "text", keep_columns: list[str] | None = None) -> tuple[DataFrame, str]:
+    """keep_columns (all unless given) of docs and one struct more, whose name is returned too: m (metrics), p (posterior), base_failed and good.
 
     The texts are read once; the metrics, with the columns asked for, are a table in the shared folder."""
     cols = docs.columns if keep_columns is None else keep_columns
-    seen = stored(with_metrics(docs, text).select(*[F.col(f"`{c}`") for c in cols], "__hs_m"))
-    pattern = F.concat_ws(",", *[v.cast("string") for v in votes()])
+    into = fresh("__hs_m", docs.columns)
+    seen = stored(docs.select(*[F.col(f"`{c}`") for c in cols], metrics(F.col(f"`{text}`")).alias(into)))
+    pattern = F.concat_ws(",", *[v.cast("string") for v in votes(into)])
     counts = seen.groupBy(pattern.alias("p")).count().collect()  # at most 3 ** len(RULES) rows
-    share, weights = fit([(tuple(map(int, r["p"].split(","))), r["count"]) for r in counts])
-    odds = F.lit(math.log(share / (1 - share)))
-    for v, (bad, good) in zip(votes(), weights, strict=True):
+    prior, by_rule = weights(fit([(tuple(map(int, r["p"].split(","))), r["count"]) for r in sorted(counts)]))
+    odds = F.lit(prior)
+    for v, (bad, good) in zip(votes(into), by_rule, strict=True):
         odds = odds + F.when(v < 0, F.lit(bad)).when(v > 0, F.lit(good)).otherwise(F.lit(0.0))
-    failed = (F.col("__hs_m.n_words") < 50) | (100 * F.col("__hs_m.n_repeat_words") > 50 * F.col("__hs_m.n_words"))
-    return (
-        seen.withColumn("__hs_p", 1 / (1 + F.exp(-odds)))
-        .withColumn("__hs_base_failed", failed)
-        .withColumn("__hs_kept", ~F.col("__hs_base_failed") & (F.col("__hs_p") >= KEEP_FROM))
-    )
+    m = F.col(f"`{into}`")
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    p = 1 / (1 + F.exp(-odds))
+    verdict = F.struct(m.alias("m"), p.alias("p"), failed.alias("base_failed"), ((m["n_words"] > 0) & (p >= KEEP_FROM)).alias("good"))
+    return seen.withColumn(into, verdict), into
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
-    return judge(docs, text).where("__hs_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the rules' joint verdict keeps, with their own columns."""
+    seen, into = judge(docs, text)
+    return seen.where(F.col(f"`{into}`.good")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The rows of the contract for op7."""
-    m = [F.col(f"__hs_m.{c}").alias(c) for c in METRICS[:5]]
-    return judge(docs, keep_columns=["doc_id"]).select(
-        "doc_id", *m, F.col("__hs_base_failed").alias("base_failed"), F.col("__hs_kept").alias("kept"), F.col("__hs_p").alias("p_good")
+    """The rows of the contract for op7; p_good is rounded."""
+    seen, into = judge(docs, keep_columns=["doc_id"])
+    x = F.col(f"`{into}`")
+    return seen.select(
+        "doc_id",
+        *[x["m"][c].alias(c) for c in METRICS[:5]],
+        x["base_failed"].alias("base_failed"),
+        (~x["base_failed"] & x["good"]).alias("kept"),
+        F.round(x["p"], 6).alias("p_good"),
     )

@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from heliospark.llm import decontaminate, quality_rules, url_filter
 from tests.llm.helpers import DOCS, docs_frame, hard_texts, word_soup
 
@@ -38,27 +41,76 @@ def test_quality_filter_keeps_columns(spark):
     assert quality_rules.quality_filter(docs).columns == docs.columns
 
 
-def test_fit_learns_which_votes_go_together():
-    n = len(quality_rules.RULES)
-    vote = lambda **x: tuple(x.get(name, 0) for name, _, _ in quality_rules.RULES)
-    good, junk, odd = vote(length=1, function_words=1), vote(length=1, symbols=-1, function_words=-1), vote(length=1, lines=-1, function_words=1)
-    share, w = quality_rules.fit([(good, 900), (junk, 80), (odd, 3), ((0,) * n, 17)])
-    p = lambda v: quality_rules.posterior(v, share, w)
-    assert p(good) > 0.9 and p((0,) * n) >= 0.5 and p(junk) < 0.1
-    assert quality_rules.fit([])[0] == 0.8
+def brute_em(patterns):
+    """The same estimates in numpy, a text at a time."""
+    votes = np.array([v for v, n in patterns for _ in range(n)])
+    bad, said = votes < 0, votes != 0
+    g, b, share = np.full(votes.shape[1], 0.02), np.full(votes.shape[1], 0.4), 0.9
+    post = lambda: 1 / (1 + (1 - share) / share * np.prod(np.where(bad, b / g, np.where(said, (1 - b) / (1 - g), 1)), axis=1))
+    for _ in range(quality_rules.ROUNDS):
+        p = post()[:, None]
+        g, b = (((bad * q).sum(0) + 20 * x) / ((said * q).sum(0) + 20) for q, x in ((p, 0.02), (1 - p, 0.4)))
+        share = (p.sum() + 18) / (len(votes) + 20)
+    return share, g, b, post()
 
 
-def test_verdicts_on_labelled_text(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality_rules.report(docs).join(labels, "doc_id").where("not base_failed").collect()
-    kept = lambda q: [r["kept"] for r in rows if r["quality"] == q]
-    assert sum(kept(1)) / len(kept(1)) > 0.99 and sum(kept(0)) / len(kept(0)) < 0.1
+def vote(**x):
+    return tuple(x.get(name, 0) for name, _, _ in quality_rules.RULES)
+
 
+def test_fit_is_expectation_maximisation():
+    n = len(quality_rules.RULES)
+    patterns = [((1,) * n, 900), (vote(length=1, symbols=-1, marks=-1), 60), (vote(length=1, lines=-1, symbols=1, marks=1, capitals=1), 9), ((0,) * n, 17), (vote(length=-1), 4)]
+    share, g, b = quality_rules.fit(patterns)
+    want = brute_em(patterns)
+    assert np.allclose(share, want[0]) and np.allclose(g, want[1]) and np.allclose(b, want[2])
+    p = [quality_rules.posterior(v, (share, g, b)) for v, m in patterns for _ in range(m)]
+    assert np.allclose(p, want[3])
+    assert p[0] > 0.99 and p[900] < 0.01 and p[970] >= 0.5
+    assert quality_rules.fit([])[0] == 0.9
+
+
+def test_a_vote_weighs_what_its_agreement_earns():
+    """A bad vote that goes with others' bad votes weighs much, one that goes with good ones little."""
+    n = len(quality_rules.RULES)
+    lone = tuple(-1 if name == "lines" else 1 for name, _, _ in quality_rules.RULES)
+    agrees = tuple(-1 if name in ("lines", "repeats", "stutters") else 1 for name, _, _ in quality_rules.RULES)
+    noisy = quality_rules.fit([((1,) * n, 500), (lone, 400)])
+    sure = quality_rules.fit([((1,) * n, 900), (lone, 2), (agrees, 200)])
+    weight = lambda model: quality_rules.weights(model)[1][[r[0] for r in quality_rules.RULES].index("lines")][0]
+    assert weight(noisy) > -1 and weight(sure) < -4
+    assert quality_rules.posterior(lone, noisy) > 0.9 and quality_rules.posterior(agrees, sure) < 0.01
+
+
+def test_posterior_and_kept_like_brute_force(spark):
+    texts = [*hard_texts(), *(word_soup(i, 120) for i in range(20, 60)), *("##$ " * 80 + word_soup(i, 5) for i in range(8)), "one two three four " * 3]
+    docs = docs_frame(spark, texts)
+    seen, into = quality_rules.judge(docs)
+    rows = seen.select("doc_id", *[v.alias(f"v{i}") for i, v in enumerate(quality_rules.votes(f"{into}`.`m"))], f"{into}.p", f"{into}.good").collect()
+    counts = {}
+    for r in rows:
+        v = tuple(r[1:-2])
+        counts[v] = counts.get(v, 0) + 1
+    want = brute_em(list(counts.items()))[3]
+    want = dict(zip([v for v, m in counts.items() for _ in range(m)], want))
+    for r in rows:
+        assert abs(r["p"] - want[tuple(r[1:-2])]) < 1e-9 and r["good"] == (r["p"] >= 0.5 and bool(metrics(texts[r["doc_id"]])[0]))
 
-def test_unknown_language_is_not_judged_by_function_words(spark):
-    t = " ".join("".join(chr(97 + (i * j) % 23) for j in range(1, 6)) + str(i) for i in range(120))
-    docs = spark.createDataFrame([(1, t, "it", "s", 1), (2, t, "en", "s", 1)], DOCS)
-    assert {r["doc_id"]: r["__hs_m"]["n_function_words"] for r in quality_rules.with_metrics(docs).collect()} == {1: None, 2: 0}
+
+def test_verdicts_on_labelled_text(spark):
+    """Nothing is fit to these labels; the rules see the texts alone."""
+    for sf in ("sf0.01", "sf0.001"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        kept = quality_rules.quality_filter(docs).select("doc_id", F.lit(True).alias("kept"))
+        share = {r["quality"]: r["s"] for r in labels.join(docs, "doc_id").join(kept, "doc_id", "left").groupBy("quality").agg(F.avg(F.coalesce("kept", F.lit(False)).cast("int")).alias("s")).collect()}
+        assert share[1] > 0.99 and share[0] < 0.1, sf
+
+
+def test_clashing_names_pass(spark):
+    names = ["__hs_m", "__HS_M_", "n_words", "m", "p", "x", "text.y"]
+    docs = docs_frame(spark, [word_soup(1, 200), word_soup(2, 200)]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = quality_rules.quality_filter(docs)
+    assert out.columns == docs.columns and [tuple(r)[5:] for r in out.collect()] == [tuple(range(len(names)))] * 2
 
 
 def words10(text):
