@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,15 @@ import pyarrow as pa
 BLOCK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_r = np.random.default_rng(20240229)
-#: A random number for each byte, the same for A-Z and a-z.
-BYTE = _r.integers(0, 2**64, 256, dtype=np.uint64)
-BYTE[65:91] = BYTE[97:123]
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-ODD = _r.integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: 0 spaces, 1 letters, digits and all that is not ASCII, 2 other characters.
+KIND = np.where(SPACE, 0, 2)
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+#: Bytes with A-Z lower-cased.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+ODD = np.random.default_rng(20240229).integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
+#: Of a word with this many bytes or more, eight at a time by numpy, only these many; what follows is hashed by blake2b.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,16 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((BASE, np.uint64(pow(int(BASE), -1, 2**64)))):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
 def parts(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text, one row at least; what is made of a slice is gone before the next."""
     _, offsets = strings(batch.column(column))
@@ -72,18 +65,47 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A-Z count as a-z. Blocks of whole words bound the memory."""
+def tokens_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_bounds, but punctuation and other ASCII marks are runs of their own."""
+    kind = KIND[data]
+    new = np.zeros(len(data) + 1, bool)
+    new[offsets] = True
+    new[1:-1] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(new)
+    at = at[at < len(data)]
+    ends = np.r_[at[1:], len(data)]
+    real = kind[at] > 0
+    starts, ends = at[real], ends[real]
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = True) -> np.ndarray:
+    """64-bit hashes of the words' exact bytes, A-Z as a-z if folded. Words of up to eight bytes of one length never share one.
+
+    Each step takes the next eight bytes of all words that have some left, and mixes them in."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
+        # blocks of whole words bound the memory
         j = max(int(np.searchsorted(ends, starts[i] + BLOCK, side="right")), i + 1)
         a, b = int(starts[i]), int(ends[j - 1])
-        up, down = powers(b - a + 1)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(BYTE[data[a:b]] * up[: b - a], out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * ODD[0])
+        block = np.zeros(b - a + 8, np.uint8)
+        block[: b - a] = FOLDED[data[a:b]] if folded else data[a:b]
+        eight = np.ndarray((b - a + 1,), "<u8", block, strides=(1,))
+        s, n = starts[i:j] - a, ends[i:j] - starts[i:j]
+        h = n.astype(np.uint64) * ODD[0]
+        live, step = np.arange(j - i), 0
+        while len(live) and step < LONG:
+            left = n[live] - step
+            x = eight[s[live] + step]
+            short = left < 8
+            x[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+            h[live] = mix(h[live] ^ x) + ODD[7]
+            live, step = live[left > 8], step + 8
+        for k in live.tolist():
+            rest = hashlib.blake2b(block[s[k] + LONG : s[k] + n[k]].tobytes(), digest_size=8).digest()
+            h[k] = mix(h[k] ^ np.frombuffer(rest, "<u8"))[0]
+        out[i:j] = mix(h)
         i = j
     return out
 
