@@ -4,7 +4,8 @@ Documents become token ids and a closing id; what is longer than a sequence is c
 alike to a packer, so it works on the counts per length, a table no longer than the capacity: best-fit
 decreasing gives classes of equally filled sequences, and a local search then moves pieces, or exchanges one
 for one, two for one or one for two, between underfull sequences wherever the sum of squared fills grows,
-until no exchange helps or the bound total / capacity is met. Each piece finds its place by its rank among
+until no exchange helps or the bound total / capacity is met. An index tells for each sum of one or two pieces
+which classes hold it and how much room they have, so a class finds its exchange by its own pieces. Each piece finds its place by its rank among
 the pieces of its length; ranks are counted in buckets, so that no task holds all pieces of a length.
 
 Defined cases: a null text is empty, and an empty one still has the closing id; repeated rows are packed one
@@ -14,6 +15,7 @@ by one; an empty table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import zlib
 from collections import Counter, defaultdict
@@ -43,6 +45,11 @@ def tokenizer(path: str):
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    plain_split = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec["normalizer"] and spec["model"]["type"] == "BPE"
+    if not plain_split or any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        # another way of splitting than the one below
+        other = Tokenizer.from_file(path)
+        return lambda text: other.encode(text, add_special_tokens=False).ids
     ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     fast = tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -122,20 +129,80 @@ def best_fit(counts: dict[int, int], capacity: int) -> Classes:
     return out
 
 
-def _exchange(a: tuple[int, ...], b: tuple[int, ...], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What a gives and what it gets from the fuller b, so that b is filled most."""
-    best, gain = None, 0
-    ones_a, ones_b = set(a), {0} | set(b)
-    sums = lambda x: {p + q: (p, q) for i, p in enumerate(x) for q in x[i + 1 :]} if len(x) <= 128 else {}
-    give = {s: (s,) for s in ones_a} | {s: p for s, p in sums(a).items() if s not in ones_a}
-    get = {s: (s,) for s in ones_b} | {s: p for s, p in sums(b).items() if s not in ones_b}
-    lows = sorted(get)
-    for s in give:
-        # the least that b may hand over for s: s - x <= room
-        i = int(np.searchsorted(lows, s - room))
-        if i < len(lows) and 0 < s - lows[i] and s - lows[i] > gain and len(give[s]) + len(get[lows[i]]) <= 3:
-            best, gain = (give[s], tuple(x for x in get[lows[i]] if x)), s - lows[i]
-    return best
+def _sums(pattern: tuple[int, ...]) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+    """The distinct sums of one piece and of two, and pieces that make them."""
+    distinct = sorted(set(pattern), reverse=True)
+    pairs = {x + y: (x, y) for i, x in enumerate(distinct) for y in distinct[i + 1 :]}
+    pairs |= {2 * x: (x, x) for x, n in Counter(pattern).items() if n > 1}
+    return {x: (x,) for x in distinct}, pairs
+
+
+class Underfull:
+    """Classes with room, by what they can hand over: nothing or one piece (kind 0), or two (kind 1)."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.members: dict[tuple[int, int, int], dict[tuple[int, ...], None]] = defaultdict(dict)
+        self.held = np.zeros((2, 2 * capacity + 1, capacity + 1), bool)  # [kind, sum, room]
+        self.most = np.full((2, 2 * capacity + 1), -1)  # the most room of those that hold the sum
+
+    def _places(self, pattern: tuple[int, ...]) -> Iterator[tuple[int, int, int]]:
+        room = self.capacity - sum(pattern)
+        ones, twos = _sums(pattern)
+        yield from ((0, x, room) for x in (0, *ones))
+        yield from ((1, x, room) for x in twos)
+
+    def add(self, pattern: tuple[int, ...]) -> None:
+        for at in self._places(pattern):
+            self.members[at][pattern] = None
+            self.held[at] = True
+            self.most[at[:2]] = max(self.most[at[:2]], at[2])
+
+    def drop(self, pattern: tuple[int, ...]) -> None:
+        for at in self._places(pattern):
+            del self.members[at][pattern]
+            if not self.members[at]:
+                del self.members[at]
+                self.held[at] = False
+                if self.most[at[:2]] == at[2]:
+                    rooms = np.flatnonzero(self.held[at[:2]])
+                    self.most[at[:2]] = rooms[-1] if len(rooms) else -1
+
+    def exchange(self, source: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]] | None:
+        """(target, what source gives, what it gets): one that raises the sum of squared fills, or none. Source is not in the index.
+
+        Of the exchanges that fill a target to the brim the one with the most room; else the one that moves most."""
+        fill = sum(source)
+        limit = self.capacity - fill  # targets are no emptier than the source
+        best: tuple | None = None
+        for give_kind, gives in enumerate(_sums(source)):
+            for s, given in gives.items():
+                for kind in (0, 1) if not give_kind else (0,):
+                    low = max(0, s - limit)
+                    x = np.arange(low, s)
+                    if not len(x):
+                        continue
+                    brim = np.flatnonzero(self.held[kind, x, s - x])
+                    if len(brim):
+                        rank, found = (1, int(s - x[brim[0]])), (kind, int(x[brim[0]]), int(s - x[brim[0]]))
+                    else:
+                        fits = np.flatnonzero(self.most[kind, x] >= s - x)
+                        choice = None
+                        for i in fits.tolist():
+                            rooms = np.flatnonzero(self.held[kind, x[i], s - x[i] : limit + 1])
+                            if len(rooms):
+                                choice = (kind, int(x[i]), int(s - x[i] + rooms[0]))
+                                break
+                        if choice is None:
+                            continue
+                        rank, found = (0, s - choice[1]), choice
+                    if best is None or rank > best[0]:
+                        best = (rank, found, given)
+        if best is None:
+            return None
+        _, (kind, x, room), given = best
+        target = next(iter(self.members[kind, x, room]))
+        return target, given, _sums(target)[kind][x] if x else ()
 
 
 def _without(pattern: tuple[int, ...], out: tuple[int, ...], more: tuple[int, ...]) -> tuple[int, ...]:
@@ -145,34 +212,57 @@ def _without(pattern: tuple[int, ...], out: tuple[int, ...], more: tuple[int, ..
     return tuple(sorted([*rest, *more], reverse=True))
 
 
-def local_search(classes: Classes, capacity: int, steps: int = 4000) -> Classes:
-    """Exchanges between underfull sequences; each raises the sum of squared fills, and the emptiest are emptied first."""
+def local_search(classes: Classes, capacity: int) -> Classes:
+    """Exchanges between underfull sequences; each raises the sum of squared fills, and the emptiest are emptied first.
+
+    Ends when no class has an exchange or the bound is met; there are finitely many fills, so it does end."""
     total = sum(sum(p) * n for p, n in classes.items())
-    bound = -(-total // capacity)
-    stuck: set[tuple] = set()
-    for _ in range(steps):
-        if sum(classes.values()) <= bound:
-            break
-        under = sorted((p for p in classes if sum(p) < capacity), key=lambda p: (sum(p), p))
-        source = next((p for p in under if p not in stuck), None)
-        if source is None:
-            break
-        for target in reversed(under):
-            if target == source and classes[source] < 2 or sum(target) < sum(source):
-                continue
-            move = _exchange(source, target, capacity - sum(target))
-            if move:
-                m = min(classes[source], classes[target]) if target != source else classes[source] // 2
-                for p, q in ((source, _without(source, move[0], move[1])), (target, _without(target, move[1], move[0]))):
-                    classes[p] -= m
-                    if not classes[p]:
-                        del classes[p]
-                    if q:
-                        classes[q] += m
-                stuck.clear()
-                break
-        else:
-            stuck.add(source)
+    left = sum(classes.values()) - -(-total // capacity)
+    index = Underfull(capacity)
+    queue: list[tuple[int, tuple[int, ...]]] = []
+
+    def change(pattern: tuple[int, ...], by: int) -> None:
+        if not pattern:
+            return
+        old = classes[pattern]
+        classes[pattern] = old + by
+        if not classes[pattern]:
+            del classes[pattern]
+        if sum(pattern) < capacity and bool(old) != bool(old + by):
+            (index.add if by > 0 else index.drop)(pattern)
+            if by > 0:
+                heapq.heappush(queue, (sum(pattern), pattern))
+
+    for p in list(classes):
+        if sum(p) < capacity:
+            index.add(p)
+    moved = True
+    while left > 0 and moved:
+        # every class is asked once; a pass without an exchange is the end
+        queue[:] = sorted((sum(p), p) for p in classes if sum(p) < capacity)
+        moved = False
+        while left > 0 and queue:
+            _, source = heapq.heappop(queue)
+            while left > 0 and classes.get(source, 0):
+                n = classes[source]
+                index.drop(source)
+                move = index.exchange(source)
+                index.add(source)
+                if not move and n > 1:  # two of one class
+                    alone = Underfull(capacity)
+                    alone.add(source)
+                    move = alone.exchange(source)
+                if not move:
+                    break
+                target, given, got = move
+                m = n // 2 if target == source else min(n, classes[target])
+                emptied = _without(source, given, got)
+                change(source, -m)
+                change(target, -m)
+                change(emptied, m)
+                change(_without(target, got, given), m)
+                left -= 0 if emptied else m
+                moved = True
     return classes
 
 
