@@ -1,12 +1,15 @@
 """Benchmark decontamination in DataFrame functions alone.
 
-Every window of `size` words of a benchmark item (the whole item where it has fewer) is kept under its
-longest word, its anchor. The words of a document meet the broadcast hash table of anchors as they leave
-the scan; the few that hit are verified against the whole window before they count.
+Every window of `size` words of a benchmark item (the whole item where it has fewer) is hashed. The windows of a
+document, of each length that the items' windows have, are hashed as they leave the scan and meet the broadcast
+hash set; the few that hit are verified word by word against the benchmark's window before they count. A
+hash set of more than BROADCAST_BYTES meets the documents' hashes in a shuffled, salted join instead; only hashes
+and places are shuffled there, and the texts of the documents that hit.
 
 Defined cases: a null text has no words; an item without words has no window; several items may hold one
 window, and each counts; repeated rows of a document give a row each; an empty benchmark leaves every
-document clean; other columns of the input pass through `drop_contaminated` untouched.
+document clean; texts of any length are scanned whole; other columns of the input pass through
+`drop_contaminated` untouched.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliospark.llm.shared import ascii_lower, small, stored
+from heliospark.llm.shared import ascii_lower, fresh, small, stored
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows up to this number are broadcast; beyond it they meet the words of the documents in a shuffled join.
-BROADCAST_WINDOWS = 400_000
+#: Of words, items and hashes in the hash set, up to which it is broadcast; salts of the join beyond.
+BROADCAST_BYTES, SALTS = 64 << 20, 8
 
 
 def words_of(text: Column) -> Column:
@@ -26,43 +29,57 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(anchor, off, win, items): the distinct windows, where their anchor stands in them, and the items that hold them."""
+    """(hash, win, items): the distinct windows and the items that hold them, as a stored table."""
     w = benchmark.select(F.col("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))).alias("i"))
     w = w.select("item_id", F.slice("w", F.col("i"), size).alias("win")).groupBy("win").agg(F.collect_set("item_id").alias("items"))
-    longest = F.array_max(F.transform("win", lambda x, k: F.struct(F.length(x).alias("n"), (-k).alias("k"))))
-    return w.select((-longest["k"]).alias("off"), "win", "items").select(F.col("win")[F.col("off")].alias("anchor"), "off", "win", "items")
+    return stored(w.select(F.xxhash64("win").alias("hash"), "win", "items"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, __hs_text (a hash of the text), n_words, hits (array of start, length, items)."""
+def hashes(words: Column, lengths: list[int]) -> Column:
+    """(hash, start, length) of all windows of these lengths; starts count from 0."""
+
+    def of(length: int) -> Column:
+        at = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, length)).alias("hash"), i.alias("start"), F.lit(length).alias("length")))
+
+    return F.concat(*[of(x) for x in lengths]) if lengths else F.array().cast("array<struct<hash:bigint,start:int,length:int>>")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per distinct doc_id and text: doc_id, __hs_text (a hash of the text), n_words, rows, hits (array of start, length, items)."""
     wins = windows_of(benchmark, size)
-    # the empty word, which no text holds, stands at the end of each document and brings its row through the join
-    end = wins.sparkSession.range(1).select(
-        F.lit("").alias("anchor"), F.lit(0).alias("off"), F.array().cast("array<string>").alias("win"), F.array().cast(wins.schema["items"].dataType).alias("items")
-    )
-    table = wins.unionByName(end)
-    if wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        table = F.broadcast(table)
+    lengths = sorted(r[0] for r in wins.select(F.size("win")).distinct().collect())  # at most `size` of them
+    held = wins.agg(F.sum(F.octet_length(F.concat_ws(" ", "win")) + 40 * F.size("items") + 64)).first()[0] or 0
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("__hs_text"), words_of(F.col(f"`{text}`")).alias("w"))
-    at = d.select("doc_id", "__hs_text", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "anchor"))
-    met = at.join(table, "anchor").select(
-        "doc_id",
-        "__hs_text",
-        F.size("w").cast("long").alias("n"),
-        F.when(F.size("win") > 0, F.struct((F.col("pos") - F.col("off")).alias("start"), F.size("win").alias("length"), "items")).alias("hit"),
-        F.when(F.size("win") == 0, True).otherwise((F.col("pos") >= F.col("off")) & (F.slice("w", F.greatest(F.col("pos") - F.col("off") + 1, F.lit(1)), F.size("win")) == F.col("win"))).alias("ok"),
-    )
-    return (
-        met.where("ok")
-        .groupBy("doc_id", "__hs_text")
-        .agg(F.max("n").alias("n_words"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("rows"), F.collect_set("hit").alias("hits"))
+    hit = F.struct("start", "length", "items")
+    if held > broadcast_bytes:
+        at = d.select("doc_id", "__hs_text", F.explode(F.array_distinct(hashes(F.col("w"), lengths))).alias("x")).select("doc_id", "__hs_text", "x.*").withColumn("salt", F.pmod("start", F.lit(SALTS)))
+        keys = wins.select("hash", F.size("win").alias("length"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        met = stored(at.join(keys.hint("shuffle_hash"), ["hash", "length", "salt"]).select("doc_id", "__hs_text", "hash", "start", "length").distinct())
+        who = met.select("doc_id", "__hs_text").distinct().select(F.col("doc_id").alias("i"), F.col("__hs_text").alias("t"))
+        texts = d.join(small(stored(who)), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__hs_text") == F.col("t")), "left_semi").dropDuplicates(["doc_id", "__hs_text"])
+        found = met.alias("m").join(texts.alias("d"), F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.__hs_text") == F.col("d.__hs_text")))
+        found = found.select("m.*", F.slice("w", F.col("start") + 1, F.col("length")).alias("win")).join(wins, ["hash", "win"])
+        found = found.groupBy("doc_id", "__hs_text").agg(F.collect_set(hit).alias("hits")).select(F.col("doc_id").alias("i"), F.col("__hs_text").alias("t"), "hits")
+        rows = d.groupBy("doc_id", "__hs_text").agg(F.max(F.size("w")).cast("long").alias("n_words"), F.count("*").alias("rows"))
+        out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__hs_text") == F.col("t")), "left").drop("i", "t")
+        return out.withColumn("hits", F.coalesce("hits", F.array().cast(out.schema["hits"].dataType)))
+    # a window of no words, which each document has once, brings its row through the join
+    none = F.array().cast("array<string>")
+    end = wins.sparkSession.range(1).select(F.xxhash64(none).alias("hash"), none.alias("win"), F.array().cast(wins.schema["items"].dataType).alias("items"))
+    table = F.broadcast(wins.unionByName(end))
+    last = F.array(F.struct(F.xxhash64(none).alias("hash"), F.lit(0).alias("start"), F.lit(0).alias("length")))
+    at = d.select("doc_id", "__hs_text", "w", F.explode(F.concat(hashes(F.col("w"), lengths), last)).alias("x")).select("doc_id", "__hs_text", "w", "x.*")
+    met = at.join(table, "hash").where((F.col("length") == F.size("win")) & (F.slice("w", F.col("start") + 1, F.col("length")) == F.col("win")))
+    return met.groupBy("doc_id", "__hs_text").agg(
+        F.max(F.size("w")).cast("long").alias("n_words"), F.sum(F.when(F.col("length") == 0, 1).otherwise(0)).alias("rows"), F.collect_set(F.when(F.col("length") > 0, hit)).alias("hits")
     )
 
 
-def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of the contract for op4."""
-    found = scan(docs, benchmark, size)
+    found = scan(docs, benchmark, size, broadcast_bytes=broadcast_bytes)
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
     items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))), lambda x: x.cast("string")))
     return (
@@ -83,6 +100,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_percent: int = 0) -> DataFrame:
     """docs without those of which more than most_percent of the words lie in benchmark windows."""
     places = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))))
-    bad = scan(docs, benchmark, size).where((F.size("hits") > 0) & (100 * places > most_percent * F.col("n_words"))).select(F.col("doc_id").alias("__hs_id"), F.col("__hs_text").alias("__hs_hash"))
+    names = [fresh(c, docs.columns) for c in ("__hs_id", "__hs_hash")]
+    bad = scan(docs, benchmark, size).where((F.size("hits") > 0) & (100 * places > most_percent * F.col("n_words"))).select(F.col("doc_id").alias(names[0]), F.col("__hs_text").alias(names[1]))
     bad = small(stored(bad))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__hs_id"]) & (F.xxhash64(docs["text"]) == bad["__hs_hash"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(names[0])) & (F.xxhash64(docs["text"]) == F.col(names[1])), "left_anti")

@@ -1,6 +1,7 @@
 """The contracts that SQL can say, for DuckDB."""
 
 from heliospark.llm import quality_rules as Q
+from heliospark.llm import url_filter as U
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+')"
@@ -29,16 +30,32 @@ OP4 = f"""with i as (select item_id, {ITEM_WORDS} as w from benchmark),
 HOST = LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
 PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)?', 1)"
 RULES = "(values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) r(verdict, h, p)"
-SHRUNK = "(k + {0}::double * up) / (n + {0}::double)"
-OP3 = f"""with p as (select page_id, {HOST} as host, {PATH} as path from pages),
-  b as (select *, regexp_extract(host, '([^.]*\\.)?[^.]*$') as domain, regexp_extract(host, '[^.]*$') as suffix from p),
+BARE = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
+LABELS = lambda n: f"regexp_extract(bare, '([^.]*\\.){{0,{n - 1}}}[^.]*$')"
+NUMBER = r"regexp_matches(bare, '^([0-9.]+|\[.*\])$')"
+TWO = f"{LABELS(2)} in ({', '.join(repr(x) for x in U.SUFFIXES)})"
+
+
+def level(name: str, rows: str, keys: str) -> str:
+    """The likelihood of each strength, the likeliest, and the rates that it gives."""
+    like = "lgamma(k + s * up) + lgamma(n - k + s * (1 - up)) - lgamma(n + s) + lgamma(s) - lgamma(s * up) - lgamma(s * (1 - up))"
+    fit = f"select s from (select s, coalesce(round(sum({like}) filter (n > 0), 6), 0) as l from (select unnest([{', '.join(map(str, U.GRID))}]::double[]) as s) left join {name}_in on true group by s) order by l desc, s desc limit 1"
+    return f"{name}_in as ({rows}), {name} as (select {keys}, n, k, up, s, (k + s * up) / (n + s) as rate from {name}_in, ({fit}))"
+
+
+SERIES = f"exp(lgamma(a + b) - lgamma(a + 1) - lgamma(b) - (a + b) * ln(2)) * (1 + list_sum(list_transform(range(0, {U.TERMS}), lambda i: exp(lgamma(a + 1) + lgamma(a + b + i + 1) - lgamma(a + i + 2) - lgamma(a + b) - (i + 1) * ln(2)))))"
+OP3 = f"""with p as (select page_id, {HOST} as host, {PATH} as path from pages), q as (select *, {BARE} as bare from p),
+  x as (select *, case when {NUMBER} then bare when {TWO} then {LABELS(3)} else {LABELS(2)} end as domain, case when {NUMBER} then '' when {TWO} then {LABELS(2)} else {LABELS(1)} end as suffix from q),
   l as (select doc_id as page_id, count(*) as n, sum(case when quality = 0 or toxic = 1 then 1 else 0 end) as k from labels where doc_id is not null group by doc_id),
-  hs as (select host, domain, suffix, coalesce(sum(n), 0)::double as n, coalesce(sum(k), 0)::double as k from b left join l using (page_id) group by all),
-  ds as (select domain, suffix, sum(n) as n, sum(k) as k from hs group by all), ss as (select suffix, sum(n) as n, sum(k) as k from ds group by all),
-  g as (select (sum(k) + 1) / (sum(n) + 2) as up from ss), s2 as (select suffix, {SHRUNK.format(20)} as up from ss, g), d2 as (select domain, suffix, {SHRUNK.format(10)} as up from ds join s2 using (suffix)),
-  h2 as (select host, {SHRUNK.format(5)} as rate, n + 5 as total from hs join d2 using (domain, suffix)),
-  f as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as v from b, {RULES} where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
-  select page_id, b.host, path, rule, coalesce(v, case when rate - 1.645::double * sqrt(rate * (1 - rate) / (total + 1)) > 0.5::double then 'block' else 'allow' end) as verdict from b join h2 on h2.host = b.host left join f using (page_id)"""
+  h0 as (select bare, domain, suffix, coalesce(sum(n), 0)::double as n, coalesce(sum(k), 0)::double as k from x left join l using (page_id) group by all),
+  d0 as (select domain, suffix, sum(n) as n, sum(k) as k from h0 group by all), s0 as (select suffix, sum(n) as n, sum(k) as k from d0 group by all),
+  {level("sx", "select *, (select (sum(k) + 1) / (sum(n) + 2) from s0) as up from s0", "suffix")},
+  {level("dx", "select d0.*, sx.rate as up from d0 join sx using (suffix)", "domain, suffix")},
+  {level("hx", "select h0.*, dx.rate as up from h0 join dx using (domain, suffix)", "bare")},
+  post as (select bare, k + s * up as a, n - k + s * (1 - up) as b from hx),
+  bad as (select bare, a > b and case when a + b <= {U.EXACT} then {SERIES} <= {1 - U.SURE} else a / (a + b) - {U.Z}::double * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.5 end as bad from post),
+  f as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as v from p, {RULES} where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+  select page_id, x.host, path, rule, coalesce(v, case when bad.bad then 'block' else 'allow' end) as verdict from x join bad using (bare) left join f using (page_id)"""
 
 
 def op7() -> str:

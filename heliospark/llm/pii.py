@@ -323,7 +323,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """The rows of the contract for op10."""
-    s = F.col("__hs_spans")
-    return scan(docs, ["doc_id"]).select(
+    found = scan(docs, ["doc_id"])
+    s = F.col(found.columns[-1])
+    return found.select(
         "doc_id", *[S.count(s, k).alias(f"n_{k}") for k in BASE], F.sha2(S.joined(S.of_kinds(s, BASE)), 256).alias("base_sha256"), S.joined(s).alias("spans")
     )

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from heliospark.llm import decontaminate, quality_rules, url_filter
@@ -117,12 +119,13 @@ def words10(text):
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)) if w]
 
 
-def test_decontaminate_like_brute_force(spark):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontaminate_like_brute_force(spark, most):
     items = {1: word_soup(7, 40), 2: "short item only", 3: None, 4: "!!", 5: word_soup(9, 12), 6: "short item only"}
     texts = [*hard_texts(), "xx " + items[1] + " yy", "A Short, ITEM only. " * 3, word_soup(7, 39) + items[5], word_soup(9, 11), "É é " + items[1].upper()]
     docs = docs_frame(spark, texts, extra=[(14, texts[14], "en", "s", 1), (None, "short item only", "", "", 0)])
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    got = decontaminate.report(docs, bench).collect()
+    got = decontaminate.report(docs, bench, broadcast_bytes=most).collect()
     assert len(got) == len(texts) + 2
     for r in got:
         w = words10("short item only" if r["doc_id"] is None else texts[r["doc_id"]])
@@ -164,3 +167,38 @@ def test_url_rules_and_reputation(spark):
     assert all(r["verdict"] == ("block" if r["host"].startswith("spam") else "allow") for r in got if r["page_id"] >= 100)
     assert url_filter.report(pages.limit(0), labels).count() == 0
     assert url_filter.report(pages, labels.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+
+
+def test_strengths_and_posterior_bound(spark):
+    """Against the gamma function and a sum of the beta density."""
+    grid = [(a / 4, b / 4) for a in (1, 3, 9, 40, 161, 900) for b in (2, 5, 12, 77, 400, 880)]
+    d = spark.createDataFrame(grid, "a double, b double")
+    for r in d.select("a", "b", url_filter.log_gamma(F.col("a")).alias("g"), url_filter.surely_above_half(F.col("a"), F.col("b")).alias("x")).collect():
+        assert abs(r["g"] - math.lgamma(r["a"])) < 1e-9 * max(1, abs(r["g"]))
+        if r["a"] > r["b"]:
+            at = (np.arange(200_000) + 0.5) / 400_000
+            below = np.exp((r["a"] - 1) * np.log(at) + (r["b"] - 1) * np.log1p(-at) + math.lgamma(r["a"] + r["b"]) - math.lgamma(r["a"]) - math.lgamma(r["b"])).sum() / 400_000
+            assert r["x"] == (below <= 0.05) or abs(below - 0.05) < 1e-3, (r, below)
+        else:
+            assert not r["x"]
+    rows = [(n, k, 0.3) for n, k in ((10, 10), (12, 0), (9, 9), (8, 0), (20, 1))]
+    alike = [(20, 6, 0.3)] * 30
+    log = lambda s, x: sum(math.lgamma(k + s * m) + math.lgamma(n - k + s * (1 - m)) - math.lgamma(n + s) + math.lgamma(s) - math.lgamma(s * m) - math.lgamma(s * (1 - m)) for n, k, m in x)
+    for x in (rows, alike):
+        assert url_filter.fitted(spark.createDataFrame(x, "n long, k long, up double")) == max(url_filter.GRID, key=lambda s: log(s, x))
+
+
+def test_levels_of_hosts(spark):
+    want = {"a.b.example.com": ("example.com", "com"), "a.co.uk": ("a.co.uk", "co.uk"), "b.a.co.uk": ("a.co.uk", "co.uk"), "1.2.3.4": ("1.2.3.4", ""), "com": ("com", "com"), "": ("", ""), "user@x.a.org:8080": ("a.org", "org")}
+    d = spark.createDataFrame([(k,) for k in want], "h string").withColumn("b", url_filter.bare_of(F.col("h")))
+    got = d.select("h", *[c.alias(n) for c, n in zip(url_filter.levels_of(F.col("b")), "ds", strict=True)]).collect()
+    assert {r["h"]: (r["d"], r["s"]) for r in got} == want
+
+
+def test_long_urls_and_clashing_columns(spark):
+    long = "http://a.org/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, long, "a", "b"), (2, None, "c", "d")], "page_id long, url string, __hs_url string, host string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    d, into = url_filter.judge_urls(pages, labels)
+    rows = {r["page_id"]: r for r in d.collect()}
+    assert d.columns == [*pages.columns, into] and rows[1][into]["path"] == long[12:] and rows[2]["__hs_url"] == "c"

@@ -206,7 +206,7 @@ def test_segmentation_is_the_best_of_all():
 
 def test_reports(spark):
     texts = [*hard_texts(), "é token = abcdefgh", "mail a@b.co or 1.2.3.4", "x" * 1000 + " +1 (017) 555-7713"]
-    docs = docs_frame(spark, texts, extra=[(3, "one", "en", "s", 1), (None, "token: abcdef", "en", "s", 1)]).selectExpr("*", "1 as __hs_spans_", "'a' as kind")
+    docs = docs_frame(spark, texts, extra=[(3, "one", "en", "s", 1), (None, "token: abcdef", "en", "s", 1)]).selectExpr("*", "1 as __hs_spans_", "'a' as kind", "2 as __HS_spans")
     for report, base, kinds in ((secrets.report, base_secrets, secrets.BASE), (pii.report, base_pii, pii.BASE)):
         got = report(docs).collect()
         assert len(got) == len(texts) + 2
@@ -216,7 +216,7 @@ def test_reports(spark):
             assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert report(docs.limit(0)).count() == 0
     out = pii.redact(docs)
-    assert out.columns == [*docs.columns, "__hs_spans"]
+    assert out.columns == [*docs.columns, "__hs_spans__"]
     texts_out = {r["doc_id"]: r["text"] for r in out.collect()}
     assert texts_out[0] is None and texts_out[1] == "" and texts_out[14] == "mail [EMAIL] or [IP]"
     assert "[SECRET]" in next(r["text"] for r in secrets.redact(docs).collect() if r["doc_id"] == 13)
