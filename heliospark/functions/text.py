@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from heliospark.constants import COLLAPSE, KAZAKH_TO_RUSSIAN, KINDS, KIND_VISIBILITY, LATIN, STREET_WORDS, VISIBILITY
 
 #: What counts as punctuation: in the index builder the underscore is a letter, in the query front end it is not.
-KEEP_UNDERSCORE, DROP_UNDERSCORE = r"[^\p{L}\p{N}\p{M}_\s]", r"[^\p{L}\p{N}\s]"
+KEEP_UNDERSCORE, DROP_UNDERSCORE = r"[^\p{L}\p{N}_\s]", r"[^\p{L}\p{N}\s]"
 
 
 def _squeeze(text: Column) -> Column:

@@ -16,7 +16,7 @@ def level_priors(known: DataFrame, least: int = MIN_GROUP) -> tuple[DataFrame, D
     return by_group, ok.groupBy("tag").agg(F.median("levels").alias("tag_levels"))
 
 
-def neighbour_levels(buildings: DataFrame, k: int = NEIGHBOURS, size: float = 200.0) -> DataFrame:
+def neighbour_levels(buildings: DataFrame, k: int = NEIGHBOURS, size: float | None = None) -> DataFrame:
     """(id, neighbour_levels) for rows (id, x, y, bin, levels) without levels: the median of the k nearest of their size class, else of any."""
     have = buildings.where("levels is not null").select(F.col("id").alias("source_id"), F.col("x").alias("sx"), F.col("y").alias("sy"), "bin", "levels")
     want = buildings.where("levels is null").select(F.col("id").alias("query_id"), "x", "y", "bin")

@@ -5,32 +5,48 @@ it in intervals; the union of these intervals is the covered length."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliospark.constants import CANOPY_OPACITY, CANOPY_SOURCES
+from heliospark.constants import CANOPY_OPACITY, CANOPY_SOURCES, MAX_SHADOW
 from heliospark.functions import geo
 from heliospark.functions.geo import let
 from heliospark.functions.solar import shadow_vector
-from heliospark.operators.intervals import union_length
-from heliospark.operators.near import grid_join
+from heliospark.operators.near import cells, grid_join
 
 EPS = 1e-9
 
 
 def shadow_parts(casters: DataFrame, stamps: DataFrame) -> DataFrame:
-    """(stamp, soft, rings, r_x0, r_y0, r_x1, r_y1): convex bands and footprints. casters(rings, height_m, height_source), stamps(stamp, altitude, azimuth).
+    """(stamp, soft, rings, band, r_x0, r_y0, r_x1, r_y1): bands (a corner, an edge and the sun's vector) and footprints (rings, of every stamp, so their stamp is null). casters(rings, height_m, height_source), stamps(stamp, altitude, azimuth).
 
     stamps has at most some dozens of rows, so it goes to every task."""
     soft = F.col("height_source").isin(CANOPY_SOURCES)
     at = casters.withColumn("soft", soft).crossJoin(F.broadcast(stamps)).withColumn("v", shadow_vector(F.col("height_m"), F.col("altitude"), F.col("azimuth"))).where("v is not null")
     edges = at.select("stamp", "soft", "v", F.explode(geo.rings_edges(F.col("rings"))).alias("e"))
-    moved = lambda p: F.struct((p["x"] + F.col("v.dx")).alias("x"), (p["y"] + F.col("v.dy")).alias("y"))
-    a, b = F.col("e.a"), F.col("e.b")
-    turn = (b["x"] - a["x"]) * F.col("v.dy") - (b["y"] - a["y"]) * F.col("v.dx")
-    bands = edges.where(F.abs(turn) > EPS).select("stamp", "soft", F.array(F.array(a, b, moved(b), moved(a))).alias("rings"))
-    feet = at.select("stamp", "soft", "rings")
-    return _boxed(bands.unionByName(feet))
+    a, b, v = F.col("e.a"), F.col("e.b"), F.col("v")
+    ex, ey = b["x"] - a["x"], b["y"] - a["y"]
+    turn = ex * v["dy"] - ey * v["dx"]
+    band = F.struct(a["x"].alias("x"), a["y"].alias("y"), ex.alias("ex"), ey.alias("ey"), v["dx"].alias("vx"), v["dy"].alias("vy"))
+    low = lambda k, d: F.least(a[k], b[k]) + F.least(v[d], F.lit(0.0))
+    high = lambda k, d: F.greatest(a[k], b[k]) + F.greatest(v[d], F.lit(0.0))
+    bands = edges.where(F.abs(turn) > EPS).select(
+        "stamp", "soft", F.lit(None).cast(geo.RINGS).alias("rings"), band.alias("band"), low("x", "dx").alias("r_x0"), low("y", "dy").alias("r_y0"), high("x", "dx").alias("r_x1"), high("y", "dy").alias("r_y1")
+    )
+    day = stamps.where("altitude > 0").limit(1).select(F.lit(None).cast(stamps.schema["stamp"].dataType).alias("stamp"))
+    feet = _boxed(casters.select(soft.alias("soft"), "rings").crossJoin(F.broadcast(day)))  # one row, or none at night
+    return bands.unionByName(feet.withColumn("band", F.lit(None).cast(bands.schema["band"].dataType)))
+
+
+def near_streets(casters: DataFrame, edges: DataFrame, cell: float = 256.0) -> DataFrame:
+    """The casters whose longest shadow may reach a street, by cells, before they are multiplied by stamps."""
+    pieces = street_pieces(edges)
+    cells_of = lambda x0, y0, x1, y1: F.explode(cells(x0, y0, x1, y1, cell))
+    used = pieces.select(cells_of(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("__cell")).distinct()
+    boxed = _boxed(casters.withColumn("__id", F.monotonically_increasing_id()))
+    far = F.lit(MAX_SHADOW)
+    spread = boxed.withColumn("__cell", cells_of(F.col("r_x0") - far, F.col("r_y0") - far, F.col("r_x1") + far, F.col("r_y1") + far))
+    return spread.join(used, "__cell", "left_semi").dropDuplicates(["__id"]).select(casters.columns)
 
 
 def _boxed(parts: DataFrame) -> DataFrame:
@@ -75,15 +91,52 @@ def inside(rings, a, b):
     return let(geo.rings_edges(rings), pick)
 
 
-def score(edges: DataFrame, parts: DataFrame, stamps: DataFrame, cell: float = 64.0) -> DataFrame:
-    """(stamp, edge_id, shade) for edges(edge_id, coords) and every stamp: the share of an edge's own length in solid shadow, and CANOPY_OPACITY of that in soft shadow alone. A stamp without any shadow is night."""
+def in_band(band, a, b):
+    """struct(t0, t1): where the piece a-b lies in the parallelogram that an edge sweeps; t0 above t1 where it does not. Plain arithmetic: a point is a corner plus shares of the edge and of the vector, and each share is between 0 and 1."""
+    dx, dy, wx, wy = b["x"] - a["x"], b["y"] - a["y"], a["x"] - band["x"], a["y"] - band["y"]
+    turn = band["ex"] * band["vy"] - band["ey"] * band["vx"]
+    slab = lambda at, by: (
+        F.when(F.abs(by) > EPS, F.least(-at / by, (1 - at) / by)).when(at.between(-EPS, 1 + EPS), F.lit(0.0)).otherwise(F.lit(2.0)),
+        F.when(F.abs(by) > EPS, F.greatest(-at / by, (1 - at) / by)).otherwise(F.lit(1.0)),
+    )
+    l0, h0 = slab((wx * band["vy"] - wy * band["vx"]) / turn, (dx * band["vy"] - dy * band["vx"]) / turn)
+    l1, h1 = slab((band["ex"] * wy - band["ey"] * wx) / turn, (band["ex"] * dy - band["ey"] * dx) / turn)
+    return F.struct(F.greatest(F.lit(0.0), l0, l1).alias("t0"), F.least(F.lit(1.0), h0, h1).alias("t1"))
+
+
+def dark_lengths(spans: DataFrame) -> DataFrame:
+    """(stamp, edge_id, both, solid): covered lengths of all and of solid spans(stamp, edge_id, piece, soft, t0, t1), in one pass over each piece's spans in order with two running ends."""
+    w = Window.partitionBy("stamp", "edge_id", "piece").orderBy("t0", "t1", "soft").rowsBetween(Window.unboundedPreceding, -1)
+    solid_end = F.when(~F.col("soft"), F.col("t1"))
+    more = lambda end: F.greatest(F.col("t1") - F.greatest(F.col("t0"), F.coalesce(F.max(end).over(w), F.col("t0"))), F.lit(0.0))
+    grown = spans.select("stamp", "edge_id", more(F.col("t1")).alias("both"), F.when(F.col("soft"), 0.0).otherwise(more(solid_end)).alias("solid"))
+    return grown.groupBy("stamp", "edge_id").agg(F.sum("both").alias("both"), F.sum("solid").alias("solid"))
+
+
+def score_streets(edges: DataFrame, casters: DataFrame, stamps: DataFrame) -> DataFrame:
+    """score() of all that casters throw; by day a street that nothing reaches is in the sun, and without any caster every stamp is night."""
+    if not casters.limit(1).count():
+        stamps = stamps.withColumn("altitude", F.lit(-90.0))
+    return score(edges, shadow_parts(near_streets(casters, edges), stamps), stamps)
+
+
+def score(edges: DataFrame, parts: DataFrame, stamps: DataFrame, cell: float = 128.0) -> DataFrame:
+    """(stamp, edge_id, shade) for edges(edge_id, coords) and every stamp: the share of an edge's own length in solid shadow, and CANOPY_OPACITY of that in soft shadow alone. Night is where stamps' altitude says so, or else a stamp without any part."""
     pieces = street_pieces(edges)
-    met = grid_join(pieces, parts, cell).withColumn("i", F.explode(inside(F.col("rings"), F.col("a"), F.col("b"))))
-    spans = met.select("stamp", "edge_id", "piece", "soft", (F.col("i.t0") * F.col("size")).alias("t0"), (F.col("i.t1") * F.col("size")).alias("t1"))
-    keys = ["stamp", "edge_id", "piece"]
-    both = union_length(spans, keys, name="both").join(union_length(spans.where("not soft"), keys, name="solid"), keys, "left")
-    sums = both.groupBy("stamp", "edge_id").agg(F.sum(F.coalesce("solid", F.lit(0.0)) + CANOPY_OPACITY * (F.col("both") - F.coalesce("solid", F.lit(0.0)))).alias("dark"))
-    night = stamps.select("stamp").join(parts.select("stamp").distinct(), "stamp", "left_anti").withColumn("night", F.lit(True))
+    met = grid_join(pieces, parts, cell)
+    size, days = F.col("size"), stamps.where("altitude > 0") if "altitude" in stamps.columns else stamps
+    span = lambda i: [F.col("stamp"), F.col("edge_id"), F.col("piece"), F.col("soft"), (i["t0"] * size).alias("t0"), (i["t1"] * size).alias("t1")]
+    whole_rings = met.where("rings is not null").withColumn("i", F.explode(inside(F.col("rings"), F.col("a"), F.col("b"))))
+    spans = whole_rings.where("stamp is not null").select(*span(F.col("i")))
+    if "band" in parts.columns:
+        swept = met.where("band is not null").withColumn("i", in_band(F.col("band"), F.col("a"), F.col("b"))).where("i.t1 > i.t0").select(*span(F.col("i")))
+        feet = whole_rings.where("stamp is null").drop("stamp").crossJoin(F.broadcast(days.select("stamp"))).select(*span(F.col("i")))  # some dozens of stamps
+        spans = swept.unionByName(feet)
+    sums = dark_lengths(spans).select("stamp", "edge_id", (F.col("solid") + CANOPY_OPACITY * (F.col("both") - F.col("solid"))).alias("dark"))
+    if "altitude" in stamps.columns:
+        night = stamps.where("not coalesce(altitude > 0, false)").select("stamp", F.lit(True).alias("night"))
+    else:
+        night = stamps.select("stamp").join(parts.select("stamp").distinct(), "stamp", "left_anti").withColumn("night", F.lit(True))
     whole = edges.select("edge_id", geo.line_length(F.col("coords")).alias("length"))
     all_rows = whole.crossJoin(F.broadcast(stamps.select("stamp").join(night, "stamp", "left")))  # some dozens of stamps
     shade = F.when(F.col("night"), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide("dark", "length"), F.lit(0.0))))

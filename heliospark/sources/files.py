@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospark.constants import COLLAPSE, KAZAKH_TO_RUSSIAN, LATIN, SIMPLIFY, STREET_WORDS
-from heliospark.functions.geo import from_utm
+from heliospark.functions.geo import distance_to_segment, from_utm, let
 from heliospark.functions.tags import bounded_number
 
 HOURLY = "hourly struct<time:array<string>,temperature_2m:array<double>,apparent_temperature:array<double>,cloud_cover:array<double>,precipitation:array<double>>"
@@ -33,15 +33,18 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written aside and renamed, so that a reader sees the old one or the new one."""
+    """A small file, written aside and renamed over the old one in one step, so that a reader sees the old one or the new one."""
     fs, p = _fs(spark, path)
-    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    jvm = spark.sparkContext._jvm
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(aside, p):
-        raise OSError(f"{path} can't be written")
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(option, 1)
+    over[0] = option.OVERWRITE
+    where = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    where.rename(fs.makeQualified(aside), fs.makeQualified(p), over)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -71,11 +74,29 @@ def lon_lat(point: Column) -> Column:
 
 
 def simplified(ring: Column, tolerance: float = SIMPLIFY) -> Column:
-    """A ring without corners that lie closer than the tolerance to the corner kept before them; the first and the last stay."""
-    near = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])) < tolerance
-    open_ring = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1)))
-    kept = F.aggregate(open_ring, F.slice(ring, 1, 1), lambda acc, p: F.when(near(F.element_at(acc, -1), p), acc).otherwise(F.concat(acc, F.array(p))))
-    return F.when(F.size(kept) >= 3, F.concat(kept, F.slice(ring, -1, 1))).otherwise(ring)
+    """A closed ring without corners that lie within the tolerance of the line between kept ones (Douglas and Peucker).
+
+    Each round looks at all stretches between kept corners at once and keeps the corner of each that is farthest off, if it
+    is too far; a ring of n corners needs at most n rounds, and one that no corner is kept of is returned as it is."""
+    point = lambda i: F.element_at(ring, i + 1)
+    last = F.size(ring) - 1
+
+    def farthest(i, j):
+        a, b = point(i), point(j)
+        off = lambda k: distance_to_segment(point(k)["x"], point(k)["y"], F.struct(a.alias("a"), b.alias("b")))
+        inner = F.when(j - i > 1, F.sequence(i + 1, j - 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_max(F.transform(inner, lambda k: F.struct(off(k).alias("d"), (-k).alias("k"))))
+
+    def split(kept):
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))), lambda i: farthest(F.element_at(kept, i), F.coalesce(F.get(kept, i), F.element_at(kept, i))))
+        far = F.transform(F.filter(pairs, lambda p: p["d"] > tolerance), lambda p: -p["k"])
+        return F.array_sort(F.concat(kept, far))
+
+    rounds = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    start = F.struct(F.array(F.lit(0), last).alias("kept"), F.lit(False).alias("done"))
+    step = lambda acc, _: F.when(acc["done"], acc).otherwise(let(split(acc["kept"]), lambda k: F.struct(k.alias("kept"), (F.size(k) == F.size(acc["kept"])).alias("done"))))
+    kept = F.aggregate(rounds, start, step)["kept"]
+    return F.when(F.size(ring) < 4, ring).otherwise(let(kept, lambda k: F.when(F.size(k) >= 4, F.transform(k, point)).otherwise(ring)))
 
 
 def polygon_features(parts: DataFrame, properties: list[str]) -> DataFrame:
@@ -97,15 +118,38 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def valid_canopy(canopy: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """canopy(rings, height_m, height_source) that a map can show: closed rings of at least four corners, an area, a height, inside the box (x0, y0, x1, y1). None at all is an error."""
+    """canopy(rings, height_m, height_source) for a map: every crown must have closed rings of at least four corners, an area, a height, and lie inside the box (x0, y0, x1, y1). One that has not is an error, as is no crown at all."""
     from heliospark.functions.geo import polygon_area
 
     inside = F.forall(F.flatten("rings"), lambda p: p["x"].between(box[0], box[2]) & p["y"].between(box[1], box[3]))
     closed = F.forall("rings", lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
-    out = canopy.where((F.size("rings") > 0) & closed & inside & (F.col("height_m") > 0)).where(polygon_area(F.col("rings")) > 0)
-    if not out.limit(1).count():
-        raise ValueError("no canopy is valid")
-    return out
+    sound = (F.size("rings") > 0) & closed & inside & (F.col("height_m") > 0)
+    ok = F.when(F.coalesce(sound, F.lit(False)), polygon_area(F.col("rings")) > 0).otherwise(False)
+    n, bad = canopy.agg(F.count("*"), F.count_if(~ok)).first()
+    if not n or bad:
+        raise ValueError(f"{bad} of {n} crowns are not valid" if n else "no canopy is valid")
+    return canopy
+
+
+def replace_tree(canopy: DataFrame, path: str, box: tuple[float, float, float, float]) -> None:
+    """Crowns as features, validated and written aside; the old ones go only when the new ones are whole."""
+    spark = canopy.sparkSession
+    write_features(polygon_features(valid_canopy(canopy, box), ["height_m", "height_source"]), f"{path}.new")
+    fs, p = _fs(spark, path)
+    aside, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in (".new", ".old"))
+    fs.delete(old, True)
+    if fs.exists(p) and not fs.rename(p, old) or not fs.rename(aside, p):
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(old, True)
+
+
+def drop_stale(spark: SparkSession, folder: str, written: list[str]) -> list[str]:
+    """Deletes what a folder holds but `written`, and says which, in order."""
+    fs, p = _fs(spark, folder)
+    gone = sorted({s.getPath().getName() for s in (fs.listStatus(p) if fs.exists(p) else [])} - set(written))
+    for name in gone:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+    return gone
 
 
 FOLD_RULES = {"chars": KAZAKH_TO_RUSSIAN, "strip": STREET_WORDS, "translit": LATIN, "collapse": [list(p) for p in COLLAPSE]}

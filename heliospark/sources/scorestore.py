@@ -13,9 +13,10 @@ from heliospark.sources.tables import exists, schema
 KEYS = ["radius_m", "date", "stamp"]
 
 
-def save(scores: DataFrame, root: str) -> None:
-    """scores(radius_m, date, stamp, u, v, key, shade_fraction); only the partitions that it holds are replaced."""
+def save(scores: DataFrame, root: str, files_per_stamp: int = 1) -> None:
+    """scores(radius_m, date, stamp, u, v, key, shade_fraction); only the partitions that it holds are replaced. A stamp is written by `files_per_stamp` tasks, whatever the tasks that scored it."""
     out = scores.select("u", "v", "key", F.col("shade_fraction").cast("float").alias("shade_fraction"), "radius_m", F.col("date").cast("date").alias("date"), "stamp")
+    out = out.repartition(*KEYS, F.pmod(F.xxhash64("u", "v"), F.lit(files_per_stamp)))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*KEYS).parquet(root)
 
 
@@ -87,19 +88,29 @@ def day_scores(spark: SparkSession, root: str, radius_m: int, date: dt.date, sta
     return met if n and all(counts.get(i, 0) >= MIN_COVERAGE * n for i in range(len(stamps))) else None
 
 
+def coverage(edges: DataFrame, scores: DataFrame, stamps: list[str]) -> DataFrame:
+    """(stamp, n_edges, n_scored, valid): for every stamp asked for, how many different edges it scores, and whether all scores of the network's edges are shares."""
+    keys = ["u", "v", "key"]
+    asked = F.explode(F.array(*map(F.lit, stamps))) if stamps else F.explode(F.array().cast("array<string>"))
+    e = edges.select(*keys).distinct()
+    all_pairs = e.select(*keys, asked.alias("stamp"))
+    good = F.col("shade_fraction").between(0, 1) & ~F.isnan("shade_fraction")
+    seen = scores.groupBy(*keys, "stamp").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("good"))
+    met = all_pairs.join(seen, [*keys, "stamp"], "left")
+    return met.groupBy("stamp").agg(F.count("*").alias("n_edges"), F.count("good").alias("n_scored"), F.coalesce(F.bool_and("good"), F.lit(True)).alias("valid"))
+
+
 def validate(spark: SparkSession, root: str, radius_m: int, date: dt.date, stamps: list[str], edges: DataFrame) -> list[str]:
-    """What is wrong with a day's scores; nothing if it may be released."""
+    """What is wrong with a day's scores; nothing if it may be released. Scores of another network's edges cover nothing."""
     wrong = [] if stamps else ["no daylight stamp"]
     wrong += [f"{s} is missing" for s in missing(spark, root, radius_m, date, stamps)]
     if not edges.limit(1).count():
         return [*wrong, "no edges"]
     part = scan(spark, root).where((F.col("radius_m") == radius_m) & (F.col("date") == date))
-    good = F.coalesce(F.col("shade_fraction").between(0, 1) & ~F.isnan("shade_fraction"), F.lit(False))
-    met = edges.select("u", "v", "key").join(part, ["u", "v", "key"])
-    n = edges.count()
-    for r in met.groupBy("stamp").agg(F.count("*").alias("n"), F.bool_and(good).alias("ok")).orderBy("stamp").collect():
-        if r["n"] < MIN_COVERAGE * n:
-            wrong.append(f"{r['stamp']} covers {r['n']} of {n} edges")
-        if not r["ok"]:
+    there = [s for r, d, s in partitions(spark, root) if (r, d) == (radius_m, date)]
+    for r in coverage(edges, part, there).orderBy("stamp").collect():  # a row per stamp
+        if r["n_scored"] < MIN_COVERAGE * r["n_edges"]:
+            wrong.append(f"{r['stamp']} covers {r['n_scored']} of {r['n_edges']} edges")
+        if not r["valid"]:
             wrong.append(f"{r['stamp']} has shade outside 0 to 1")
     return wrong

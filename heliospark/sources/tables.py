@@ -91,10 +91,12 @@ def upsert(current: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset and all tasks run on this machine, an error on a cluster."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="heliospark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

@@ -76,7 +76,7 @@ def test_search_like_rounds_of_joins(spark, seed):
     town = search.City.of(e, n, s, c)
     lengths, costs = town.length, {}
     for q in asked.collect():
-        steps = town.walk(town.costs(q["alpha"]), town.clock, q["origin"], q["goal"], q["depart"], guide=False)
+        steps = town.walk(town.prices(q["alpha"]), town.clock, q["origin"], q["goal"], q["depart"], guide=False)
         if steps is not None:
             costs[q["req_id"]] = sum(float(town.costs(q["alpha"])[k, i]) for i, k in steps)
     del lengths
@@ -254,6 +254,41 @@ def test_tiles_and_canopy(spark):
     assert spark.range(1).select(geo.tiles_over(51.1605, 71.4704, 51.2953, 71.4704, 9)).first()[0] == ["121302121", "121302123"]
     good, open_ring = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]], [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]]
     df = spark.createDataFrame([(good, 4.0, "chm_height"), (open_ring, 4.0, "x"), (good, -1.0, "x")], "rings array<array<struct<x:double,y:double>>>, height_m double, height_source string")
-    assert files.valid_canopy(df, (0, 0, 5, 5)).count() == 1
-    with pytest.raises(ValueError, match="valid"):
-        files.valid_canopy(df, (0, 0, 0.5, 5))
+    assert files.valid_canopy(df.limit(1), (0, 0, 5, 5)).count() == 1
+    for bad, box in ((df, (0, 0, 5, 5)), (df.limit(1), (0, 0, 0.5, 5)), (df.limit(0), (0, 0, 5, 5))):
+        with pytest.raises(ValueError, match="valid"):
+            files.valid_canopy(bad, box)
+
+
+def test_scores_of_another_network_do_not_pass(spark, tmp_path):
+    day = dt.date(2024, 6, 1)
+    rows = [(1, day, s, u, u + 1, 0, 0.5) for s in ("06:00", "07:00") for u in (100, 101, 102)]
+    scorestore.save(spark.createDataFrame(rows, "radius_m int, date date, stamp string, u long, v long, key int, shade_fraction double"), f"{tmp_path}/s")
+    other = spark.createDataFrame([(0, 1, 2, 0), (1, 2, 3, 0)], "edge_id long, u long, v long, key int")
+    wrong = scorestore.validate(spark, f"{tmp_path}/s", 1, day, ["06:00", "07:00"], other)
+    assert [w.split(" covers ")[1] for w in wrong] == ["0 of 2 edges"] * 2
+    own = spark.createDataFrame([(i, 100 + i, 101 + i, 0) for i in range(3)], "edge_id long, u long, v long, key int")
+    assert scorestore.validate(spark, f"{tmp_path}/s", 1, day, ["06:00", "07:00"], own) == []
+
+
+def test_a_reader_never_misses_the_file(spark, tmp_path):
+    path = f"{tmp_path}/m.json"
+    for text in ("one", "two"):
+        files.write_text(spark, path, text)
+        assert files.read_text(spark, path) == text
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["m.json"]
+    for name in ("a", "b", "c"):
+        files.write_text(spark, f"{tmp_path}/tiles/{name}", name)
+    assert [x for x in files.drop_stale(spark, f"{tmp_path}/tiles", ["b"]) if not x.startswith(".")] == ["a", "c"]
+
+
+def test_simplified_keeps_what_is_off_the_line(spark):
+    def kept(ring, tolerance=1.0):
+        df = spark.createDataFrame([([(float(x), float(y)) for x, y in ring],)], "r array<struct<x:double,y:double>>")
+        return [tuple(p) for p in df.select(files.simplified(F.col("r"), tolerance)).first()[0]]
+
+    square = [(0, 0), (10, 0.3), (20, 0), (40, 0), (40, 40), (20, 40.9), (0, 40), (0, 0)]
+    assert kept(square) == [(0, 0), (40, 0), (40, 40), (0, 40), (0, 0)]
+    notch = [(0, 0), (20, 0), (20, 3), (22, 3), (22, 0), (40, 0), (40, 40), (0, 40), (0, 0)]
+    assert kept(notch) == notch
+    assert kept([(0, 0), (0.2, 0), (0.2, 0.2), (0, 0)]) == [(0, 0), (0.2, 0), (0.2, 0.2), (0, 0)]
