@@ -167,6 +167,18 @@ def distance_to_polygon(rings: Column, x: Column, y: Column) -> Column:
     return F.when(in_rings(rings, x, y), F.lit(0.0)).otherwise(F.array_min(F.transform(rings_edges(rings), lambda e: distance_to_segment(x, y, e))))
 
 
+def within(rings: Column, x: Column, y: Column, radius: float) -> Column:
+    """Whether a polygon comes as near to a point as the radius; its nearest edge counts, not its centre."""
+    return distance_to_polygon(rings, x, y) <= radius
+
+
+def line_within(coords: Column, x: Column, y: Column, radius: float) -> Column:
+    """The same of a line, or of a point (a line of one)."""
+    only = F.element_at(coords, 1)
+    far = F.when(F.size(coords) == 1, hypot(only["x"] - x, only["y"] - y)).otherwise(F.array_min(F.transform(segments(coords), lambda e: distance_to_segment(x, y, e))))
+    return far <= radius
+
+
 def segments(coords: Column) -> Column:
     """Array of structs (a, b) of a line."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(coords) - 1, F.lit(1))), lambda i: F.struct(F.element_at(coords, i).alias("a"), F.get(coords, i).alias("b")))

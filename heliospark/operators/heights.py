@@ -30,6 +30,12 @@ def neighbour_levels(buildings: DataFrame, k: int = NEIGHBOURS, size: float | No
     return same.unionByName(medians(left, have.drop("bin"), [])).withColumnRenamed("query_id", "id")
 
 
+def with_overrides(buildings: DataFrame, overrides: DataFrame) -> DataFrame:
+    """buildings(element, id, ...) with override_levels, from overrides(osm_element, osm_id, levels), whose keys are unique."""
+    o = overrides.select(F.col("osm_element").alias("element"), F.col("osm_id").alias("id"), F.col("levels").alias("override_levels"))
+    return buildings.join(small(o), ["element", "id"], "left")
+
+
 def with_height(buildings: DataFrame) -> DataFrame:
     """buildings(id, tag, bin, x, y, tag_height, tag_levels_text, override_levels) with height_m and height_source.
 

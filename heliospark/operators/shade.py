@@ -38,6 +38,18 @@ def shadow_parts(casters: DataFrame, stamps: DataFrame) -> DataFrame:
     return bands.unionByName(feet.withColumn("band", F.lit(None).cast(bands.schema["band"].dataType)))
 
 
+def shadow_polygons(casters: DataFrame, stamps: DataFrame) -> DataFrame:
+    """(stamp, kind, rings) for a map: each footprint and each band that its edges sweep, soft or solid; where they overlap a map draws the kind once. Night has none."""
+    parts = shadow_parts(casters, stamps)
+    b = F.col("band")
+    corner = lambda e, v: F.struct((b["x"] + (b["ex"] if e else 0) + (b["vx"] if v else 0)).alias("x"), (b["y"] + (b["ey"] if e else 0) + (b["vy"] if v else 0)).alias("y"))
+    swept = F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
+    kind = F.when(F.col("soft"), "soft").otherwise("solid").alias("kind")
+    days = F.broadcast(stamps.where("altitude > 0").select("stamp"))  # some dozens of stamps
+    feet = parts.where("band is null").drop("stamp").crossJoin(days).select("stamp", kind, "rings")
+    return parts.where("band is not null").select("stamp", kind, swept.alias("rings")).unionByName(feet)
+
+
 def near_streets(casters: DataFrame, edges: DataFrame, cell: float = 256.0) -> DataFrame:
     """The casters whose longest shadow may reach a street, by cells, before they are multiplied by stamps."""
     pieces = street_pieces(edges)
