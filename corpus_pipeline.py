@@ -4,6 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns what it keeps: rejected docum
 each near-copy group stays, contaminated documents are gone, personal data is replaced by its type, and what is
 left is packed into sequences. All stages but the last return the columns of documents.
 
+The first stage follows the joint verdict of the rules alone, so that a short clean document stays.
+
 Defined cases: as the operators state them; in short, null and empty texts fail the quality rules, repeated rows
 of one id leave one row after the second stage, extra columns pass through all stages but the last, and empty
 tables give an empty result.
@@ -22,19 +24,21 @@ from heliospark.llm.shared import TABLES, drop_tables, stored, table
 ORACLE_SQL = None
 
 
-#: Tables that the last stage made for itself.
-_made: list[str] = []
+#: By session and input folder: tables that the last stage made for itself.
+_made: dict[tuple[str, str], list[str]] = {}
 
 
 def stage(f):
-    """A stage that first deletes what the stage before it made for itself: that one's result has been written by then, or else docs still reads those tables, and they stay."""
+    """A stage that first deletes what the stage before it on the same input made for itself: that one's result has been written by then, or else docs still reads those tables, and they stay."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _made else []
-        drop_tables(spark, [t for t in _made if t in TABLES and not any(t in x for x in read)])
+        key = (spark.sparkContext.applicationId, sf_dir)
+        old = _made.get(key, [])
+        read = docs.inputFiles() if old else []
+        drop_tables(spark, [t for t in old if t in TABLES and not any(t in x for x in read)])
         before = set(TABLES)
         out = f(spark, docs, sf_dir)
-        _made[:] = [t for t in TABLES if t not in before]
+        _made[key] = [t for t in TABLES if t not in before]
         return out
 
     run_stage.__doc__, run_stage.__name__ = f.__doc__, f.__name__
@@ -58,7 +62,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.redact(docs).drop("__hs_spans")
+    out = pii.redact(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
