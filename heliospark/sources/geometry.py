@@ -7,8 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from heliospark.functions.geo import RINGS
+from pyspark.sql import types as T
 
 TYPES = ["Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon"]
 
@@ -69,7 +68,11 @@ def _wkb(data: bytes | None) -> dict | None:
         return None
 
 
-@F.pandas_udf(f"type string, rings {RINGS}")
+POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+GEOMETRY = T.StructType([T.StructField("type", T.StringType()), T.StructField("rings", T.ArrayType(T.ArrayType(POINT)))])
+
+
+@F.pandas_udf(GEOMETRY)
 def from_wkb(data: pd.Series) -> pd.DataFrame:
     """struct(type, rings) of well-known binary, read in Arrow batches; nulls for what is none."""
     found = [_wkb(x) or {"type": None, "rings": None} for x in data]
