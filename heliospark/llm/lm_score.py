@@ -2,17 +2,19 @@
 
 Events are the tokens of the training texts and one more for all unseen ones, as in the base score. Unigrams
 have Good-Turing-like discounts for counts of 1, 2 and more, estimated from the counts of counts; what is
-taken off is the probability of an unseen token. The automaton's root holds the unigrams. A token that goes
-before another twice is a state: its arcs hold the discounted shares of the successors it was seen with LEAST
-times or more, and its failure arc leads to the root at the weight of the mass kept back. One left-to-right
-traversal carries the state and adds up. The number of arcs grows with the corpus and has no bound.
+taken off is the probability of an unseen token. The automaton's root holds the unigrams; its states are single
+tokens and bigrams seen LEAST times or more. A state's arcs hold the discounted shares of the successors it was
+seen with LEAST times or more, and its failure arc, at the weight of the mass kept back, leads from a bigram to
+its last token and from a token to the root. One left-to-right traversal carries the state and adds up. A text
+begins in the state of END alone. The numbers of states and arcs grow with the corpus and have no bound.
 
 Counts are exact, over all training texts, and never meet in one place: texts are read once into chunks; each
-chunk asks the shards that hold the counts of its distinct tokens, and then those that hold its bigrams, and
-gets the answers back. A bigram's count is at most that of either token, so bigrams of a token seen fewer than
-LEAST times need not be asked for. The first answers number the other tokens, so that bigrams are short numbers.
-A context's bigrams are in one shard, which adds up its mass; those of a context that would fill a shard of
-its own are dealt to all, and the masses of these few (at most as many as there are shards) are sent to every task.
+chunk asks the shards that hold the counts of its distinct tokens, then those of its bigrams, then those of its
+trigrams, and gets the answers back. An n-gram's count is at most that of any of its parts, so n-grams of a part
+seen fewer than LEAST times need not be asked for. The answers number the other parts, so that contexts and
+successors are short numbers. A context's n-grams are in one shard, which adds up its mass; those of a context
+that would fill a shard of its own are dealt to all, and the masses of these few (at most as many as there are
+shards) are sent to every task. The number of shards grows with the texts.
 
 Defined cases: a null text is empty, and an empty one is its end token; repeated rows are scored one by one
 and, if in training, counted one by one; a null doc_id counts as the empty string for the split; without
@@ -22,7 +24,6 @@ not read.
 
 from __future__ import annotations
 
-import math
 import os
 import pickle
 import zlib
@@ -39,14 +40,12 @@ from heliospark.llm import hashing as H
 from heliospark.llm.hashing import parts
 from heliospark.llm.shared import TABLES, drop_tables, stored
 
-#: Arcs are bigrams seen so often.
+#: Arcs are bigrams and trigrams seen so often.
 LEAST = 2
-#: A bound on the arcs, as training tokens for one; there is none.
-ARCS = math.inf
 DISCOUNT = 0.75
 CHUNK = 12 << 20
-#: Training tokens for one shard of bigrams.
-SHARE = 1 << 22
+#: Training tokens for one shard of bigrams or of trigrams, and bytes of text for one of tokens.
+SHARE, TEXT = 1 << 22, 256 << 20
 #: Stands for the end of a text as a token, and for its start as a context.
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -92,13 +91,13 @@ def _rows(kind: int, chunk: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _shards(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _shards(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TEXT + 1)
 
 
-def read(docs: DataFrame) -> DataFrame:
+def read(docs: DataFrame, shards: int) -> DataFrame:
     """One pass over the texts: chunks (kind 0; n: their training tokens) and what they ask the shards (1: tokens, counts in training texts)."""
-    shards = _shards(docs)
 
     def rows(ids: list, hashes: list, lengths: list) -> Iterator[pa.RecordBatch]:
         if not ids:
@@ -161,22 +160,18 @@ def _dealt(x: np.ndarray, shards: int) -> np.ndarray:
     return (((H.mix(x) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def bigrams(which: np.ndarray, end: int, counts: np.ndarray, number: np.ndarray, least: int, total: int, shards: int) -> tuple[np.ndarray, ...]:
-    """What a chunk asks the shards of bigrams, in order: contexts, their shards and how many successors each has there; contexts, successors and shards of the bigrams. Tokens are places among the distinct ones. Then which bigram stands at each place, or -1, and which tokens are dealt to all shards as contexts."""
-    # END goes before the first token of each text
-    before = np.empty_like(which)
-    before[1:] = which[:-1]
-    before[:1] = end
-    often = counts >= least
-    heavy = often & (counts * shards >= total)
-    at = np.flatnonzero(often[before] & often[which])
+def grams(before: np.ndarray, which: np.ndarray, at: np.ndarray, names: np.ndarray, number: np.ndarray, heavy: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
+    """What a chunk asks the shards of n-grams, in order: contexts, their shards and how many successors each has there; contexts, successors and shards of the n-grams. Then which n-gram stands at each place, or -1.
+
+    before: the context of each place, or -1; which: its token; at: the places to ask for; names and number: the numbers of contexts and tokens; heavy: the contexts that are dealt to all shards."""
     pairs, place = np.unique(before[at].astype(np.uint64) << np.uint64(32) | which[at], return_inverse=True)
     # a context that is not dealt to all is asked for without a successor, too
     alone = np.unique(before)
-    alone = alone[often[alone] & ~heavy[alone]].astype(np.int64)
+    alone = alone[alone >= 0]
+    alone = alone[~heavy[alone]]
     a = np.r_[(pairs >> np.uint64(32)).astype(np.int64), alone]
     b = np.r_[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), np.full(len(alone), -1)]
-    x, y = number[a], np.where(b < 0, -1, number[b])
+    x, y = names[a], np.where(b < 0, -1, number[b])
     shard = _dealt(np.where(heavy[a], x.astype(np.uint64) * H.ODD[1] + y.astype(np.uint64) * H.ODD[2], x.astype(np.uint64)), shards)
     order = np.lexsort((y, x, shard))
     a, b, shard, real = a[order], b[order], shard[order], b[order] >= 0
@@ -186,12 +181,60 @@ def bigrams(which: np.ndarray, end: int, counts: np.ndarray, number: np.ndarray,
     rank[order] = np.cumsum(real) - 1
     found = np.full(len(which), -1, np.int64)
     found[at] = rank[: len(pairs)][place]
-    return a[first], shard[first], successors, a[real], b[real], shard[real], found, heavy
+    return a[first], shard[first], successors, a[real], b[real], shard[real], found
+
+
+class Chunk:
+    """A chunk's texts as places among its distinct tokens, and what it has been told."""
+
+    def __init__(self, x: dict, least: int, total: int, shards: int):
+        self.counts, self.number = _loose(x["counts"]), _loose(x["number"])
+        self.which, self.length, self.end = x["which"], x["length"], x["end"]
+        self.in_train = np.repeat(~x["held"], self.length)
+        self.first = np.cumsum(self.length) - self.length
+        often = self.counts >= least
+        self.heavy = often & (self.counts * shards >= total)
+        before = np.empty(len(self.which), np.int64)
+        before[1:] = self.which[:-1]
+        # END goes before the first token of each text
+        before[self.first] = self.end
+        self.before = np.where(often[before], before, -1)
+        at = np.flatnonzero((self.before >= 0) & often[self.which])
+        self.pairs = grams(self.before, self.which, at, self.number, self.number, self.heavy, shards)
+        self.total, self.shards = total, shards
+
+    def hear(self, replies: list[tuple]) -> None:
+        """(shard, counts, masses, steps between the numbers) of the bigrams, in order of shards."""
+        self.arc, self.mass = (np.concatenate([np.zeros(0, np.int64), *(_loose(r[i]) for r in replies)]) for i in (1, 2))
+        self.arc_number = np.zeros(len(self.arc), np.int64)
+        self.arc_number[self.arc > 0] = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_loose(r[3])) * self.shards + r[0] for r in replies)])
+        found = self.pairs[-1]
+        kept = np.full(len(found), -1, np.int64)
+        asked = np.flatnonzero(found >= 0)
+        kept[asked] = np.where(self.arc[found[asked]] > 0, found[asked], -1)
+        # the first token of a text has no bigram before it
+        self.state = np.r_[-1, kept[:-1]][: len(kept)]
+        self.state[self.first] = -1
+        self.heavy_arc = (self.arc > 0) & (self.arc * self.shards >= self.total)
+        at = np.flatnonzero((self.state >= 0) & (kept >= 0))
+        self.triples = grams(self.state, self.which, at, self.arc_number, self.number, self.heavy_arc, self.shards)
+
+    def ask(self, name: int, gram: tuple[np.ndarray, ...], names: np.ndarray, heavy: np.ndarray) -> list[tuple]:
+        c, c_shard, m, a, b, shard, found = gram
+        n = np.bincount(found[self.in_train & (found >= 0)], minlength=len(a))
+        names = names[c] * 2 + heavy[c]
+        out = []
+        for k in np.unique(c_shard).tolist():
+            (i, j), (p, q) = np.searchsorted(c_shard, [k, k + 1]), np.searchsorted(shard, [k, k + 1])
+            out.append((1, name, k, int(j - i), _tight(np.r_[names[i:j], m[i:j]]), _tight(self.number[b[p:q]]), _tight(n[p:q])))
+        return out
+
 
+COLUMNS = ["kind", "chunk", "shard", "n", "a", "b", "c"]
 
-def joined(seen: DataFrame, told: DataFrame, least: int, total: int, shards: int) -> DataFrame:
-    """Chunks with the counts and numbers of their tokens (kind 0), and what they ask the shards of bigrams (1: contexts, if they are dealt to all, and how many successors of each follow; successors; training counts)."""
-    dealt = _shards(seen)
+
+def joined(seen: DataFrame, told: DataFrame, least: int, total: int, dealt: int, shards: int) -> DataFrame:
+    """Chunks with the counts and numbers of their tokens (kind 0), and what they ask the shards of bigrams (1: contexts, if they are dealt to all, and how many successors of each follow; successors; training counts). dealt: the shards of tokens."""
 
     def meet(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         x = _unpacked(chunk["a"].iloc[0])
@@ -200,23 +243,32 @@ def joined(seen: DataFrame, told: DataFrame, least: int, total: int, shards: int
         number = np.zeros(len(counts), np.int64)
         number[counts >= least] = np.concatenate([np.cumsum(_loose(v)) * dealt + k for k, v in zip(got["shard"], got["b"], strict=True)])
         name = int(chunk["chunk"].iloc[0])
-        c, c_shard, m, a, b, shard, found, heavy = bigrams(x["which"], x["end"], counts, number, least, total, shards)
-        in_train = np.repeat(~x["held"], x["length"])
-        n = np.bincount(found[in_train & (found >= 0)], minlength=len(a))
-        out = [(0, name, 0, 0, _packed(**x, counts=_tight(counts), number=_tight(number)), None, None)]
-        names = number[c] * 2 + heavy[c]
-        for k in np.unique(c_shard).tolist():
-            (i, j), (p, q) = np.searchsorted(c_shard, [k, k + 1]), np.searchsorted(shard, [k, k + 1])
-            out.append((1, name, k, int(j - i), _tight(np.r_[names[i:j], m[i:j]]), _tight(number[b[p:q]]), _tight(n[p:q])))
-        return pd.DataFrame(out, columns=["kind", "chunk", "shard", "n", "a", "b", "c"])
+        x |= {"counts": _tight(counts), "number": _tight(number)}
+        c = Chunk(x, least, total, shards)
+        return pd.DataFrame([(0, name, 0, 0, _packed(**x), None, None), *c.ask(name, c.pairs, c.number, c.heavy)], columns=COLUMNS)
 
     left = seen.where("kind = 0").select("chunk", "a").groupBy("chunk")
     right = told.where("chunk >= 0").select("chunk", "shard", "a", "b").groupBy("chunk")
     return stored(left.cogroup(right).applyInPandas(meet, ROWS), "kind")
 
 
-def arcs(chunks: DataFrame, least: int) -> DataFrame:
-    """(chunk, shard, a, b, number, mass): the counts of the arcs among the bigrams that a chunk asked a shard for, else 0 (a), and four times the mass of all arcs of each context (b); for chunk -1, contexts that are dealt to all shards, and the mass of their arcs in one."""
+def extended(chunks: DataFrame, replies: DataFrame, least: int, total: int, shards: int) -> DataFrame:
+    """Chunks with what they were told of bigrams (kind 0), and what they ask of trigrams, whose contexts are bigrams (1)."""
+
+    def meet(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        x, name = _unpacked(chunk["a"].iloc[0]), int(chunk["chunk"].iloc[0])
+        x["told"] = list(got.sort_values("shard")[["shard", "a", "b", "c"]].itertuples(index=False, name=None))
+        c = Chunk(x, least, total, shards)
+        c.hear(x["told"])
+        return pd.DataFrame([(0, name, 0, 0, _packed(**x), None, None), *c.ask(name, c.triples, c.arc_number, c.heavy_arc)], columns=COLUMNS)
+
+    left = chunks.where("kind = 0").select("chunk", "a").groupBy("chunk")
+    right = replies.where("chunk >= 0").select("chunk", "shard", "a", "b", "c").groupBy("chunk")
+    return stored(left.cogroup(right).applyInPandas(meet, ROWS), "kind")
+
+
+def arcs(chunks: DataFrame, least: int, numbered: bool) -> DataFrame:
+    """(chunk, shard, a, b, c, number, mass): the counts of the arcs among the n-grams that a chunk asked a shard for, else 0 (a), four times the mass of all arcs of each context (b), and, if asked for, the steps between the numbers of the arcs in the shard (c); for chunk -1, contexts that are dealt to all shards, and the mass of their arcs in one."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         asked = [_loose(x).reshape(2, -1) for x in pdf["a"]]
@@ -233,17 +285,38 @@ def arcs(chunks: DataFrame, least: int) -> DataFrame:
         sums = np.where(sums >= least, sums, 0)
         mass = np.zeros(len(contexts), np.int64)
         np.add.at(mass, a[order][first], np.where(sums > 0, 4 * sums - round(4 * DISCOUNT), 0))
-        counts = np.empty(len(a), np.int64)
+        counts, number = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
         counts[order] = sums[np.cumsum(new) - 1]
-        got = np.split(counts, np.cumsum([len(x) for x in sent])[:-1])
+        number[order] = (np.cumsum(sums > 0) - 1)[np.cumsum(new) - 1]
+        cut = np.cumsum([len(x) for x in sent])[:-1]
+        got = np.split(counts, cut)
+        steps = [_tight(np.diff(i[c > 0], prepend=0)) if numbered else None for i, c in zip(np.split(number, cut), got, strict=True)]
         masses = np.split(mass[of], np.cumsum([x.shape[1] for x in asked])[:-1])
-        out = pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "a": [_tight(x) for x in got], "b": [_tight(x) for x in masses], "number": 0, "mass": 0})
+        out = pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "a": [_tight(x) for x in got], "b": [_tight(x) for x in masses], "c": steps, "number": 0, "mass": 0})
         heavy = np.flatnonzero(contexts % 2 == 1)
-        more = pd.DataFrame({"chunk": -1, "shard": pdf["shard"].iloc[0], "a": b"", "b": b"", "number": contexts[heavy] // 2, "mass": mass[heavy]})
+        more = pd.DataFrame({"chunk": -1, "shard": pdf["shard"].iloc[0], "a": b"", "b": b"", "c": b"", "number": contexts[heavy] // 2, "mass": mass[heavy]})
         return pd.concat([out, more]) if len(more) else out
 
     asked = chunks.where("kind = 1").select("chunk", "shard", "a", "b", "c")
-    return stored(asked.groupBy("shard").applyInPandas(meet, "chunk long, shard int, a binary, b binary, number long, mass long"))
+    return stored(asked.groupBy("shard").applyInPandas(meet, "chunk long, shard int, a binary, b binary, c binary, number long, mass long"))
+
+
+def dealt_masses(replies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and masses of the contexts that are dealt to all shards; at most as many as there are shards are so frequent."""
+    rows = replies.where("chunk = -1").groupBy("number").agg(F.sum("mass").alias("m")).orderBy("number").collect()
+    return np.array([r["number"] for r in rows], np.int64), np.array([r["m"] for r in rows], np.int64)
+
+
+def masses(n: int, asked: np.ndarray, mass: np.ndarray, names: np.ndarray, heavy: np.ndarray, dealt: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The mass of the arcs of each of n contexts."""
+    out = np.zeros(n)
+    out[asked] = mass / 4
+    numbers, sums = dealt
+    mine = np.flatnonzero(heavy)
+    if len(numbers):
+        at = np.minimum(np.searchsorted(numbers, names[mine]), len(numbers) - 1)
+        out[mine] = np.where(numbers[at] == names[mine], sums[at], 0) / 4
+    return out
 
 
 class Root:
@@ -264,56 +337,51 @@ class Root:
         return np.where(counts > 0, seen, self.unseen)
 
 
-def traverse(root: Root, counts: np.ndarray, which: np.ndarray, end: int, found: np.ndarray, arc: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """log10 probability at each place: by the arc of the state that the token before left, and by its failure arc to the root."""
-    p = root.probabilities(counts)[which]
-    before = np.r_[end, which[:-1].astype(np.int64)]
-    live = np.flatnonzero(out[before] > 0)
-    a, i = before[live], found[live]
+def descend(p: np.ndarray, context: np.ndarray, counts: np.ndarray, found: np.ndarray, arc: np.ndarray, out: np.ndarray) -> None:
+    """p at each place where a state has arcs: by its arc, and by its failure arc to the state below, whose p it was."""
+    live = np.flatnonzero(context >= 0)
+    live = live[out[context[live]] > 0]
+    a, i = context[live], found[live]
     n = np.where(i >= 0, arc[i], 0) if len(arc) else np.zeros(len(live))
     p[live] = (np.where(n > 0, n - DISCOUNT, 0.0) + (counts[a] - out[a]) * p[live]) / counts[a]
-    return np.log10(p)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
-    first_table = len(TABLES)
-    seen = read(docs)
-    least = max(LEAST, math.ceil((seen.where("kind = 0").agg(F.sum("n")).first()[0] or 0) / ARCS))
+    spark, least = docs.sparkSession, LEAST
+    mark = len(TABLES)
+    dealt = _shards(docs)
+    seen = read(docs, dealt)
     told = answers(seen, least)
     total, distinct, *once = told.where("chunk = -1").agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(6))).first()
-    shards = max(_shards(docs), total // SHARE + 1)
-    chunks = joined(seen, told, least, total, shards)
-    drop_tables(spark, TABLES[first_table:-1])
-    replies = arcs(chunks, least)
-    # at most `shards` contexts are so frequent
-    masses = {r["number"]: r["m"] for r in replies.where("chunk = -1").groupBy("number").agg(F.sum("mass").alias("m")).collect()}
-    heavy_numbers = np.array(sorted(masses), np.int64)
-    known = spark.sparkContext.broadcast((Root(total, distinct, tuple(once)), heavy_numbers, np.array([masses[k] for k in heavy_numbers.tolist()], np.int64)))
+    shards = max(dealt, total // SHARE + 1)
+    chunks = joined(seen, told, least, total, dealt, shards)
+    drop_tables(spark, TABLES[mark:-1])
+    replies = arcs(chunks, least, True)
+    of_tokens = dealt_masses(replies)
+    chunks = extended(chunks, replies, least, total, shards)
+    drop_tables(spark, TABLES[mark:-1])
+    replies = arcs(chunks, least, False)
+    known = spark.sparkContext.broadcast((Root(total, distinct, tuple(once)), of_tokens, dealt_masses(replies)))
     id_type = docs.schema["doc_id"].dataType
     batch_type = to_arrow_type(id_type)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(chunk: pa.Table, got: pa.Table) -> pa.Table:
-        root, numbers, sums = known.value
+        root, of_tokens, of_pairs = known.value
         x = _unpacked(chunk.column("a")[0].as_py())
-        counts, number, which, length = _loose(x["counts"]), _loose(x["number"]), x["which"], x["length"]
-        c, _, _, _, _, _, found, heavy = bigrams(which, x["end"], counts, number, least, total, shards)
+        c = Chunk(x, least, total, shards)
+        c.hear(x["told"])
         got = got.sort_by("shard")
-        arc, mass = (np.concatenate([np.zeros(0, np.int64), *(_loose(v) for v in got.column(k).to_pylist())]) for k in ("a", "b"))
-        out = np.zeros(len(counts))
-        out[c] = mass / 4
-        dealt = np.flatnonzero(heavy)
-        if len(numbers):
-            at = np.minimum(np.searchsorted(numbers, number[dealt]), len(numbers) - 1)
-            out[dealt] = np.where(numbers[at] == number[dealt], sums[at], 0) / 4
-        first = np.cumsum(length) - length
+        triple, mass = (np.concatenate([np.zeros(0, np.int64), *(_loose(v) for v in got.column(k).to_pylist())]) for k in ("a", "b"))
+        counts, which, length = c.counts, c.which, c.length
+        p = root.probabilities(counts)[which]
+        descend(p, c.before, counts, c.pairs[-1], c.arc, masses(len(counts), c.pairs[0], c.mass, c.number, c.heavy, of_tokens))
+        descend(p, c.state, c.arc, c.triples[-1], triple, masses(len(c.arc), c.triples[0], mass, c.arc_number, c.heavy_arc, of_pairs))
         base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
-        own = traverse(root, counts, which, x["end"], found, arc, out)
-        values = [np.add.reduceat(v, first) for v in ((counts > 0).astype(np.int64)[which], base[which], own)]
+        values = [np.add.reduceat(v, c.first) for v in ((counts > 0).astype(np.int64)[which], base[which], np.log10(p))]
         columns = [x["ids"], x["held"], length, values[0], np.full(len(length), total), values[1], values[2]]
         types = [batch_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=names)

@@ -18,11 +18,13 @@ def tokens(t):
 
 def brute_model(texts):
     """The model by its definition, with dictionaries."""
-    uni, pairs = Counter(), Counter()
+    grams = [Counter() for _ in range(4)]
     for t in texts:
-        k = tokens(t)
-        uni.update(k)
-        pairs.update(zip([END, *k[:-1]], k, strict=True))
+        k = [END, *tokens(t)]
+        for i in range(1, len(k)):
+            for m in range(1, min(i + 1, 3) + 1):
+                grams[m][tuple(k[i - m + 1 : i + 1])] += 1
+    uni = {k[0]: c for k, c in grams[1].items()}
     n, v = sum(uni.values()), len(uni)
     if not n:
         return lambda t: 0.0
@@ -32,20 +34,27 @@ def brute_model(texts):
     off = [min(max(d, 0.1), 0.95 * k) for d, k in zip(off, (1, 2, 3), strict=True)]
     taken = (off[0] * n1 + off[1] * n2 + off[2] * (v - n1 - n2)) / n
     unseen = max(taken, 0.5 / (n + 1))
-    least = max(2, math.ceil(n / lm_score.ARCS))
-    arcs = {k: c for k, c in pairs.items() if c >= least}
+    arcs = {}
+    for m in (2, 3):
+        for k, c in grams[m].items():
+            if c >= lm_score.LEAST:
+                arcs.setdefault(k[:-1], {})[k[-1]] = c - 0.75
+
+    def prob(state, w):
+        if not state:
+            return (1 - unseen) / (1 - taken) * (uni[w] - off[min(uni[w], 3) - 1]) / n if w in uni else unseen
+        own, c, below = arcs.get(state), grams[len(state)][state], prob(state[1:], w)
+        return own.get(w, 0) / c + (1 - sum(own.values()) / c) * below if own else below
 
-    def root(w):
-        return (1 - unseen) / (1 - taken) * (uni[w] - off[min(uni[w], 3) - 1]) / n if w in uni else unseen
+    # everything that can come next sums to 1, in states of either length
+    for state in [(a,) for a in list(uni)[:10]] + [k for k in arcs if len(k) == 2][:20]:
+        assert sum(prob(state, b) for b in uni) + prob(state, None) == pytest.approx(1)
 
-    def prob(a, b):
-        own = {k: c - 0.75 for k, c in arcs.items() if k[0] is a or k[0] == a}
-        return own.get((a, b), 0) / uni[a] + (1 - sum(own.values()) / uni[a]) * root(b) if own else root(b)
+    def score(t):
+        k = [END, *tokens(t)]
+        return sum(math.log10(prob(tuple(k[max(i - 2, 0) : i]), k[i])) for i in range(1, len(k)))
 
-    # everything that can come next sums to 1
-    for a in list(uni)[:20]:
-        assert sum(prob(a, b) for b in uni) + prob(a, None) == pytest.approx(1)
-    return lambda t: sum(math.log10(prob(a, b)) for a, b in zip([END, *tokens(t)[:-1]], tokens(t), strict=True))
+    return score
 
 
 def check(spark, rows, got):
@@ -73,7 +82,10 @@ def test_like_brute_force(spark, monkeypatch):
     rows = [*enumerate(texts), *((e[0], e[1]) for e in extra)]
     check(spark, rows, lm_score.score(docs).collect())
     monkeypatch.setattr(lm_score, "CHUNK", 300)
-    monkeypatch.setattr(lm_score, "ARCS", 100)
+    check(spark, rows, lm_score.score(docs).collect())
+    monkeypatch.setattr(lm_score, "LEAST", 5)
+    monkeypatch.setattr(lm_score, "TEXT", 500)
+    monkeypatch.setattr(lm_score, "SHARE", 100)
     check(spark, rows, lm_score.score(docs).collect())
     assert lm_score.score(docs.limit(0)).count() == 0
 
