@@ -111,7 +111,7 @@ def read(docs: DataFrame, shards: int) -> DataFrame:
         tokens[np.setdiff1d(np.arange(len(tokens)), ends, assume_unique=True)] = np.concatenate(hashes)
         distinct, which = np.unique(tokens, return_inverse=True)
         train = np.bincount(which, weights=np.repeat(~held, length + 1), minlength=len(distinct)).astype(np.int64)
-        yield from _rows(0, name, [(0, int(train.sum()), _packed(ids=ids, held=held, length=length + 1, which=which.astype(np.uint32), end=int(which[-1])), None, None)])
+        yield from _rows(0, name, [(0, int(train.sum()), _packed(ids=ids, held=held, length=length + 1, which=_tight(which), end=int(which[-1])), None, None)])
         yield from _rows(1, name, [(k, 0, distinct[i:j].tobytes(), train[i:j].tobytes(), None) for k, i, j in _sharded(distinct, shards)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def grams(before: np.ndarray, which: np.ndarray, at: np.ndarray, names: np.ndarr
     """What a chunk asks the shards of n-grams, in order: contexts, their shards and how many successors each has there; contexts, successors and shards of the n-grams. Then which n-gram stands at each place, or -1.
 
     before: the context of each place, or -1; which: its token; at: the places to ask for; names and number: the numbers of contexts and tokens; heavy: the contexts that are dealt to all shards."""
-    pairs, place = np.unique(before[at].astype(np.uint64) << np.uint64(32) | which[at], return_inverse=True)
+    pairs, place = np.unique(before[at].astype(np.uint64) << np.uint64(32) | which[at].astype(np.uint64), return_inverse=True)
     # a context that is not dealt to all is asked for without a successor, too
     alone = np.unique(before)
     alone = alone[alone >= 0]
@@ -184,15 +184,21 @@ def grams(before: np.ndarray, which: np.ndarray, at: np.ndarray, names: np.ndarr
     return a[first], shard[first], successors, a[real], b[real], shard[real], found
 
 
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """The frequent tokens first: ranks in this order are mostly small numbers."""
+    return np.argsort(-counts, kind="stable")
+
+
 class Chunk:
     """A chunk's texts as places among its distinct tokens, and what it has been told."""
 
-    def __init__(self, x: dict, least: int, total: int, shards: int):
-        self.counts, self.number = _loose(x["counts"]), _loose(x["number"])
-        self.which, self.length, self.end = x["which"], x["length"], x["end"]
+    def __init__(self, x: dict, least: int, total: int, dealt: int, shards: int):
+        self.counts = np.concatenate([_loose(a) for _, a, _ in x["tokens"]])
+        self.number, often = np.zeros(len(self.counts), np.int64), self.counts >= least
+        self.number[often] = np.concatenate([np.cumsum(_loose(b)) * dealt + k for k, _, b in x["tokens"]])
+        self.which, self.length, self.end = _by_count(self.counts)[_loose(x["ranks"])] if "ranks" in x else _loose(x["which"]), x["length"], x["end"]
         self.in_train = np.repeat(~x["held"], self.length)
         self.first = np.cumsum(self.length) - self.length
-        often = self.counts >= least
         self.heavy = often & (self.counts * shards >= total)
         before = np.empty(len(self.which), np.int64)
         before[1:] = self.which[:-1]
@@ -203,6 +209,12 @@ class Chunk:
         self.pairs = grams(self.before, self.which, at, self.number, self.number, self.heavy, shards)
         self.total, self.shards = total, shards
 
+    def packed(self, x: dict) -> bytes:
+        order = _by_count(self.counts)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return _packed(**{k: v for k, v in x.items() if k != "which"}, ranks=_tight(rank[self.which]))
+
     def hear(self, replies: list[tuple]) -> None:
         """(shard, counts, masses, steps between the numbers) of the bigrams, in order of shards."""
         self.arc, self.mass = (np.concatenate([np.zeros(0, np.int64), *(_loose(r[i]) for r in replies)]) for i in (1, 2))
@@ -238,27 +250,22 @@ def joined(seen: DataFrame, told: DataFrame, least: int, total: int, dealt: int,
 
     def meet(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         x = _unpacked(chunk["a"].iloc[0])
-        got = got.sort_values("shard")
-        counts = np.concatenate([_loose(v) for v in got["a"]])
-        number = np.zeros(len(counts), np.int64)
-        number[counts >= least] = np.concatenate([np.cumsum(_loose(v)) * dealt + k for k, v in zip(got["shard"], got["b"], strict=True)])
-        name = int(chunk["chunk"].iloc[0])
-        x |= {"counts": _tight(counts), "number": _tight(number)}
-        c = Chunk(x, least, total, shards)
-        return pd.DataFrame([(0, name, 0, 0, _packed(**x), None, None), *c.ask(name, c.pairs, c.number, c.heavy)], columns=COLUMNS)
+        x["tokens"] = list(got.sort_values("shard")[["shard", "a", "b"]].itertuples(index=False, name=None))
+        c, name = Chunk(x, least, total, dealt, shards), int(chunk["chunk"].iloc[0])
+        return pd.DataFrame([(0, name, 0, 0, c.packed(x), None, None), *c.ask(name, c.pairs, c.number, c.heavy)], columns=COLUMNS)
 
     left = seen.where("kind = 0").select("chunk", "a").groupBy("chunk")
     right = told.where("chunk >= 0").select("chunk", "shard", "a", "b").groupBy("chunk")
     return stored(left.cogroup(right).applyInPandas(meet, ROWS), "kind")
 
 
-def extended(chunks: DataFrame, replies: DataFrame, least: int, total: int, shards: int) -> DataFrame:
+def extended(chunks: DataFrame, replies: DataFrame, least: int, total: int, dealt: int, shards: int) -> DataFrame:
     """Chunks with what they were told of bigrams (kind 0), and what they ask of trigrams, whose contexts are bigrams (1)."""
 
     def meet(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         x, name = _unpacked(chunk["a"].iloc[0]), int(chunk["chunk"].iloc[0])
         x["told"] = list(got.sort_values("shard")[["shard", "a", "b", "c"]].itertuples(index=False, name=None))
-        c = Chunk(x, least, total, shards)
+        c = Chunk(x, least, total, dealt, shards)
         c.hear(x["told"])
         return pd.DataFrame([(0, name, 0, 0, _packed(**x), None, None), *c.ask(name, c.triples, c.arc_number, c.heavy_arc)], columns=COLUMNS)
 
@@ -361,7 +368,7 @@ def score(docs: DataFrame) -> DataFrame:
     drop_tables(spark, TABLES[mark:-1])
     replies = arcs(chunks, least, True)
     of_tokens = dealt_masses(replies)
-    chunks = extended(chunks, replies, least, total, shards)
+    chunks = extended(chunks, replies, least, total, dealt, shards)
     drop_tables(spark, TABLES[mark:-1])
     replies = arcs(chunks, least, False)
     known = spark.sparkContext.broadcast((Root(total, distinct, tuple(once)), of_tokens, dealt_masses(replies)))
@@ -372,7 +379,7 @@ def score(docs: DataFrame) -> DataFrame:
     def run(chunk: pa.Table, got: pa.Table) -> pa.Table:
         root, of_tokens, of_pairs = known.value
         x = _unpacked(chunk.column("a")[0].as_py())
-        c = Chunk(x, least, total, shards)
+        c = Chunk(x, least, total, dealt, shards)
         c.hear(x["told"])
         got = got.sort_by("shard")
         triple, mass = (np.concatenate([np.zeros(0, np.int64), *(_loose(v) for v in got.column(k).to_pylist())]) for k in ("a", "b"))
