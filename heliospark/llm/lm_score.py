@@ -160,6 +160,18 @@ def _dealt(x: np.ndarray, shards: int) -> np.ndarray:
     return (((H.mix(x) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """What sorts by whole numbers of at least 0, the first one first, equal rows in any order; as one number where they fit into it, which sorts several times as fast."""
+    whole, room = np.zeros(len(keys[0]), np.int64), 1
+    for k in keys:
+        size = int(k.max(initial=0)) + 1
+        room *= size
+        if room >= 1 << 63:
+            return np.lexsort(keys[::-1])
+        whole = whole * size + k
+    return np.argsort(whole)
+
+
 def grams(before: np.ndarray, which: np.ndarray, at: np.ndarray, names: np.ndarray, number: np.ndarray, heavy: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
     """What a chunk asks the shards of n-grams, in order: contexts, their shards and how many successors each has there; contexts, successors and shards of the n-grams. Then which n-gram stands at each place, or -1.
 
@@ -173,7 +185,7 @@ def grams(before: np.ndarray, which: np.ndarray, at: np.ndarray, names: np.ndarr
     b = np.r_[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), np.full(len(alone), -1)]
     x, y = names[a], np.where(b < 0, -1, number[b])
     shard = _dealt(np.where(heavy[a], x.astype(np.uint64) * H.ODD[1] + y.astype(np.uint64) * H.ODD[2], x.astype(np.uint64)), shards)
-    order = np.lexsort((y, x, shard))
+    order = _order(shard, x, y + 1)
     a, b, shard, real = a[order], b[order], shard[order], b[order] >= 0
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (shard[1:] != shard[:-1])]) if len(a) else np.zeros(0, np.int64)
     successors = np.add.reduceat(real.astype(np.int64), first) if len(a) else first
@@ -285,7 +297,7 @@ def arcs(chunks: DataFrame, least: int, numbered: bool) -> DataFrame:
         sent = [_loose(x) for x in pdf["b"]]
         b = np.concatenate(sent)
         n = np.concatenate([_loose(x) for x in pdf["c"]])
-        order = np.lexsort((b, a))
+        order = _order(a, b)
         new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])] if len(a) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         sums = np.add.reduceat(n[order], first) if len(a) else n

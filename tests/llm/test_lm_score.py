@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from heliospark.llm import lm_score
@@ -112,3 +113,13 @@ def test_a_bigram_seen_twice_is_an_arc_in_a_large_corpus(spark):
     assert r["train_tokens"] > 600_000 and r["n_tokens"] == 3
     # only ann goes by the root; without the arcs to bob and to the end, each of the three costs 5 or more
     assert r["score"] > -10
+
+
+@pytest.mark.parametrize("top", [5, 1 << 40])
+def test_order_by_one_number_or_several(top):
+    rng = np.random.default_rng(1)
+    keys = [rng.integers(0, top, 500) for _ in range(3)]
+    order = lm_score._order(*keys)
+    rows = list(zip(*(k.tolist() for k in keys), strict=True))
+    assert sorted(order.tolist()) == list(range(500)) and [rows[i] for i in order] == sorted(rows)
+    assert len(lm_score._order(*(k[:0] for k in keys))) == 0
