@@ -253,14 +253,14 @@ def survey_flags(s, d):
     return out.select("osm_id", "prior", "answer", "skipped")
 
 
-@query(f"""with q as ({QUEUE_SQL}) select count(*) filter (where osm_id % 7 = 0) as counted, count(*) filter (where osm_id % 11 = 0) as skipped, count(*) filter (where osm_id % 7 <> 0 and osm_id % 11 <> 0) as left,
+@query(f"""with q as ({QUEUE_SQL}) select count(*) filter (where osm_id % 7 = 0) as counted, count(*) filter (where osm_id % 11 = 0) as skipped, count(*) filter (where osm_id % 7 <> 0 and osm_id % 11 <> 0) as n_left,
   round(sum(case when osm_id % 7 = 0 then m else 0 end) / sum(m), 6) as mass_share from q""")
 def survey_progress(s, d):
     p, k = load(s, d, "part"), F.col("p_partkey")
     key = [F.lit("way").alias("osm_element"), k.alias("osm_id")]
     q = _mass(s, d).where("levels is null").orderBy(F.desc("shadow_mass"), "osm_id").limit(C.SURVEY_TOP)
     out = survey.progress(q, p.where("p_partkey % 7 = 0").select(*key), p.where("p_partkey % 11 = 0").select(*key))
-    return out.withColumn("mass_share", F.round("mass_share", 6))
+    return out.withColumn("mass_share", F.round("mass_share", 6)).withColumnRenamed("left", "n_left")
 
 
 @query("""with n as (select p_partkey as k, case when p_partkey % 4 = 0 then null else p_partkey % 80 + 1 end as v from part where p_partkey % 3 = 0), a as (select p_partkey as k, 5 as v from part where p_partkey % 2 = 0), sk as (select p_partkey as k from part where p_partkey % 5 = 0)
