@@ -81,3 +81,33 @@ def op7() -> str:
 
 
 OP7 = op7()
+
+
+def floored(factor: int) -> str:
+    return f"list_transform(embedding, lambda x: floor({factor} * x::double)::bigint)"
+
+
+FIT = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def op11(k: int = 8, rounds: int = 10) -> str:
+    """Each assignment and each update as a table of its own."""
+    step = "a{r} as materialized (select vec_id, v, arg_min(c, (d, c)) as c, min(d) as d from (select vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::bigint as d from kept, m{r}) group by vec_id, v)"
+    move = "m{n} as materialized (select m{r}.c, coalesce(x.m, m{r}.m) as m from m{r} left join (select c, list(floor(s / n)::bigint order by p) as m from (select c, p, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(range(64)) as p from a{r}) group by c, p) group by c) x using (c))"
+    tables = [step.format(r=0)] + [t for r in range(rounds) for t in (move.format(r=r, n=r + 1), step.format(r=r + 1))]
+    return f"""with kept as materialized (select vec_id, {floored(1024)} as v from embeddings where len(embedding) = 64 and {FIT}),
+  m0 as materialized (select row_number() over (order by h) - 1 as c, v as m from (select sha256('3:' || vec_id) as h, v from kept order by h limit {k})), {", ".join(tables)}
+  select vec_id, c::int as cluster, d as distance, sum(d) over (partition by c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256 from a{rounds} join m{rounds} using (c)"""
+
+
+OP11 = op11()
+
+OP12 = f"""with e as (select vec_id, {floored(256)}::double[] as v from embeddings where vec_id is not null and {FIT}),
+  s as (select q.vec_id as query_id, d.vec_id, list_inner_product(q.v, d.v)::bigint as score from e q join e d on q.vec_id % 50 = 0 and q.vec_id <> d.vec_id)
+  select query_id, rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 5"""
+
+OP13 = f"""with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {floored(256)}::double[] as v from embeddings where vec_id is not null and label is not null and {FIT}),
+  s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+  p as (select * from (select *, row_number() over (partition by a order by score desc, b) as k from s where same) where k <= 5),
+  n as (select p.a as anchor_id, p.b as positive_id, s.b as negative_id, p.score as positive_score, s.score as negative_score, row_number() over (partition by p.a, p.b order by s.score desc, s.b)::int as rank from p join s using (a) where not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+  select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3"""

@@ -35,7 +35,7 @@ def small(keys: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df written to the shared folder and read back: the lineage ends there, and a lost executor loses nothing."""
+    """df written to the shared folder and read back: the lineage ends there, and a lost executor loses nothing. The folder is the result's hs_path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
@@ -44,7 +44,9 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.hs_path = path
+    return out
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
