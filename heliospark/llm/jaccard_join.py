@@ -334,7 +334,7 @@ def link_forest(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> Da
         out: dict[int, int] = {}
         a, b = [], []
         for _, g in pdf.groupby("block", sort=False):
-            g = g.drop_duplicates("doc_id")
+            g = g.drop_duplicates("items")  # rows that repeat a text; one id may have several texts
             if len(g) > 1:
                 out = links(g["doc_id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["items"]], percent)
                 a += out
@@ -351,7 +351,12 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     reps = d.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     clusters = components(candidate_edges(docs, size, percent))
     reps = stored(reps.join(clusters.select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "fp", "left"))
-    roots = components(link_forest(docs, reps.where("doc_id is not null and cluster is not null"), size, percent))
+    edges = link_forest(docs, reps.where("doc_id is not null and cluster is not null"), size, percent)
+    several = stored(d.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("fp", "fp2")).alias("sets")).where("size(sets) > 1"))
+    if several.limit(1).count():  # ids with several texts tie the documents that share one of these
+        own = several.select(F.col("doc_id").alias("a"), F.explode("sets").alias("s")).select("a", "s.fp", "s.fp2")
+        edges = edges.unionByName(own.join(reps.where("doc_id is not null").select("fp", "fp2", F.col("doc_id").alias("b")), ["fp", "fp2"]).select("a", "b"))
+    roots = components(edges)
     named = reps.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", "fp2", F.coalesce("root", "doc_id").alias("component_id"))
     full = d.where("n > 0").join(named, ["fp", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(d.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

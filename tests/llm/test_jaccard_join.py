@@ -98,3 +98,20 @@ def test_overlaps_like_sets():
     sets = [np.unique(r.integers(0, 60, 30).astype(np.uint64) * np.uint64(2**58)) if i % 2 else np.unique(r.integers(0, 2**20, 30, dtype=np.uint64)) for i in range(40)]
     got = J.overlaps(sets, cells=64)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40) if i != j)
+
+
+def test_an_id_with_several_texts(spark):
+    """Rows of one id are one document, whatever order they come in."""
+    r = random.Random(4)
+    a = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    b, c = a.copy(), a.copy()
+    for k in range(5):
+        b[10 + 40 * k] = c[10 + 40 * k] = f"new{k}"
+    for k in range(5):
+        c[30 + 40 * k] = f"more{k}"
+    a, b, c, d = (" ".join(x) for x in (a, b, c, [f"v{k}" for k in range(300)]))
+    for rows in ([(1, a), (1, b), (2, c)], [(1, b), (1, a), (2, c)], [(2, c), (1, b), (1, a)], [(5, d), (3, d), (3, a), (4, b)]):
+        assert len(brute(rows, 4, 85)) == len(rows)
+        got = sorted(tuple(x) for x in J.report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == brute(rows, 4, 85)
+    assert {x[2] for x in brute([(1, b), (1, a), (2, c)], 4, 85)} == {1}
