@@ -121,13 +121,13 @@ class Node:
         self.value, self.span, self.parts, self.best = value, span, parts, 0.0
 
 
-def _literal_at(text: str, at: int, known: dict[str, Node], nodes: list[Node], inside: int) -> tuple[Node, int, bool] | None:
+def _literal_at(text: str, at: int, known: dict[str, Node], longest: int, nodes: list[Node], inside: int) -> tuple[Node, int, bool] | None:
     """The value at `at`, where it ends, and whether that is a bare one; new nodes are appended. Up to `inside` a bare value goes on that was read before."""
     parts, bare = [], False
     while m := LITERAL.match(text, at) if at >= inside else INNER.match(text, at):
         k, bare = m.lastindex, m.lastindex == 4 or at < inside
         a, b = m.span(k)
-        part = m[k] if b - a <= 200 else None  # no constant has a longer name
+        part = m[k] if b - a <= longest else None  # no constant so far has a longer name
         constant = bare and part is not None and part in known and NAME.fullmatch(part)
         if constant:
             parts.append(known[part])
@@ -153,7 +153,7 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach REPORT_FROM under some target name."""
     known: dict[str, Node] = {}
     nodes: list[Node] = []
-    done = inside = 0
+    done = inside = longest = 0
     for op in OPERATOR.finditer(text):
         p = op.start()
         if p < done:
@@ -173,11 +173,12 @@ def literals(text: str) -> list[tuple[int, int, float]]:
         name, at = text[j:e], p + 1
         while at < len(text) and text[at] in "=>~":
             at += 1
-        got = _literal_at(text, at, known, nodes, inside)
+        got = _literal_at(text, at, known, longest, nodes, inside)
         if not got:
             continue
         node, end, bare = got
         known[name.rsplit(".", 1)[-1]] = known[name] = node
+        longest = max(longest, len(name))
         if (s := name_score(name)) > 0 and s + (v := node.value.score()) >= REPORT_FROM:
             node.best = max(node.best, s + v)
         if not bare:
