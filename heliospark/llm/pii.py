@@ -16,11 +16,11 @@ of any length in characters, are scanned whole and in linear time; other columns
 from __future__ import annotations
 
 import functools
-import math
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +53,7 @@ CUES = {
 }
 DIGITS = re.compile(r"[0-9]")
 GROUPS = re.compile(r"[0-9]+")
-WORDS, NUMBERS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
+WORDS, NUMBERS, BLANKS, NOT_PLAIN = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+"), re.compile(r"\s{2,}"), re.compile(r"[\W_]")
 
 
 def luhn(digits: str) -> bool:
@@ -83,35 +83,41 @@ def find_base(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def features(text: str, a: int, b: int, kind: str, before: str) -> list[str]:
-    """Of a whole candidate span under a type."""
-    span = text[a:b]
+def features(text: str, a: int, b: int, kinds: list[str], before: str) -> list[list[str]]:
+    """Of a whole candidate span under each of the types."""
+    span = BLANKS.sub(" ", text[a:b])  # a wide gap counts as one blank, and costs no more than that below
     groups = GROUPS.findall(span)
     digits = "".join(groups)
-    plain = SPELT_DOT.sub(".", SPELT_AT.sub("@", span)) if kind == "email" else span
-    shape = NUMBERS.sub("9", WORDS.sub("a", plain))[:32]
-    seps = "".join(sorted({c for c in span if not c.isalnum()}))[:4]
+    bare = NUMBERS.sub("9", WORDS.sub("a", span))
+    seps = "".join(sorted(set(NOT_PLAIN.findall(span))))
     goes_on = (a > 1 and text[a - 1] in ".-:@/" and text[a - 2].isalnum(), text[b : b + 1] in (".", "-", ":", "@", "/") and text[b + 1 : b + 2].isalnum())
-    out = [f"{kind} bias", f"{kind} goes on {goes_on}", f"{kind} digits {min(len(digits), 20)}", f"{kind} shape {shape}", f"{kind} seps {seps}"]
-    if kind == "email":
-        user, _, host = plain.partition("@")
-        labels = host.split(".")
-        spelt = ("@" not in span and "(at)" not in span and "[at]" not in span, bool(SPELT_DOT.search(span)))
-        out += [f"email spelt {spelt}", f"email spelt {spelt} top {labels[-1][:5].lower()}", f"email user {bool(user) and ' ' not in user}", f"email host {len(labels) > 1 and all(labels) and ' ' not in host}", f"email last {min(len(labels[-1]), 7) if labels[-1].isalpha() else 0}", f"email top {labels[-1][:5].lower()}"]
-    else:
-        out += [f"{kind} groups {'-'.join(str(min(len(g), 9)) for g in groups[:7])}", f"{kind} letters {sum(c.isalpha() for c in span[:64]) > 0}"]
-    if kind == "card":
-        out.append(f"card luhn {len(digits) >= 12 and luhn(digits)}")
-    if kind == "ip":
-        parts = span.split(".")
-        out.append(f"ip parts {len(parts) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)}")
-        words = span.split(":")
-        out.append(f"ip six {len(words) >= 4 and all(len(x) <= 4 and all(c in '0123456789abcdefABCDEF' for c in x) for x in words)}")
-    if kind == "phone":
-        out += [f"phone first {span[0] if not span[0].isdigit() else span[:1] == '0'}", f"phone spread {len(groups) > 1}"]
-    cue = CUES.get(before.lower().strip(".:()#"))
-    out.append(f"{kind} cue {cue == kind if cue else None}")
-    return out
+    cue = CUES.get(before.lower().strip(".:()#")) if len(before) < 40 else None
+    sizes = "-".join(str(min(len(g), 9)) for g in groups)
+    all_out = []
+    for kind in kinds:
+        plain = SPELT_DOT.sub(".", SPELT_AT.sub("@", span)) if kind == "email" else span
+        shape = bare if plain == span else NUMBERS.sub("9", WORDS.sub("a", plain))
+        out = [f"{kind} bias", f"{kind} goes on {goes_on}", f"{kind} digits {min(len(digits), 20)}", f"{kind} shape {shape}", f"{kind} seps {seps}"]
+        if kind == "email":
+            user, _, host = plain.partition("@")
+            labels = host.split(".")
+            spelt = ("@" not in span and "(at)" not in span and "[at]" not in span, bool(SPELT_DOT.search(span)))
+            top = labels[-1][:6].lower() if len(labels[-1]) < 6 else f"{labels[-1][:5].lower()} and more"
+            out += [f"email spelt {spelt}", f"email spelt {spelt} top {top}", f"email user {bool(user) and ' ' not in user}", f"email host {len(labels) > 1 and all(labels) and ' ' not in host}", f"email last {min(len(labels[-1]), 7) if labels[-1].isalpha() else 0}", f"email top {top}"]
+        else:
+            out += [f"{kind} groups {sizes}", f"{kind} letters {'a' in bare}"]
+        if kind == "card":
+            out.append(f"card luhn {len(digits) >= 12 and luhn(digits)}")
+        if kind == "ip":
+            parts = span.split(".")
+            out.append(f"ip parts {len(parts) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)}")
+            words = span.split(":")
+            out.append(f"ip six {len(words) >= 4 and all(len(x) <= 4 and all(c in '0123456789abcdefABCDEF' for c in x) for x in words)}")
+        if kind == "phone":
+            out += [f"phone first {span[0] if not span[0].isdigit() else span[:1] == '0'}", f"phone spread {len(groups) > 1}"]
+        out.append(f"{kind} cue {cue == kind if cue else None}")
+        all_out.append(out)
+    return all_out
 
 
 Tokens = list[tuple[int, int]]
@@ -139,7 +145,7 @@ def candidates(text: str, tokens: Tokens, first_before: str) -> list[list[tuple[
                 b -= 1
             if b > a:
                 before = text[slice(*tokens[i - 1])] if i else first_before
-                here += [(i, k, a, b, features(text, a, b, k, before)) for k in kinds]
+                here += [(i, k, a, b, f) for k, f in zip(kinds, features(text, a, b, kinds, before), strict=True)]
         out.append(here)
     return out
 
@@ -242,44 +248,46 @@ def examples(rounds: int, seed: int):
 
 
 @functools.lru_cache(1)
-def learnt(rounds: int = 60, epochs: int = 6, seed: int = 11) -> dict[str, float]:
-    """Weights that make the examples' own segmentations likely; adaptive steps, and weights pulled to zero a little."""
-    weights: dict[str, float] = defaultdict(float)
-    squares: dict[str, float] = defaultdict(float)
+def learnt(rounds: int = 60, epochs: int = 8, batch: int = 16, seed: int = 11) -> dict[str, float]:
+    """Weights that make the examples' own segmentations likely; adaptive steps over batches of islands, and weights pulled to zero a little."""
+    number: dict[str, int] = {}
     data = []
     for text, gold in examples(rounds, seed):
         for tokens, before in islands(text):
-            data.append(([[(i, f, (k, a, b) in gold) for i, k, a, b, f in here] for here in candidates(text, tokens, before)]))
-    r = random.Random(seed)
-    for _ in range(epochs):
-        r.shuffle(data)
-        for by_end in data:
-            n = len(by_end) - 1
-            scores = [[sum(weights[x] for x in f) for _, f, _ in here] for here in by_end]
-            ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-            for j in range(1, n + 1):
-                ahead[j] = _log_sum([ahead[j - 1], *(ahead[i] + s for (i, _, _), s in zip(by_end[j], scores[j], strict=True))])
-            for j in range(n, 0, -1):
-                behind[j - 1] = _log_sum([behind[j - 1], behind[j]])
-                for (i, _, _), s in zip(by_end[j], scores[j], strict=True):
-                    behind[i] = _log_sum([behind[i], s + behind[j]])
-            slope: dict[str, float] = defaultdict(float)
-            for j in range(1, n + 1):
-                for (i, f, is_gold), s in zip(by_end[j], scores[j], strict=True):
-                    p = math.exp(ahead[i] + s + behind[j] - ahead[n])
-                    if is_gold or p > 1e-6:
-                        for x in f:
-                            slope[x] += is_gold - p
-            for x, g in slope.items():
-                g -= 1e-3 * weights[x]
-                squares[x] += g * g
-                weights[x] += 0.5 * g / math.sqrt(squares[x] + 1e-8)
-    return dict(weights)
-
-
-def _log_sum(x: list[float]) -> float:
-    most = max(x)
-    return most + math.log(sum(math.exp(v - most) for v in x)) if most > -math.inf else most
+            data.append((len(tokens), [(i, j, (k, a, b) in gold, [number.setdefault(x, len(number)) for x in f]) for j, here in enumerate(candidates(text, tokens, before)) for i, k, a, b, f in here]))
+    random.Random(seed).shuffle(data)
+    weights, squares = np.zeros(len(number)), np.zeros(len(number))
+    batches = [_batch(data[k : k + batch]) for k in range(0, len(data), batch)]
+    for epoch in range(epochs):
+        for k in np.random.default_rng(seed + epoch).permutation(len(batches)):
+            size, at, i, j, gold, of, feats = batches[k]
+            s = np.bincount(of, weights[feats], len(at))
+            longest, rows = int(size.max()), np.arange(len(size))
+            ahead, behind = np.full((len(size), longest + 1), -np.inf), np.full((len(size), longest + 1), -np.inf)
+            ahead[:, 0], behind[rows, size] = 0, 0
+            cuts = np.searchsorted(j, np.arange(longest + 2))
+            for e in range(1, longest + 1):
+                c = slice(cuts[e], cuts[e + 1])
+                ahead[:, e] = ahead[:, e - 1]
+                np.logaddexp.at(ahead[:, e], at[c], ahead[at[c], i[c]] + s[c])
+            for e in range(longest, 0, -1):
+                c = slice(cuts[e], cuts[e + 1])
+                behind[:, e - 1] = np.logaddexp(behind[:, e - 1], behind[:, e])
+                np.logaddexp.at(behind, (at[c], i[c]), s[c] + behind[at[c], e])
+            p = np.exp(ahead[at, i] + s + behind[at, j] - ahead[rows, size][at])
+            used = np.unique(feats)
+            g = np.bincount(feats, (gold - p)[of], len(number))[used] - 1e-3 * weights[used]
+            squares[used] += g * g
+            weights[used] += 0.5 * g / np.sqrt(squares[used] + 1e-8)
+    return {x: float(weights[n]) for x, n in number.items()}
+
+
+def _batch(islands_of: list) -> tuple[np.ndarray, ...]:
+    """Sizes of the islands; of their segments by last token: island, first token, last token, whether right; and the features with the segment of each."""
+    rows = sorted(((e, x) for e, (_, here) in enumerate(islands_of) for x in here), key=lambda r: r[1][1])
+    at, i, j, gold = (np.array(c) for c in zip(*((e, x[0], x[1], x[2]) for e, x in rows), strict=True))
+    of = np.repeat(np.arange(len(rows)), [len(x[3]) for _, x in rows])
+    return np.array([n for n, _ in islands_of]), at, i, j, gold, of, np.array([f for _, x in rows for f in x[3]])
 
 
 def find_pii(text: str, weights: dict[str, float] | None = None) -> list[tuple[str, int, int]]:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -220,3 +221,19 @@ def test_reports(spark):
     texts_out = {r["doc_id"]: r["text"] for r in out.collect()}
     assert texts_out[0] is None and texts_out[1] == "" and texts_out[14] == "mail [EMAIL] or [IP]"
     assert "[SECRET]" in next(r["text"] for r in secrets.redact(docs).collect() if r["doc_id"] == 13)
+
+
+def test_constants_with_long_names():
+    for n in (200, 201, 5000):
+        name, value = "n" * n, "q7Rz92LmX0vPdK4w"
+        text = f'{name} = "{value}"\napi_secret = {name}\n'
+        at = text.index(value)
+        assert ("literal", at, at + len(value)) in secrets.find_secrets(text)
+
+
+@pytest.mark.parametrize("text", ["bob (at) mail" + " " * 1_000_000 + "x y 12", "bob at mail.com" + " " * 1_000_000 + "x", "at " * 100_000 + "x.com 3", ("at" + " " * 1000) * 300 + "x.com 3", "a@" + "b" * 1_000_000 + ".com 1"])
+def test_wide_gaps_take_linear_time(text):
+    pii.learnt()
+    began = time.time()
+    pii.find_pii(text)
+    assert time.time() - began < 5
