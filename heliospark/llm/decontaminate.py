@@ -1,8 +1,9 @@
 """Benchmark decontamination in DataFrame functions alone.
 
-Every window of `size` words of a benchmark item (the whole item where it has fewer) is hashed. The windows of a
-document, of each length that the items' windows have, are hashed as they leave the scan and meet the broadcast
-hash set; the few that hit are verified word by word against the benchmark's window before they count. A
+Every window of `size` words of a benchmark item (the whole item where it has fewer) is hashed, from the hashes of its
+words. A document's words are hashed once, and its windows, of each length that the items' windows have, as they leave the scan. A
+bitmap of the benchmark's hashes (at most BITS) in the expression lets few windows become rows that do not hit; these meet the broadcast
+hash set by that one long, and hits are verified word by word against the benchmark's window before they count. A
 hash set of more than BROADCAST_BYTES meets the documents' hashes in a shuffled, salted join instead; only hashes
 and places are shuffled there, and the texts of the documents that hit.
 
@@ -17,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliospark.llm.shared import ascii_lower, fresh, small, stored
+from heliospark.llm.shared import ascii_lower, fresh, let, small, stored
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Of words, items and hashes in the hash set, up to which it is broadcast; salts of the join beyond.
-BROADCAST_BYTES, SALTS = 64 << 20, 8
+#: Of words, items and hashes in the hash set, up to which it is broadcast; salts of the join beyond; bits of the bitmap.
+BROADCAST_BYTES, SALTS, BITS = 64 << 20, 8, 1 << 22
 
 
 def words_of(text: Column) -> Column:
@@ -33,17 +34,39 @@ def windows_of(benchmark: DataFrame, size: int = 10) -> DataFrame:
     w = benchmark.select(F.col("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))).alias("i"))
     w = w.select("item_id", F.slice("w", F.col("i"), size).alias("win")).groupBy("win").agg(F.collect_set("item_id").alias("items"))
-    return stored(w.select(F.xxhash64("win").alias("hash"), "win", "items"))
+    return stored(w.select(window_hash(F.col("win")).alias("hash"), "win", "items"))
 
 
-def hashes(words: Column, lengths: list[int]) -> Column:
-    """(hash, start, length) of all windows of these lengths; starts count from 0."""
+def window_hash(window: Column) -> Column:
+    return F.xxhash64(F.transform(window, lambda w: F.xxhash64(w)))
 
-    def of(length: int) -> Column:
-        at = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, length)).alias("hash"), i.alias("start"), F.lit(length).alias("length")))
 
-    return F.concat(*[of(x) for x in lengths]) if lengths else F.array().cast("array<struct<hash:bigint,start:int,length:int>>")
+def bitmap(wins: DataFrame) -> tuple[Column, int]:
+    """An array of longs, a constant, with a bit for the hash of each window, and its size; bits are 64 times as many as windows, or else BITS."""
+    words = 1
+    while words * 64 < min(BITS, 64 * wins.count()):
+        words *= 2
+    one = F.lit(1).cast("long")
+    slots = wins.groupBy(F.shiftright("hash", 6).bitwiseAND(F.lit(words - 1)).cast("int").alias("slot")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("hash").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    held = dict(slots.collect())
+    return F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(words))), ",").cast("array<bigint>"), words
+
+
+def hashes(words: Column, lengths: list[int], bits: tuple[Column, int] | None = None) -> Column:
+    """(hash, start, length) of all windows of these lengths, or of those whose bit is set; starts count from 0."""
+
+    def told(x: Column) -> Column:
+        slot = F.call_function("shiftright", x, F.lit(6)).bitwiseAND(F.lit(bits[1] - 1)).cast("int")
+        return F.call_function("shiftright", F.get(bits[0], slot), x.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def of(h: Column, length: int) -> Column:
+        at = F.when(F.size(h) >= length, F.sequence(F.lit(0), F.size(h) - length)).otherwise(F.array().cast("array<int>"))
+        hash_at = lambda i: F.xxhash64(F.slice(h, i + 1, length))
+        if bits is not None:
+            at = F.array_compact(F.transform(F.transform(at, hash_at), lambda x, i: F.when(told(x), i)))
+        return F.transform(at, lambda i: F.struct(hash_at(i).alias("hash"), i.alias("start"), F.lit(length).alias("length")))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of(h, x) for x in lengths])) if lengths else F.array().cast("array<struct<hash:bigint,start:int,length:int>>")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -67,11 +90,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "d
         return out.withColumn("hits", F.coalesce("hits", F.array().cast(out.schema["hits"].dataType)))
     # a window of no words, which each document has once, brings its row through the join
     none = F.array().cast("array<string>")
-    end = wins.sparkSession.range(1).select(F.xxhash64(none).alias("hash"), none.alias("win"), F.array().cast(wins.schema["items"].dataType).alias("items"))
+    end = wins.sparkSession.range(1).select(window_hash(none).alias("hash"), none.alias("win"), F.array().cast(wins.schema["items"].dataType).alias("items"))
     table = F.broadcast(wins.unionByName(end))
-    last = F.array(F.struct(F.xxhash64(none).alias("hash"), F.lit(0).alias("start"), F.lit(0).alias("length")))
-    at = d.select("doc_id", "__hs_text", "w", F.explode(F.concat(hashes(F.col("w"), lengths), last)).alias("x")).select("doc_id", "__hs_text", "w", "x.*")
-    met = at.join(table, "hash").where((F.col("length") == F.size("win")) & (F.slice("w", F.col("start") + 1, F.col("length")) == F.col("win")))
+    last = F.array(F.struct(window_hash(none).alias("hash"), F.lit(0).alias("start"), F.lit(0).alias("length")))
+    at = d.select("doc_id", "__hs_text", "w", F.explode(F.concat(hashes(F.col("w"), lengths, bitmap(wins) if lengths else None), last)).alias("x")).select("doc_id", "__hs_text", "w", "x.*")
+    # not said as an equality, which would be made a key that is built for every window
+    there = F.slice("w", F.col("start") + 1, F.col("length"))
+    met = at.join(table, "hash").where((there >= F.col("win")) & (there <= F.col("win")))
     return met.groupBy("doc_id", "__hs_text").agg(
         F.max(F.size("w")).cast("long").alias("n_words"), F.sum(F.when(F.col("length") == 0, 1).otherwise(0)).alias("rows"), F.collect_set(F.when(F.col("length") > 0, hit)).alias("hits")
     )

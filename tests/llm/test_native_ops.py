@@ -202,3 +202,11 @@ def test_long_urls_and_clashing_columns(spark):
     d, into = url_filter.judge_urls(pages, labels)
     rows = {r["page_id"]: r for r in d.collect()}
     assert d.columns == [*pages.columns, into] and rows[1][into]["path"] == long[12:] and rows[2]["__hs_url"] == "c"
+
+
+def test_windows_meet_by_one_long(spark):
+    docs = docs_frame(spark, [" ".join(f"w{i}" for i in range(40))])
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(5, 20)))], "item_id long, text string")
+    plan = decontaminate.scan(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert len(joins) == 1 and joins[0].split("Join Inner, ")[1].count(" = ") == 1
