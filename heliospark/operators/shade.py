@@ -12,22 +12,27 @@ from heliospark.constants import CANOPY_OPACITY, CANOPY_SOURCES, MAX_SHADOW
 from heliospark.functions import geo
 from heliospark.functions.geo import let
 from heliospark.functions.solar import shadow_vector
+from heliospark.operators import overlay
 from heliospark.operators.near import cells, grid_join
+from heliospark.operators.rings import polygons
+from heliospark.sources.tables import stored
 
 EPS = 1e-9
 
 
-def shadow_parts(casters: DataFrame, stamps: DataFrame) -> DataFrame:
+def shadow_parts(casters: DataFrame, stamps: DataFrame, leading: bool = True) -> DataFrame:
     """(stamp, soft, rings, band, r_x0, r_y0, r_x1, r_y1): bands (a corner, an edge and the sun's vector) and footprints (rings, of every stamp, so their stamp is null). casters(rings, height_m, height_source), stamps(stamp, altitude, azimuth).
 
-    stamps has at most some dozens of rows, so it goes to every task."""
+    stamps has at most some dozens of rows, so it goes to every task. With leading, only edges that face the way the shadow falls have bands."""
     soft = F.col("height_source").isin(CANOPY_SOURCES)
     at = casters.withColumn("soft", soft).crossJoin(F.broadcast(stamps)).withColumn("v", shadow_vector(F.col("height_m"), F.col("altitude"), F.col("azimuth"))).where("v is not null")
-    edges = at.select("stamp", "soft", "v", F.explode(geo.rings_edges(F.col("rings"))).alias("e"))
+    edges = at.select("stamp", "soft", "v", F.explode(leading_edges(F.col("rings"), F.col("v")) if leading else geo.rings_edges(F.col("rings"))).alias("e"))
     a, b, v = F.col("e.a"), F.col("e.b"), F.col("v")
     ex, ey = b["x"] - a["x"], b["y"] - a["y"]
     turn = ex * v["dy"] - ey * v["dx"]
-    band = F.struct(a["x"].alias("x"), a["y"].alias("y"), ex.alias("ex"), ey.alias("ey"), v["dx"].alias("vx"), v["dy"].alias("vy"))
+    # the shares of the edge and of the vector that lead from the corner to a point are sums of its offsets times these
+    shares = [(v["dy"] / turn).alias("fx"), (-v["dx"] / turn).alias("fy"), (-ey / turn).alias("gx"), (ex / turn).alias("gy")]
+    band = F.struct(a["x"].alias("x"), a["y"].alias("y"), ex.alias("ex"), ey.alias("ey"), v["dx"].alias("vx"), v["dy"].alias("vy"), *shares)
     low = lambda k, d: F.least(a[k], b[k]) + F.least(v[d], F.lit(0.0))
     high = lambda k, d: F.greatest(a[k], b[k]) + F.greatest(v[d], F.lit(0.0))
     bands = edges.where(F.abs(turn) > EPS).select(
@@ -38,9 +43,26 @@ def shadow_parts(casters: DataFrame, stamps: DataFrame) -> DataFrame:
     return bands.unionByName(feet.withColumn("band", F.lit(None).cast(bands.schema["band"].dataType)))
 
 
+def leading_edges(rings, v):
+    """The edges that face the way the shadow falls. What they sweep and the footprint are the whole shadow: from any point of it, the way back to the
+    footprint first meets such an edge. A ring inside an odd number of others is a hole, whose edges face inwards."""
+    turn = lambda e: (e["b"]["x"] - e["a"]["x"]) * v["dy"] - (e["b"]["y"] - e["a"]["y"]) * v["dx"]
+
+    def of(ring):
+        first = F.element_at(ring, 1)
+        cross = lambda e: (e["a"]["x"] - first["x"]) * (e["b"]["y"] - first["y"]) - (e["b"]["x"] - first["x"]) * (e["a"]["y"] - first["y"])
+        turns = F.aggregate(geo.ring_edges(ring), F.lit(0.0), lambda acc, e: acc + cross(e))
+        p = geo.let(F.element_at(geo.ring_edges(ring), 1), lambda e: F.struct(((e["a"]["x"] + e["b"]["x"]) / 2).alias("x"), ((e["a"]["y"] + e["b"]["y"]) / 2).alias("y")))
+        hole = F.when(F.size(rings) == 1, F.lit(False)).otherwise(F.aggregate(F.filter(rings, lambda r: r != ring), F.lit(False), lambda acc, r: acc != geo.in_ring(r, p["x"], p["y"])))
+        side = F.when((turns > 0) != hole, F.lit(-1.0)).otherwise(F.lit(1.0))
+        return F.filter(geo.ring_edges(ring), lambda e: side * turn(e) > EPS)
+
+    return F.flatten(F.transform(rings, of))
+
+
 def shadow_polygons(casters: DataFrame, stamps: DataFrame) -> DataFrame:
     """(stamp, kind, rings) for a map: each footprint and each band that its edges sweep, soft or solid; where they overlap a map draws the kind once. Night has none."""
-    parts = shadow_parts(casters, stamps)
+    parts = shadow_parts(casters, stamps, leading=False)
     b = F.col("band")
     corner = lambda e, v: F.struct((b["x"] + (b["ex"] if e else 0) + (b["vx"] if v else 0)).alias("x"), (b["y"] + (b["ey"] if e else 0) + (b["vy"] if v else 0)).alias("y"))
     swept = F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
@@ -50,15 +72,36 @@ def shadow_polygons(casters: DataFrame, stamps: DataFrame) -> DataFrame:
     return parts.where("band is not null").select("stamp", kind, swept.alias("rings")).unionByName(feet)
 
 
+def swept_parts(casters: DataFrame, stamps: DataFrame) -> DataFrame:
+    """(stamp, soft, rings): the footprints and the bands of their leading edges, whose union is the shadow."""
+    parts = shadow_parts(casters, stamps)
+    b = F.col("band")
+    corner = lambda e, v: F.struct((b["x"] + (b["ex"] if e else 0) + (b["vx"] if v else 0)).alias("x"), (b["y"] + (b["ey"] if e else 0) + (b["vy"] if v else 0)).alias("y"))
+    swept = F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
+    days = F.broadcast(stamps.where("altitude > 0").select("stamp"))  # some dozens of stamps
+    feet = parts.where("band is null").drop("stamp").crossJoin(days).select("stamp", "soft", "rings")
+    return parts.where("band is not null").select("stamp", "soft", swept.alias("rings")).unionByName(feet)
+
+
+def shadow_layers(casters: DataFrame, stamps: DataFrame) -> DataFrame:
+    """(stamp, kind, ring, area): rings of the dissolved solid shadow, and of the dappled one where no solid one lies. Night has none."""
+    return overlay.layers(swept_parts(casters, stamps))
+
+
+def shadow_blobs(casters: DataFrame, stamps: DataFrame) -> DataFrame:
+    """(stamp, kind, rings): the separate patches of each layer, with their holes."""
+    return polygons(shadow_layers(casters, stamps), ["stamp", "kind"])
+
+
 def near_streets(casters: DataFrame, edges: DataFrame, cell: float = 256.0) -> DataFrame:
-    """The casters whose longest shadow may reach a street, by cells, before they are multiplied by stamps."""
+    """The casters whose longest shadow may reach a street, by cells, before they are multiplied by stamps. What meets the streets' cells are ids and cells; the casters are a stored table."""
     pieces = street_pieces(edges)
     cells_of = lambda x0, y0, x1, y1: F.explode(cells(x0, y0, x1, y1, cell))
     used = pieces.select(cells_of(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("__cell")).distinct()
-    boxed = _boxed(casters.withColumn("__id", F.monotonically_increasing_id()))
+    boxed = stored(_boxed(casters.withColumn("__id", F.monotonically_increasing_id())))
     far = F.lit(MAX_SHADOW)
-    spread = boxed.withColumn("__cell", cells_of(F.col("r_x0") - far, F.col("r_y0") - far, F.col("r_x1") + far, F.col("r_y1") + far))
-    return spread.join(used, "__cell", "left_semi").dropDuplicates(["__id"]).select(casters.columns)
+    spread = boxed.select("__id", cells_of(F.col("r_x0") - far, F.col("r_y0") - far, F.col("r_x1") + far, F.col("r_y1") + far).alias("__cell"))
+    return boxed.join(spread.join(used, "__cell", "left_semi").select("__id").distinct(), "__id", "left_semi").select(casters.columns)
 
 
 def _boxed(parts: DataFrame) -> DataFrame:
@@ -106,13 +149,12 @@ def inside(rings, a, b):
 def in_band(band, a, b):
     """struct(t0, t1): where the piece a-b lies in the parallelogram that an edge sweeps; t0 above t1 where it does not. Plain arithmetic: a point is a corner plus shares of the edge and of the vector, and each share is between 0 and 1."""
     dx, dy, wx, wy = b["x"] - a["x"], b["y"] - a["y"], a["x"] - band["x"], a["y"] - band["y"]
-    turn = band["ex"] * band["vy"] - band["ey"] * band["vx"]
     slab = lambda at, by: (
         F.when(F.abs(by) > EPS, F.least(-at / by, (1 - at) / by)).when(at.between(-EPS, 1 + EPS), F.lit(0.0)).otherwise(F.lit(2.0)),
         F.when(F.abs(by) > EPS, F.greatest(-at / by, (1 - at) / by)).otherwise(F.lit(1.0)),
     )
-    l0, h0 = slab((wx * band["vy"] - wy * band["vx"]) / turn, (dx * band["vy"] - dy * band["vx"]) / turn)
-    l1, h1 = slab((band["ex"] * wy - band["ey"] * wx) / turn, (band["ex"] * dy - band["ey"] * dx) / turn)
+    l0, h0 = slab(wx * band["fx"] + wy * band["fy"], dx * band["fx"] + dy * band["fy"])
+    l1, h1 = slab(wx * band["gx"] + wy * band["gy"], dx * band["gx"] + dy * band["gy"])
     return F.struct(F.greatest(F.lit(0.0), l0, l1).alias("t0"), F.least(F.lit(1.0), h0, h1).alias("t1"))
 
 
@@ -129,19 +171,19 @@ def score_streets(edges: DataFrame, casters: DataFrame, stamps: DataFrame) -> Da
     """score() of all that casters throw; by day a street that nothing reaches is in the sun, and without any caster every stamp is night."""
     if not casters.limit(1).count():
         stamps = stamps.withColumn("altitude", F.lit(-90.0))
-    return score(edges, shadow_parts(near_streets(casters, edges), stamps), stamps)
+    return score(edges, shadow_parts(stored(near_streets(casters, edges)), stamps), stamps)
 
 
 def score(edges: DataFrame, parts: DataFrame, stamps: DataFrame, cell: float = 128.0) -> DataFrame:
     """(stamp, edge_id, shade) for edges(edge_id, coords) and every stamp: the share of an edge's own length in solid shadow, and CANOPY_OPACITY of that in soft shadow alone. Night is where stamps' altitude says so, or else a stamp without any part."""
-    pieces = street_pieces(edges)
-    met = grid_join(pieces, parts, cell)
+    pieces = stored(street_pieces(edges))
     size, days = F.col("size"), stamps.where("altitude > 0") if "altitude" in stamps.columns else stamps
     span = lambda i: [F.col("stamp"), F.col("edge_id"), F.col("piece"), F.col("soft"), (i["t0"] * size).alias("t0"), (i["t1"] * size).alias("t1")]
-    whole_rings = met.where("rings is not null").withColumn("i", F.explode(inside(F.col("rings"), F.col("a"), F.col("b"))))
+    whole_rings = grid_join(pieces, parts.where("rings is not null"), cell).withColumn("i", F.explode(inside(F.col("rings"), F.col("a"), F.col("b"))))
     spans = whole_rings.where("stamp is not null").select(*span(F.col("i")))
     if "band" in parts.columns:
-        swept = met.where("band is not null").withColumn("i", in_band(F.col("band"), F.col("a"), F.col("b"))).where("i.t1 > i.t0").select(*span(F.col("i")))
+        # exploded, so that the interval is not asked for before the boxes are
+        swept = grid_join(pieces, parts.where("band is not null"), cell).withColumn("i", F.explode(F.array(in_band(F.col("band"), F.col("a"), F.col("b"))))).where("i.t1 > i.t0").select(*span(F.col("i")))
         feet = whole_rings.where("stamp is null").drop("stamp").crossJoin(F.broadcast(days.select("stamp"))).select(*span(F.col("i")))  # some dozens of stamps
         spans = swept.unionByName(feet)
     sums = dark_lengths(spans).select("stamp", "edge_id", (F.col("solid") + CANOPY_OPACITY * (F.col("both") - F.col("solid"))).alias("dark"))

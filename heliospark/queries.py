@@ -593,4 +593,4 @@ def weather_latest(s, d):
     return latest(e)
 
 
-from heliospark import geo_queries  # noqa: E402, F401  # they register themselves
+from heliospark import geo_queries, layer_queries  # noqa: E402, F401  # they register themselves
