@@ -61,12 +61,11 @@ def signed_area(path: Column) -> Column:
 
 
 def straightened(path: Column) -> Column:
-    """A closed path without corners that lie within two units of the straight line between their neighbours: rounding leaves such where an edge crosses tiles."""
+    """A closed path without corners that lie on the straight line between their neighbours, to the unit: so none goes that a neighbour's going would make a corner."""
     n = F.size(path) - 1
     at = lambda i: F.element_at(path, (F.pmod(i, n) + 1).cast("int"))
-    step = lambda i, j, k: (at(j)[k] - at(i)[k]).cast("double")
-    bend = lambda i: F.abs(step(i - 1, i, "x") * step(i, i + 1, "y") - step(i - 1, i, "y") * step(i, i + 1, "x"))
-    kept = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: bend(i) > 2 * geo.hypot(step(i - 1, i + 1, "x"), step(i - 1, i + 1, "y"))), at)
+    bend = lambda i: (at(i)["x"] - at(i - 1)["x"]) * (at(i + 1)["y"] - at(i)["y"]) - (at(i)["y"] - at(i - 1)["y"]) * (at(i + 1)["x"] - at(i)["x"])
+    kept = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: bend(i) != 0), at)
     return geo.let(kept, lambda k: F.concat(k, F.slice(k, 1, 1)))
 
 
