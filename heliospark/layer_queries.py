@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from heliospark.functions import geo
 from heliospark.geo_queries import SUN_ROWS, box
-from heliospark.operators import canopy, overlay, shade
-from heliospark.queries import dbl, load, query
+from heliospark.operators import canopy, overlay, places, shade
+from heliospark.queries import INDEX_SQL, _index, dbl, fold_sql, load, query
 
 #: A lattice of points, whose corner is off every corner of a house.
 STEP, OFF_X, OFF_Y = 2.75, 0.137, 0.291
@@ -100,3 +100,13 @@ def fill_outlines(s, d):
 def _measured(labelled: DataFrame) -> DataFrame:
     rings = canopy.outlines(labelled.select("label", "row", "col"), ["label"])
     return rings.groupBy("label").agg(F.sum("area").alias("area"), F.sum(geo.line_length(F.col("ring"))).alias("around"))
+
+
+@query(f"""with i as ({INDEX_SQL}), q as (select query, {fold_sql('query')} as qc, replace(replace({fold_sql('query')}, 'kh', 'h'), 'y', 'i') as ql from (select distinct n_name as query from nation union select distinct substr(p_name, 3, 4) from part union select distinct p_brand from part)),
+  h as (select query, entry, n, row_number() over (partition by query order by (qc <> '' and contains(c, qc) and (starts_with(c, qc) or contains(c, ' ' || qc)) or ql <> '' and contains(l, ql) and (starts_with(l, ql) or contains(l, ' ' || ql))) desc, length(n), entry) as rank from i, q where qc <> '' and contains(c, qc) or ql <> '' and contains(l, ql))
+  select query, cast(rank as int) as rank, cast(entry as int) as entry, n from h where rank <= 7""")
+def search_many(s, d):
+    """Every nation, brand and piece of a part's name as a search."""
+    p = load(s, d, "part")
+    asked = load(s, d, "nation").select(F.col("n_name").alias("query")).union(p.select(F.substring("p_name", 3, 4))).union(p.select("p_brand")).distinct()
+    return places.rank(_index(s, d), asked).select("query", "rank", F.col("entry").cast("int").alias("entry"), "n")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliospark.constants import LANDMARK_RADIUS, LANDMARKS, METRES_PER_DEGREE, SAME_PLACE, SEARCH_LIMIT
 from heliospark.functions import text as T
 from heliospark.functions.geo import flat_distance, line_at, line_length
+from heliospark.operators.near import small
+from heliospark.sources.tables import dropped, stored
 
 
 def street_entries(streets: DataFrame) -> DataFrame:
@@ -29,41 +32,67 @@ def entries(rows: DataFrame) -> DataFrame:
 
 
 def dedupe(rows: DataFrame, key: str = "c", order: str = "entry", lat: str = "lat", lon: str = "lon", within: float = SAME_PLACE) -> DataFrame:
-    """rows without those that have a kept one of the same key within some metres and before them in order.
-
-    Keeping depends on what was kept before, so a key's rows are read in their order. The kept ones are held by bands
-    of latitude of the given width: a row looks at its own band and the two beside it."""
-    schema = rows.schema
-    k = F.coalesce(F.col(key), F.lit(""))
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        held: dict[int, list[tuple[float, float]]] = {}
-        mask = []
-        for a, o in zip(pdf[lat].to_numpy(float), pdf[lon].to_numpy(float), strict=True):
-            narrow = np.cos(np.radians(a))
-            row, near = int(np.floor(a * METRES_PER_DEGREE / within)), False
-            for i in (row - 1, row, row + 1):
-                for b, p in held.get(i, ()):
-                    if np.hypot((a - b) * METRES_PER_DEGREE, (o - p) * METRES_PER_DEGREE * narrow) <= within:
-                        near = True
-            if not near:
-                held.setdefault(row, []).append((a, o))
-            mask.append(not near)
-        return pdf[np.array(mask, bool)] if len(pdf) else pdf
-
-    return rows.groupBy(k.alias("__key")).applyInPandas(lambda _, pdf: keep(pdf), schema)
+    """rows without those that have a kept one of the same key within some metres and before them in order; degrees of longitude are narrowed at the later one's latitude.
+
+    Keeping depends on what was kept before, which rounds of joins settle for all keys at once: places of one key and spot
+    are one; each meets the earlier ones in its own and the eight cells around; one without an earlier neighbour is kept, its later neighbours
+    go, and so on with what is left, until no pair is. Rows without a place are kept; order is taken to tell a key's rows apart."""
+    spot = rows.select(F.coalesce(F.col(key), F.lit("")).alias("k"), F.col(lat).cast("double").alias("a"), F.col(lon).cast("double").alias("o"), F.col(order).alias("at")).where("a is not null and o is not null and not isnan(a) and not isnan(o)")
+    n = stored(spot.groupBy("k", "a", "o").agg(F.min("at").alias("at")).withColumn("id", F.monotonically_increasing_id()))
+    far = n.agg(F.max(F.abs("a"))).first()[0]
+    wide = within / (METRES_PER_DEGREE * max(math.cos(math.radians(min(far or 0.0, 90.0))), 1e-9))
+    cells_of = n.withColumn("cy", F.floor(F.col("a") * METRES_PER_DEGREE / within)).withColumn("cx", F.floor(F.col("o") / wide))
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    early = cells_of.select("k", "cy", "cx", F.col("id").alias("early"), F.col("a").alias("b"), F.col("o").alias("p"), F.col("at").alias("before"))
+    near = flat_distance(F.col("a"), F.col("o"), F.col("b"), F.col("p"), F.col("a")) <= within
+    pairs = stored(cells_of.withColumn("cy", around("cy")).withColumn("cx", around("cx")).join(early, ["k", "cy", "cx"]).where((F.col("before") < F.col("at")) & near).select("early", F.col("id").alias("late")))
+    kept = stored(n.select("id").join(pairs.select(F.col("late").alias("id")).distinct(), "id", "left_anti"))
+    sure, all_kept, tables = kept, [kept], [pairs]
+    while pairs.limit(1).count():
+        gone = stored(pairs.join(sure.withColumnRenamed("id", "early"), "early").select(F.col("late").alias("id")).distinct())
+        left = stored(pairs.join(gone.withColumnRenamed("id", "late"), "late", "left_anti").join(gone.withColumnRenamed("id", "early"), "early", "left_anti"))
+        open_ = pairs.select(F.col("late").alias("id")).distinct().join(gone, "id", "left_anti")
+        sure = stored(open_.join(left.select(F.col("late").alias("id")).distinct(), "id", "left_anti"))
+        all_kept.append(sure)
+        tables += [gone, left]
+        pairs = left
+    whole = stored(n.join(reduce(DataFrame.unionByName, all_kept), "id").select(F.col("k").alias("__k"), F.col("a").alias("__a"), F.col("o").alias("__o"), F.col("at").alias("__at")))
+    dropped(n, *tables, *all_kept)
+    a, o = F.col(lat).cast("double"), F.col(lon).cast("double")
+    placed = rows.join(whole, (F.coalesce(F.col(key), F.lit("")) == F.col("__k")) & (a == F.col("__a")) & (o == F.col("__o")) & (F.col(order) == F.col("__at")), "left_semi")
+    return placed.unionByName(rows.where(a.isNull() | o.isNull() | F.isnan(a) | F.isnan(o)))
+
+
+def _grams(text, sizes: list[int]):
+    """Array of structs (size, gram): all runs of characters of these lengths, each once."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.struct(F.lit(n).alias("size"), F.substring(text, i, F.lit(n)).alias("gram"))))
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(of(n), F.array().cast("array<struct<size:int,gram:string>>")) for n in sizes])))
+
+
+def _holders(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """(query, entry) where queries' text q is in the entry's key: the index is cut into runs of three characters (fewer for shorter queries), each query's rarest run is
+    joined, and what holds that is searched for the whole query."""
+    q = stored(queries.where("q != ''").withColumn("size", F.least(F.lit(3), F.length("q"))))
+    sizes = sorted(r[0] for r in q.select("size").distinct().collect())  # at most three
+    if not sizes:
+        return index.select(F.lit("").alias("query"), "entry").limit(0)
+    asked = q.select("query", "q", F.explode(_grams(F.col("q"), sizes)).alias("g"), "size").where("g.size = size").select("query", "q", "g")
+    runs = index.select("entry", F.col(key).alias("key"), F.explode(_grams(F.col(key), sizes)).alias("g"))
+    often = runs.join(small(asked.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "g", "left").groupBy("query", "q").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), F.col("g"))).alias("g"))
+    return runs.join(small(stored(rarest)), "g").where(F.contains("key", "q")).select("query", "entry")
 
 
 def rank(index: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
     """(query, rank, entry, n, d, lat, lon) of the best `limit` entries that contain each query: at the start of a word first, then shorter names, then index order.
 
-    queries is a stated set of what people typed; it meets the index in blocks, and a query that folds to nothing has no answers."""
-    q = queries.select("query", T.fold(F.col("query"), T.DROP_UNDERSCORE).alias("qc"), T.latinise(F.col("query"), T.DROP_UNDERSCORE).alias("ql")).where("qc != '' or ql != ''")
+    A query that folds to nothing has no answers. Candidates come by their rarest run of characters, and ranks are cut before they are shuffled."""
+    q = stored(queries.select("query", T.fold(F.col("query"), T.DROP_UNDERSCORE).alias("qc"), T.latinise(F.col("query"), T.DROP_UNDERSCORE).alias("ql")).where("qc != '' or ql != ''").distinct())
+    found = _holders(index, q.select("query", F.col("qc").alias("q")), "c").unionByName(_holders(index, q.select("query", F.col("ql").alias("q")), "l")).distinct()
     by_script, by_latin = (F.col("qc") != "") & F.contains("c", "qc"), (F.col("ql") != "") & F.contains("l", "ql")
     lead = (by_script & T.starts_word(F.col("c"), F.col("qc"))) | (by_latin & T.starts_word(F.col("l"), F.col("ql")))
     w = Window.partitionBy("query").orderBy(F.desc("lead"), F.length("n"), "entry")
-    hits = index.join(F.broadcast(q), by_script | by_latin).withColumn("lead", lead).withColumn("rank", F.row_number().over(w))
+    hits = index.join(found, "entry").join(small(q), "query").withColumn("lead", lead).withColumn("rank", F.row_number().over(w))
     return hits.where(F.col("rank") <= limit).select("query", "rank", "entry", "n", "d", "lat", "lon")
 
 
