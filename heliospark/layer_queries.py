@@ -9,6 +9,7 @@ from heliospark.functions import geo
 from heliospark.geo_queries import SUN_ROWS, box
 from heliospark.operators import canopy, overlay, places, shade
 from heliospark.queries import INDEX_SQL, _index, dbl, fold_sql, load, query
+from heliospark.sources import raster
 
 #: A lattice of points, whose corner is off every corner of a house.
 STEP, OFF_X, OFF_Y = 2.75, 0.137, 0.291
@@ -110,3 +111,16 @@ def search_many(s, d):
     p = load(s, d, "part")
     asked = load(s, d, "nation").select(F.col("n_name").alias("query")).union(p.select(F.substring("p_name", 3, 4))).union(p.select("p_brand")).distinct()
     return places.rank(_index(s, d), asked).select("query", "rank", F.col("entry").cast("int").alias("entry"), "n")
+
+
+@query("""with p as (select p_partkey * 37 % 97 as row, p_partkey * 53 % 89 as col, max(p_size) as v from part group by all), w as (select s_suppkey as window_id, s_suppkey * 37 % 97 - 8 as row, s_suppkey * 53 % 89 - 8 as col, s_suppkey % 20 + 1 as h, s_nationkey + 1 as w from supplier)
+  select window_id, w.h * w.w as pixels, cast(coalesce(sum(v), 0) as double) as total, cast(coalesce(sum(v * ((p.row - w.row) * w.w + p.col - w.col)), 0) as double) as placed from w left join p on p.row between w.row and w.row + w.h - 1 and p.col between w.col and w.col + w.w - 1 group by window_id, w.h, w.w""")
+def window_reads(s, d):
+    """Windows across tiles and edges of a raster: how many pixels, their sum, and their sum weighted by where they lie."""
+    k = F.col("s_suppkey")
+    tiles = raster.tiled(load(s, d, "part").select((F.col("p_partkey") * 37 % 97).alias("row"), (F.col("p_partkey") * 53 % 89).alias("col"), F.col("p_size").alias("value")), 16)
+    asked = load(s, d, "supplier").select(k.alias("window_id"), (k * 37 % 97 - 8).alias("row"), (k * 53 % 89 - 8).alias("col"), (k % 20 + 1).alias("height"), (F.col("s_nationkey") + 1).alias("width"))
+    v = raster.windows(tiles, asked, 16).withColumn("v", raster.values("pixels"))
+    each = F.transform("v", lambda x, i: dbl(x) * i)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + dbl(x))
+    return v.select("window_id", F.size("v").cast("long").alias("pixels"), add(F.col("v")).alias("total"), add(each).alias("placed"))

@@ -88,6 +88,7 @@ def rank(index: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> Dat
 
     A query that folds to nothing has no answers. Candidates come by their rarest run of characters, and ranks are cut before they are shuffled."""
     q = stored(queries.select("query", T.fold(F.col("query"), T.DROP_UNDERSCORE).alias("qc"), T.latinise(F.col("query"), T.DROP_UNDERSCORE).alias("ql")).where("qc != '' or ql != ''").distinct())
+    index = stored(index)
     found = _holders(index, q.select("query", F.col("qc").alias("q")), "c").unionByName(_holders(index, q.select("query", F.col("ql").alias("q")), "l")).distinct()
     by_script, by_latin = (F.col("qc") != "") & F.contains("c", "qc"), (F.col("ql") != "") & F.contains("l", "ql")
     lead = (by_script & T.starts_word(F.col("c"), F.col("qc"))) | (by_latin & T.starts_word(F.col("l"), F.col("ql")))

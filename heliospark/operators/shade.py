@@ -15,6 +15,7 @@ from heliospark.functions.solar import shadow_vector
 from heliospark.operators import overlay
 from heliospark.operators.near import cells, grid_join
 from heliospark.operators.rings import polygons
+from heliospark.sources.files import lon_lat, simplified
 from heliospark.sources.tables import stored
 
 EPS = 1e-9
@@ -25,8 +26,9 @@ def shadow_parts(casters: DataFrame, stamps: DataFrame, leading: bool = True) ->
 
     stamps has at most some dozens of rows, so it goes to every task. With leading, only edges that face the way the shadow falls have bands."""
     soft = F.col("height_source").isin(CANOPY_SOURCES)
-    at = casters.withColumn("soft", soft).crossJoin(F.broadcast(stamps)).withColumn("v", shadow_vector(F.col("height_m"), F.col("altitude"), F.col("azimuth"))).where("v is not null")
-    edges = at.select("stamp", "soft", "v", F.explode(leading_edges(F.col("rings"), F.col("v")) if leading else geo.rings_edges(F.col("rings"))).alias("e"))
+    sided = casters.select(soft.alias("soft"), "height_m", (sided_edges(F.col("rings")) if leading else F.transform(geo.rings_edges(F.col("rings")), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), F.lit(0.0).alias("side")))).alias("es"))
+    at = sided.crossJoin(F.broadcast(stamps)).withColumn("v", shadow_vector(F.col("height_m"), F.col("altitude"), F.col("azimuth"))).where("v is not null")
+    edges = at.select("stamp", "soft", "v", F.explode("es").alias("e"))
     a, b, v = F.col("e.a"), F.col("e.b"), F.col("v")
     ex, ey = b["x"] - a["x"], b["y"] - a["y"]
     turn = ex * v["dy"] - ey * v["dx"]
@@ -35,7 +37,8 @@ def shadow_parts(casters: DataFrame, stamps: DataFrame, leading: bool = True) ->
     band = F.struct(a["x"].alias("x"), a["y"].alias("y"), ex.alias("ex"), ey.alias("ey"), v["dx"].alias("vx"), v["dy"].alias("vy"), *shares)
     low = lambda k, d: F.least(a[k], b[k]) + F.least(v[d], F.lit(0.0))
     high = lambda k, d: F.greatest(a[k], b[k]) + F.greatest(v[d], F.lit(0.0))
-    bands = edges.where(F.abs(turn) > EPS).select(
+    faces = F.when(F.col("e.side") == 0, F.abs(turn)).otherwise(F.col("e.side") * turn) > EPS
+    bands = edges.where(faces).select(
         "stamp", "soft", F.lit(None).cast(geo.RINGS).alias("rings"), band.alias("band"), low("x", "dx").alias("r_x0"), low("y", "dy").alias("r_y0"), high("x", "dx").alias("r_x1"), high("y", "dy").alias("r_y1")
     )
     day = stamps.where("altitude > 0").limit(1).select(F.lit(None).cast(stamps.schema["stamp"].dataType).alias("stamp"))
@@ -43,19 +46,23 @@ def shadow_parts(casters: DataFrame, stamps: DataFrame, leading: bool = True) ->
     return bands.unionByName(feet.withColumn("band", F.lit(None).cast(bands.schema["band"].dataType)))
 
 
-def leading_edges(rings, v):
-    """The edges that face the way the shadow falls. What they sweep and the footprint are the whole shadow: from any point of it, the way back to the
-    footprint first meets such an edge. A ring inside an odd number of others is a hole, whose edges face inwards."""
-    turn = lambda e: (e["b"]["x"] - e["a"]["x"]) * v["dy"] - (e["b"]["y"] - e["a"]["y"]) * v["dx"]
+def sided_edges(rings):
+    """Array of structs (a, b, side): edges that face the way a shadow falls are those whose turn towards its vector has the sign of side.
+
+    What they sweep and the footprint are the whole shadow: from any point of it, the way back to the footprint first meets such an edge. A
+    ring inside an odd number of others is a hole, whose edges face inwards."""
 
     def of(ring):
-        first = F.element_at(ring, 1)
-        cross = lambda e: (e["a"]["x"] - first["x"]) * (e["b"]["y"] - first["y"]) - (e["b"]["x"] - first["x"]) * (e["a"]["y"] - first["y"])
-        turns = F.aggregate(geo.ring_edges(ring), F.lit(0.0), lambda acc, e: acc + cross(e))
-        p = geo.let(F.element_at(geo.ring_edges(ring), 1), lambda e: F.struct(((e["a"]["x"] + e["b"]["x"]) / 2).alias("x"), ((e["a"]["y"] + e["b"]["y"]) / 2).alias("y")))
-        hole = F.when(F.size(rings) == 1, F.lit(False)).otherwise(F.aggregate(F.filter(rings, lambda r: r != ring), F.lit(False), lambda acc, r: acc != geo.in_ring(r, p["x"], p["y"])))
-        side = F.when((turns > 0) != hole, F.lit(-1.0)).otherwise(F.lit(1.0))
-        return F.filter(geo.ring_edges(ring), lambda e: side * turn(e) > EPS)
+        def side(edges):
+            first = F.element_at(edges, 1)["a"]
+            cross = lambda e: (e["a"]["x"] - first["x"]) * (e["b"]["y"] - first["y"]) - (e["b"]["x"] - first["x"]) * (e["a"]["y"] - first["y"])
+            turns = F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + cross(e))
+            p = F.element_at(edges, 1)
+            x, y = (p["a"]["x"] + p["b"]["x"]) / 2, (p["a"]["y"] + p["b"]["y"]) / 2
+            hole = F.when(F.size(rings) == 1, F.lit(False)).otherwise(F.aggregate(F.filter(rings, lambda r: r != ring), F.lit(False), lambda acc, r: acc != geo.in_ring(r, x, y)))
+            return F.when((turns > 0) != hole, F.lit(-1.0)).otherwise(F.lit(1.0))
+
+        return geo.let(geo.ring_edges(ring), lambda edges: geo.let(side(edges), lambda k: F.transform(edges, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), k.alias("side")))))
 
     return F.flatten(F.transform(rings, of))
 
@@ -93,6 +100,14 @@ def shadow_blobs(casters: DataFrame, stamps: DataFrame) -> DataFrame:
     return polygons(shadow_layers(casters, stamps), ["stamp", "kind"])
 
 
+def shadow_frame(blobs: DataFrame, stamps: DataFrame, date: str, offset: str = "+05:00") -> DataFrame:
+    """(time, altitude_deg, azimuth_deg, kind, rings) of shadow_blobs for a map: simplified rings as arrays of [lon, lat], the time as ISO text of the city's fixed offset, angles to two digits."""
+    ring = lambda r: F.transform(simplified(r), lon_lat)
+    at = F.broadcast(stamps.select("stamp", F.round("altitude", 2).alias("altitude_deg"), F.round("azimuth", 2).alias("azimuth_deg")))  # some dozens of stamps
+    time = F.concat(F.lit(f"{date}T"), "stamp", F.lit(f":00{offset}"))
+    return blobs.join(at, "stamp").select(time.alias("time"), "altitude_deg", "azimuth_deg", "kind", F.transform("rings", ring).alias("rings"))
+
+
 def near_streets(casters: DataFrame, edges: DataFrame, cell: float = 256.0) -> DataFrame:
     """The casters whose longest shadow may reach a street, by cells, before they are multiplied by stamps. What meets the streets' cells are ids and cells; the casters are a stored table."""
     pieces = street_pieces(edges)
@@ -146,15 +161,19 @@ def inside(rings, a, b):
     return let(geo.rings_edges(rings), pick)
 
 
-def in_band(band, a, b):
-    """struct(t0, t1): where the piece a-b lies in the parallelogram that an edge sweeps; t0 above t1 where it does not. Plain arithmetic: a point is a corner plus shares of the edge and of the vector, and each share is between 0 and 1."""
+def band_shares(band, a, b) -> dict:
+    """Where the piece a-b begins and how far it goes, in shares of the edge (0) and of the vector (1) that lead from a band's corner."""
     dx, dy, wx, wy = b["x"] - a["x"], b["y"] - a["y"], a["x"] - band["x"], a["y"] - band["y"]
+    return {"at0": wx * band["fx"] + wy * band["fy"], "by0": dx * band["fx"] + dy * band["fy"], "at1": wx * band["gx"] + wy * band["gy"], "by1": dx * band["gx"] + dy * band["gy"]}
+
+
+def in_band():
+    """struct(t0, t1) from the columns of band_shares: where the piece lies in the parallelogram, t0 above t1 where it does not: each share is between 0 and 1."""
     slab = lambda at, by: (
         F.when(F.abs(by) > EPS, F.least(-at / by, (1 - at) / by)).when(at.between(-EPS, 1 + EPS), F.lit(0.0)).otherwise(F.lit(2.0)),
         F.when(F.abs(by) > EPS, F.greatest(-at / by, (1 - at) / by)).otherwise(F.lit(1.0)),
     )
-    l0, h0 = slab(wx * band["fx"] + wy * band["fy"], dx * band["fx"] + dy * band["fy"])
-    l1, h1 = slab(wx * band["gx"] + wy * band["gy"], dx * band["gx"] + dy * band["gy"])
+    (l0, h0), (l1, h1) = (slab(F.col(f"at{k}"), F.col(f"by{k}")) for k in (0, 1))
     return F.struct(F.greatest(F.lit(0.0), l0, l1).alias("t0"), F.least(F.lit(1.0), h0, h1).alias("t1"))
 
 
@@ -183,7 +202,8 @@ def score(edges: DataFrame, parts: DataFrame, stamps: DataFrame, cell: float = 1
     spans = whole_rings.where("stamp is not null").select(*span(F.col("i")))
     if "band" in parts.columns:
         # exploded, so that the interval is not asked for before the boxes are
-        swept = grid_join(pieces, parts.where("band is not null"), cell).withColumn("i", F.explode(F.array(in_band(F.col("band"), F.col("a"), F.col("b"))))).where("i.t1 > i.t0").select(*span(F.col("i")))
+        met = grid_join(pieces, parts.where("band is not null"), cell).withColumns(band_shares(F.col("band"), F.col("a"), F.col("b")))
+        swept = met.withColumn("i", F.explode(F.array(in_band()))).where("i.t1 > i.t0").select(*span(F.col("i")))
         feet = whole_rings.where("stamp is null").drop("stamp").crossJoin(F.broadcast(days.select("stamp"))).select(*span(F.col("i")))  # some dozens of stamps
         spans = swept.unionByName(feet)
     sums = dark_lengths(spans).select("stamp", "edge_id", (F.col("solid") + CANOPY_OPACITY * (F.col("both") - F.col("solid"))).alias("dark"))

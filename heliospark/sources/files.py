@@ -131,16 +131,11 @@ def valid_canopy(canopy: DataFrame, box: tuple[float, float, float, float]) -> D
     return canopy
 
 
-def replace_tree(canopy: DataFrame, path: str, box: tuple[float, float, float, float]) -> None:
-    """Crowns as features, validated and written aside; the old ones go only when the new ones are whole."""
-    spark = canopy.sparkSession
-    write_features(polygon_features(valid_canopy(canopy, box), ["height_m", "height_source"]), f"{path}.new")
-    fs, p = _fs(spark, path)
-    aside, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in (".new", ".old"))
-    fs.delete(old, True)
-    if fs.exists(p) and not fs.rename(p, old) or not fs.rename(aside, p):
-        raise OSError(f"{path} can't be replaced")
-    fs.delete(old, True)
+def replace_tree(canopy: DataFrame, root: str, box: tuple[float, float, float, float], keep: int = 2) -> str:
+    """Crowns as features, validated, as the new published version under root (publish.current finds it); returns its folder."""
+    from heliospark.sources.publish import publish
+
+    return publish(canopy.sparkSession, root, lambda folder: write_features(polygon_features(valid_canopy(canopy, box), ["height_m", "height_source"]), folder), keep)
 
 
 def drop_stale(spark: SparkSession, folder: str, written: list[str]) -> list[str]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,3 +92,46 @@ def polygons(rows: DataFrame, geometry: str) -> DataFrame:
 def lines(rows: DataFrame, geometry: str) -> DataFrame:
     """A row per line, with its coords."""
     return of_types(rows, geometry, ["LineString", "MultiLineString"]).withColumn("coords", F.explode("rings")).drop("rings")
+
+
+def geo_metadata(spark: SparkSession, path: str) -> dict:
+    """The `geo` entry of a GeoParquet file's footer, or of the first file of a folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if fs.getFileStatus(p).isDirectory():
+        files = sorted(str(s.getPath()) for s in fs.listStatus(p) if str(s.getPath()).endswith(".parquet"))
+        if not files:
+            raise ValueError(f"{path} holds no Parquet file")
+        p = jvm.org.apache.hadoop.fs.Path(files[0])
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(p, conf))
+    try:
+        text = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")
+    finally:
+        reader.close()
+    if not text:
+        raise ValueError(f"{path} has no geo metadata")
+    return json.loads(text)
+
+
+def scan_geoparquet(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A GeoParquet file's rows with its primary column as geometry, struct(type, rings).
+
+    box (x0, y0, x1, y1), in the file's own coordinates, keeps rows whose box meets it. Where the metadata names a covering box column the test is one on
+    plain columns, which row groups are skipped by; without one it is made on the decoded points."""
+    meta = geo_metadata(spark, path)
+    name = meta["primary_column"]
+    column = meta["columns"][name]
+    if column.get("encoding") != "WKB":
+        raise ValueError(f"{path}: {name} is encoded as {column.get('encoding')}, not as WKB")
+    rows = spark.read.parquet(path)
+    cover = (column.get("covering") or {}).get("bbox")
+    if box and cover:
+        at = {k: F.col(".".join(f"`{x}`" for x in v)) for k, v in cover.items()}
+        rows = rows.where((at["xmin"] <= box[2]) & (at["xmax"] >= box[0]) & (at["ymin"] <= box[3]) & (at["ymax"] >= box[1]))
+    out = rows.withColumn("__geometry", from_wkb(F.col(f"`{name}`"))).drop(name).withColumnRenamed("__geometry", "geometry")
+    if box and not cover:
+        points = F.flatten("geometry.rings")
+        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        out = out.where((F.array_min(xs) <= box[2]) & (F.array_max(xs) >= box[0]) & (F.array_min(ys) <= box[3]) & (F.array_max(ys) >= box[1]))
+    return out
