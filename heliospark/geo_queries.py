@@ -343,4 +343,4 @@ def simplified_rings(s, d):
     return load(s, d, "supplier").select("s_suppkey", (F.size(files.simplified(ring)) - 1).alias("corners"))
 
 
-from heliospark import layer_queries  # noqa: E402, F401  # they register themselves
+from heliospark import city_queries, layer_queries  # noqa: E402, F401  # they register themselves

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliospark.functions import geo
 from heliospark.geo_queries import SUN_ROWS, box
-from heliospark.operators import canopy, overlay, places, shade
+from heliospark.operators import buffers, canopy, overlay, places, shade
 from heliospark.queries import INDEX_SQL, _index, dbl, fold_sql, load, query
 from heliospark.sources import raster
 
@@ -124,3 +124,21 @@ def window_reads(s, d):
     each = F.transform("v", lambda x, i: dbl(x) * i)
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + dbl(x))
     return v.select("window_id", F.size("v").cast("long").alias("pixels"), add(F.col("v")).alias("total"), add(each).alias("placed"))
+
+
+#: Of a round join of 16 corners and radius 3.
+ROUND = "(8 * 9 * sin(radians(22.5::double)))"
+
+
+@query(f"""select s_suppkey as id, round(case s_suppkey % 3 when 0 then 6 * a + {ROUND} when 1 then 6 * (a + b) - 9 + 1.25::double * {ROUND} else a * b + 6 * (a + b) + {ROUND} end, 2) as area from (select s_suppkey, s_suppkey % 40 + 10 as a, s_nationkey + 10 as b from supplier)""")
+def buffer_areas(s, d):
+    """Strips around straight lines, lines with a corner, and boxes."""
+    k, a, b = F.col("s_suppkey"), dbl(F.col("s_suppkey") % 40 + 10), dbl(F.col("s_nationkey") + 10)
+    x, y = dbl(k * 37 % 1009), dbl(k * 53 % 1013)
+    at = lambda u, v: F.struct((x + u).alias("x"), (y + v).alias("y"))
+    zero = F.lit(0.0)
+    rows = load(s, d, "supplier")
+    lines = rows.where(k % 3 < 2).select(k.alias("id"), F.when(k % 3 == 0, F.array(at(zero, zero), at(a, zero))).otherwise(F.array(at(zero, zero), at(a, zero), at(a, b))).alias("coords"))
+    boxes = rows.where(k % 3 == 2).select(k.alias("id"), box(x, y, a, b).alias("rings"))
+    both = buffers.buffered(lines, 3.0).unionByName(buffers.buffered(boxes, 3.0, closed=True))
+    return both.select("id", F.round(geo.polygon_area(F.col("rings")), 2).alias("area"))

@@ -555,7 +555,7 @@ def tile_composite(s, d):
     return canopy.composite(load(s, d, "part").select((k * 37 % 50).alias("row"), (k * 53 % 50).alias("col"), dbl("p_size").alias("value")))
 
 
-COMPONENT_SQL = """with recursive p as (select distinct cast(p_partkey * 37 % 97 as int) as row, cast(p_partkey * 53 % 89 as int) as col from part where p_size >= 40),
+COMPONENT_SQL = """with recursive p as (select distinct cast(p_partkey * 37 % 97 as int) as row, cast(p_partkey * 53 % 89 as int) as col from part),
   e as (select a.row * 1000 + a.col as a, b.row * 1000 + b.col as b from p a join p b on abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1),
   r as (select a as n, a as l from e union select e.b, r.l from r join e on e.a = r.n)
   select cast(n // 1000 as int) as row, cast(n % 1000 as int) as col, cast(min(l) // 1000 as bigint) * 2147483648 + min(l) % 1000 as label from r group by n"""
@@ -564,7 +564,7 @@ COMPONENT_SQL = """with recursive p as (select distinct cast(p_partkey * 37 % 97
 @query(COMPONENT_SQL)
 def reach_components(s, d):
     k = F.col("p_partkey")
-    p = load(s, d, "part").where("p_size >= 40").select((k * 37 % 97).cast("int").alias("row"), (k * 53 % 89).cast("int").alias("col")).distinct()
+    p = load(s, d, "part").select((k * 37 % 97).cast("int").alias("row"), (k * 53 % 89).cast("int").alias("col")).distinct()
     return canopy.label(p)
 
 
@@ -580,11 +580,12 @@ def crowns_from_raster(s, d):
     return canopy.crowns(canopy.composite(tiles))
 
 
-@query("""with a as (select c_custkey as k, c_nationkey as v from customer where c_custkey % 4 = 0), u as (select c_custkey as k, 100 as v from customer where c_custkey % 6 = 0)
+@query("""with a as (select c_custkey as k, c_nationkey as v from customer), u as (select s_suppkey * 3 as k, s_nationkey + 100 as v from supplier)
   select k, v from a where k not in (select k from u) union all select k, v from u""")
 def answer_upsert(s, d):
-    c = load(s, d, "customer")
-    return tables.upsert(c.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v")), c.where("c_custkey % 6 = 0").select(F.col("c_custkey").alias("k"), F.lit(100).alias("v")), ["k"])
+    """Suppliers' answers take the place of customers' of the same number; those of new numbers are added."""
+    current = load(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
+    return tables.upsert(current, load(s, d, "supplier").select((F.col("s_suppkey") * 3).alias("k"), (F.col("s_nationkey") + 100).alias("v")), ["k"])
 
 
 @query("""select time_bucket(interval '1 hour', ts) as hour, arg_max(value, event_id) as feels, cast(arg_max(event_id % 100, event_id) as double) as cloud, 0.0::double as rain from events group by 1""")
