@@ -69,27 +69,29 @@ def _grams(text, sizes: list[int]):
     return F.array_distinct(F.flatten(F.array(*[F.coalesce(of(n), F.array().cast("array<struct<size:int,gram:string>>")) for n in sizes])))
 
 
-def _holders(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """(query, entry) where queries' text q is in the entry's key: the index is cut into runs of three characters (fewer for shorter queries), each query's rarest run is
-    joined, and what holds that is searched for the whole query."""
-    q = stored(queries.where("q != ''").withColumn("size", F.least(F.lit(3), F.length("q"))))
+def _holders(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, entry) where the text q of queries(query, script, q) is in the key of index(entry, script, key) of the same script: keys are cut into runs of three characters (fewer for
+    shorter queries), each query's rarest run is joined, and what holds that is searched for the whole query."""
+    q = queries.where("q != ''").withColumn("size", F.least(F.lit(3), F.length("q")))
     sizes = sorted(r[0] for r in q.select("size").distinct().collect())  # at most three
     if not sizes:
         return index.select(F.lit("").alias("query"), "entry").limit(0)
-    asked = q.select("query", "q", F.explode(_grams(F.col("q"), sizes)).alias("g"), "size").where("g.size = size").select("query", "q", "g")
-    runs = index.select("entry", F.col(key).alias("key"), F.explode(_grams(F.col(key), sizes)).alias("g"))
-    often = runs.join(small(asked.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
-    rarest = asked.join(often, "g", "left").groupBy("query", "q").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), F.col("g"))).alias("g"))
-    return runs.join(small(stored(rarest)), "g").where(F.contains("key", "q")).select("query", "entry")
+    asked = q.select("query", "script", "q", F.explode(_grams(F.col("q"), sizes)).alias("g"), "size").where("g.size = size").select("query", "script", "q", "g")
+    runs = index.select("entry", "script", "key", F.explode(_grams(F.col("key"), sizes)).alias("g"))
+    often = runs.join(small(asked.select("script", "g").distinct()), ["script", "g"], "left_semi").groupBy("script", "g").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, ["script", "g"], "left").groupBy("query", "script", "q").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), F.col("g"))).alias("g"))
+    return runs.join(small(stored(rarest)), ["script", "g"]).where(F.contains("key", "q")).select("query", "entry")
 
 
 def rank(index: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
     """(query, rank, entry, n, d, lat, lon) of the best `limit` entries that contain each query: at the start of a word first, then shorter names, then index order.
 
     A query that folds to nothing has no answers. Candidates come by their rarest run of characters, and ranks are cut before they are shuffled."""
+    # an index numbered in one task is spread again
+    index = stored(index.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entry"))
     q = stored(queries.select("query", T.fold(F.col("query"), T.DROP_UNDERSCORE).alias("qc"), T.latinise(F.col("query"), T.DROP_UNDERSCORE).alias("ql")).where("qc != '' or ql != ''").distinct())
-    index = stored(index)
-    found = _holders(index, q.select("query", F.col("qc").alias("q")), "c").unionByName(_holders(index, q.select("query", F.col("ql").alias("q")), "l")).distinct()
+    scripts = lambda c, l, name: F.explode(F.array(F.struct(F.lit("c").alias("script"), F.col(c).alias(name)), F.struct(F.lit("l").alias("script"), F.col(l).alias(name))))  # noqa: E731, E741
+    found = _holders(index.select("entry", scripts("c", "l", "key").alias("x")).select("entry", "x.*"), q.select("query", scripts("qc", "ql", "q").alias("x")).select("query", "x.*")).distinct()
     by_script, by_latin = (F.col("qc") != "") & F.contains("c", "qc"), (F.col("ql") != "") & F.contains("l", "ql")
     lead = (by_script & T.starts_word(F.col("c"), F.col("qc"))) | (by_latin & T.starts_word(F.col("l"), F.col("ql")))
     w = Window.partitionBy("query").orderBy(F.desc("lead"), F.length("n"), "entry")
