@@ -15,6 +15,7 @@ from heliospark import constants as C
 from heliospark.functions import clock, exposure, geo, solar, tags, text
 from heliospark.functions import format as fmt
 from heliospark.operators import advice, canopy, heights, intervals, near, places, quality, search, shade, survey, walks
+from heliospark.plans import routing
 from heliospark.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,7 +339,7 @@ def _grid(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
     e = e.withColumn("edge_id", (F.row_number().over(Window.orderBy("u", "v")) - 1).cast("long"))
     day = s.createDataFrame([(0, 480), (1, 500), (2, 520)], "stamp_idx int, minute int")
-    shade_of = e.select(F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("stamp_idx"), "edge_id", (dbl((F.col("u") * 7 + F.col("v") * 3 + F.col("stamp_idx") * 5) % 5) / 4).cast("float").alias("shade"))
+    shade_of = e.select(F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("stamp_idx"), "edge_id", (dbl((F.col("u") * 7 + F.col("v") * 3 + F.col("stamp_idx") * 2) % 5) / 4).cast("float").alias("shade"))
     return e, n, shade_of, walks.clock_table(day)
 
 
@@ -352,12 +353,43 @@ def route_small(s, d):
     return walks.measure(search.routes(r, city), ["req_id", "kind"])
 
 
-@query()
+#: Rounds of the search in SQL: an edge more a round, in every request at once; of equally cheap ways the shorter counts, then the one over the smaller crossing.
+WALKS_SQL = """recursive n as (select s_suppkey as id, (s_suppkey * 37 + 11) % (select max(s_suppkey) from supplier) + 1 as far from supplier),
+  e as (select a.id as u, b.id as v, (100 + a.id * b.id % 50)::double as length from n a join n b on (abs(a.id - b.id) = 1 and a.id // 10 = b.id // 10) or abs(a.id - b.id) = 10),
+  ways as (select u, v, length, false as stay from e union all select id, id, 0.0::double, true from n),
+  r as (select 0 as i, kind, id as req_id, far as goal, case kind when 'route' then id % 13 - 6 else 0 end as alpha, id as node, case kind when 'route' then 1 else 0 end as place, {{'cost': 0.0::double, 'walked': 0.0::double, 'from_node': null::bigint, 'from_place': null::int, 'dark': 0.0::double}} as m
+      from n, (select unnest(['route', 'baseline']) as kind) where far <> id
+    union all
+    select i + 1, kind, req_id, goal, alpha, node, place, min(m) from (
+      select i, kind, req_id, goal, alpha, v as node, case when stay or kind = 'baseline' then place else {STAMP} end as place, case when stay then m else
+          {{'cost': m.cost + length * (1 + abs(alpha) * case when alpha >= 0 then 1 - shade else shade end), 'walked': m.walked + length, 'from_node': node, 'from_place': place, 'dark': m.dark + length * lit}} end as m
+      from (select *, case when real = 3 then 1.0::double else (u * 7 + v * 3 + real * 2) % 5 / 4.0::double end as lit, case when kind = 'baseline' then 0.0::double when place = 3 then 1.0::double else (u * 7 + v * 3 + place * 2) % 5 / 4.0::double end as shade
+        from (select *, {REAL} as real from r join ways on r.node = ways.u where case when stay then m.walked = 0 else node <> goal end)))
+    where i < (select count(*) // 5 + 50 from n) group by i, kind, req_id, goal, alpha, node, place),
+  best as (select kind, req_id, min(m) as m from r where node = goal and i = (select max(i) from r) group by kind, req_id)"""
+_AT = "case when {0} between 470 and 489 then 0 when {0} between 490 and 509 then 1 when {0} between 510 and 530 then 2 else 3 end"
+_MINUTE = "floor(490 + ({0}) * (1 / 1.35::double / 60))"
+WALKS_SQL = WALKS_SQL.format(STAMP=_AT.format(_MINUTE.format("m.walked + length")), REAL=_AT.format(_MINUTE.format("m.walked")))
+
+
+def _far(n: DataFrame) -> DataFrame:
+    """From every crossing to one far off, at ten past eight."""
+    top, k = n.agg(F.max("node_id")).first()[0], F.col("node_id")
+    return n.select(k.alias("req_id"), k.alias("origin"), ((k * 37 + 11) % F.lit(top) + 1).alias("goal"), (dbl(k % 13) - 6).alias("alpha"), F.lit(490.0).alias("depart")).where("origin != goal")
+
+
+@query(f"with {WALKS_SQL} select req_id, m.cost as cost, m.walked as walked from best where kind = 'route'")
 def route_relaxed(s, d):
-    """The same search as rounds of joins, from each crossing to the one five further: costs of the cheapest walks."""
+    """The same search as rounds of joins, from each crossing to a far one: costs and lengths of the cheapest walks."""
+    e, n, shade_of, table = _grid(s, d)
+    return search.relax(_far(n), e, shade_of, table, nodes=n)
+
+
+@query(f"with {WALKS_SQL} select req_id, kind, m.walked as distance_m, m.walked / 1.35::double as duration_s, m.dark / m.walked as shade_fraction from best")
+def route_tables(s, d):
+    """Whole walks and their baselines on a network that stays tables, measured."""
     e, n, shade_of, table = _grid(s, d)
-    r = n.select(F.col("node_id").alias("req_id"), F.col("node_id").alias("origin"), (F.col("node_id") + 5).alias("goal"), F.lit(4.0).alias("alpha"), F.lit(490.0).alias("depart"))
-    return search.relax(r, e, shade_of, table)
+    return routing.plan(_far(n), search.Network(e, n, shade_of, table))
 
 
 #: A house's shadow is convex, so a street lies in it between the last entry to and the first exit from three slabs.

@@ -74,14 +74,19 @@ def test_search_like_rounds_of_joins(spark, seed):
     e, n, s, c, ids = city(spark, nodes, streets, [480, 490, 500], shade)
     asked = ask(spark, ids, [(r.choice(names[:4]), r.choice(names[4:]), r.choice([-6, -2, 3, 6]), 484) for _ in range(4)])
     town = search.City.of(e, n, s, c)
-    lengths, costs = town.length, {}
+    costs = {}
     for q in asked.collect():
         steps = town.walk(town.prices(q["alpha"]), town.clock, q["origin"], q["goal"], q["depart"], guide=False)
         if steps is not None:
             costs[q["req_id"]] = sum(float(town.costs(q["alpha"])[k, i]) for i, k in steps)
-    del lengths
     got = {x["req_id"]: x["cost"] for x in search.relax(asked, e, s, c).collect()}
     assert got == pytest.approx(costs, rel=1e-6)
+    assert {x["req_id"]: x["cost"] for x in search.relax(asked, e, s, c, nodes=n).collect()} == got
+    # whole walks: the same edges in the same order, entered in the same stamps
+    tables = search.opened(e, n, s, c, limit=5)
+    assert isinstance(tables, search.Network) and isinstance(search.opened(e, n, s, c), search.City)
+    row = lambda x: (x["req_id"], x["kind"], x["seq"], x["edge_id"], x["stamp_idx"], round(x["length"], 6), round(x["shade"], 6))
+    assert sorted(map(row, search.routes(asked, tables).collect())) == sorted(map(row, search.routes(asked, town).collect()))
 
 
 def test_network_too_large_for_a_worker(spark):
@@ -90,6 +95,18 @@ def test_network_too_large_for_a_worker(spark):
         search.City.of(e, n, s, c, limit=5)
 
 
+@pytest.mark.parametrize("form", ["arrays", "tables"])
+def test_requests_without_a_walk(spark, form):
+    """Equal ends, nulls, unknown ends and a place that no street leads to give no rows, whichever way the city is held."""
+    e, n, s, c, ids = city(spark, {**WAYS, "X": (900, 900)}, STREETS, [720], flank)
+    town = search.opened(e, n, s, c, 5 if form == "tables" else search.BROADCAST_CELLS)
+    rows = [(0, ids["A"], ids["A"], 1.0, 720.0), (1, ids["A"], ids["X"], 1.0, 720.0), (2, ids["A"], 99, 1.0, 720.0), (3, ids["A"], ids["C"], None, 720.0), (4, ids["A"], ids["C"], 1.0, None), (5, None, ids["C"], 1.0, 720.0), (6, ids["A"], ids["C"], 6.0, 720.0)]
+    asked = spark.createDataFrame(rows, "req_id long, origin long, goal long, alpha double, depart double")
+    got = routing.plan(asked, town).collect()
+    assert {(r["req_id"], r["kind"]) for r in got} == {(6, "route"), (6, "baseline")}
+    assert routing.plan(asked.limit(0), town).count() == 0
+
+
 def test_day_scan(spark):
     e, n, s, c, ids = city(spark, ROUND, ROUND_STREETS, [720, 780], moving)
     town = search.City.of(e, n, s, c)
