@@ -139,6 +139,21 @@ def ring_centroid(ring: Column) -> Column:
     )
 
 
+def point_inside(rings: Column) -> Column:
+    """A point in a polygon, which the centroid of a bent one is not: the middle of the widest stretch inside on a level halfway between the corners around mid-height. Null for a polygon without height."""
+    ys = F.array_sort(F.array_distinct(F.transform(F.flatten(rings), lambda p: p["y"])))
+    half = (F.array_min(ys) + F.array_max(ys)) / 2
+    level = (F.array_max(F.filter(ys, lambda v: v <= half)) + F.array_min(F.filter(ys, lambda v: v > half))) / 2
+
+    def widest(y):
+        met = F.filter(F.flatten(F.transform(rings, ring_edges)), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        xs = F.array_sort(F.transform(met, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
+        spans = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 2, F.lit(2)), lambda i: F.struct((F.get(v, i + 1) - F.get(v, i)).alias("wide"), ((F.get(v, i) + F.get(v, i + 1)) / 2).alias("x")))
+        return F.struct(let(xs, lambda v: F.array_max(spans(v))["x"]).alias("x"), y.alias("y"))
+
+    return F.when(F.array_max(ys) > F.array_min(ys), let(level, widest))
+
+
 def in_ring(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd rule for one ring: a ray to the east crosses an odd number of edges."""
     crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["a"]["x"] - e["b"]["x"]) * (y - e["b"]["y"]) / F.nullif(e["a"]["y"] - e["b"]["y"], F.lit(0.0)) + e["b"]["x"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from heliospark.operators import canopy, heights, places, quality, shade, survey
 from heliospark.plans import nightly
 from heliospark.queries import STAMP_SQL, _mass, dbl, load, query, stamps
 from heliospark.sources import files, geometry, scorestore, tables
-from heliospark.sources.tables import shared_dir
+from heliospark.sources.tables import scratch
 
 
 def box(x, y, w, h):
@@ -197,9 +196,9 @@ def clearest_scene(s, d):
 @query("""select p_partkey as id, case when p_partkey % 13 = 0 then cast(p_size + 1 as double) end as override_levels from part""")
 def overridden_levels(s, d):
     """Overrides written as CSV, read back and laid on the buildings."""
-    p, path = load(s, d, "part"), f"{shared_dir(s)}/overrides/{uuid.uuid4().hex}"
+    p, path = load(s, d, "part"), scratch(s, "overrides")
     rows = p.where("p_partkey % 13 = 0").select(F.lit("way").alias("osm_element"), F.col("p_partkey").alias("osm_id"), (F.col("p_size") + 1).alias("levels"), F.lit("seen").alias("source"))
-    rows.write.option("header", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).csv(path)
     b = p.select(F.lit("way").alias("element"), F.col("p_partkey").alias("id"))
     return heights.with_overrides(b, tables.overrides(s, path)).select("id", "override_levels")
 
@@ -286,7 +285,7 @@ def _store(s, d) -> tuple[str, DataFrame]:
     row = lambda stamp, share, rows: rows.select(F.lit(1).alias("radius_m"), F.lit(dt.date(2024, 6, 1)).alias("date"), F.lit(stamp).alias("stamp"), "u", "v", "key", share.alias("shade_fraction"))
     half = F.lit(0.5)
     parts = [row("06:00", half, e), row("06:20", half, e.where("u % 2 = 0")), row("06:40", F.when(F.col("u") % 7 == 0, 1.5).otherwise(0.25), e), row("08:00", half, e.withColumn("u", F.col("u") + 1_000_000_000))]
-    root = f"{shared_dir(s)}/scores/{uuid.uuid4().hex}"
+    root = scratch(s, "scores")
     scorestore.save(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), root)
     return root, e
 
@@ -343,4 +342,4 @@ def simplified_rings(s, d):
     return load(s, d, "supplier").select("s_suppkey", (F.size(files.simplified(ring)) - 1).alias("corners"))
 
 
-from heliospark import city_queries, layer_queries  # noqa: E402, F401  # they register themselves
+from heliospark import city_queries, day_queries, layer_queries  # noqa: E402, F401  # they register themselves

@@ -22,6 +22,13 @@ def street_entries(streets: DataFrame) -> DataFrame:
     return best.withColumn("m", line_at(F.col("coords"), 0.5)).select("name", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
 
 
+def index_rows(streets: DataFrame, buildings: DataFrame, venues: DataFrame | None = None) -> DataFrame:
+    """Rows for `entries` from tables of (pos, name, detail, lat, lon, aliases): streets before buildings before places, each in its own order, those without a name left out. Without a table of places the index has none."""
+    cols = ["pos", "name", "detail", "lat", "lon", "aliases"]
+    ranked = [t.where("name is not null").select(F.lit(i).alias("src_rank"), *cols) for i, t in enumerate((streets, buildings, venues)) if t is not None]
+    return reduce(DataFrame.unionByName, ranked)
+
+
 def entries(rows: DataFrame) -> DataFrame:
     """rows(src_rank, pos, name, detail, lat, lon, aliases) as index entries in order of preference: n, d, lat, lon, c, l."""
     w = Window.orderBy("src_rank", "pos")

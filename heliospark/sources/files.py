@@ -11,6 +11,8 @@ from heliospark.constants import COLLAPSE, KAZAKH_TO_RUSSIAN, LATIN, SIMPLIFY, S
 from heliospark.functions.geo import distance_to_segment, from_utm, let
 from heliospark.functions.tags import bounded_number
 
+#: The longest weather body and wait.
+MOST_WEATHER_BYTES, WEATHER_TIMEOUT_S = 128 * 1024, 3.0
 HOURLY = "hourly struct<time:array<string>,temperature_2m:array<double>,apparent_temperature:array<double>,cloud_cover:array<double>,precipitation:array<double>>"
 
 
@@ -52,6 +54,16 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r["value"] for r in spark.read.text(path).collect()) if fs.exists(p) else None
 
 
+def bounded_body(fetch, limit: int = MOST_WEATHER_BYTES, timeout_s: float = WEATHER_TIMEOUT_S) -> dict:
+    """The JSON object that fetch(timeout_s) gives as a readable binary file. A longer body than the limit and one that is no JSON are ValueErrors and a slow one the OSError that fetch raises, both of which policy.WeatherDays holds as failures; JSON of another kind is an empty object."""
+    with fetch(timeout_s) as f:
+        body = f.read(limit + 1)
+    if len(body) > limit:
+        raise ValueError(f"the body is longer than {limit} bytes")
+    out = json.loads(body)
+    return out if isinstance(out, dict) else {}
+
+
 def write_manifest(spark: SparkSession, path: str, date: str, times: list[str], layer: str, generated_at: str) -> None:
     write_text(spark, path, json.dumps({"date": date, "times": times, "layer": layer, "generated_at": generated_at}))
 
@@ -150,6 +162,30 @@ def drop_stale(spark: SparkSession, folder: str, written: list[str]) -> list[str
 FOLD_RULES = {"chars": KAZAKH_TO_RUSSIAN, "strip": STREET_WORDS, "translit": LATIN, "collapse": [list(p) for p in COLLAPSE]}
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """entries (entry, n, d, lat, lon, c, l) of what `index_json` wrote; a line that is no such object is an error when it is read."""
+    rows = spark.read.schema("entry long, n string, d string, p array<double>, c string, l string").option("mode", "FAILFAST").json(path)
+    return rows.select("entry", "n", "d", F.col("p")[0].alias("lat"), F.col("p")[1].alias("lon"), "c", "l")
+
+
+class Index:
+    """An index that is read when first asked for and then held; a failure is not held."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.held = spark, path, None
+
+    def entries(self) -> DataFrame:
+        if self.held is None:
+            held = read_index(self.spark, self.path).persist()
+            try:
+                held.count()
+            except Exception:
+                held.unpersist()
+                raise
+            self.held = held
+        return self.held
+
+
 def index_json(entries: DataFrame) -> DataFrame:
     """(value): one JSON object per entry with the short keys that clients read; the rules stand beside them in FOLD_RULES."""
-    return entries.orderBy("entry").select(F.to_json(F.struct("n", "d", F.array("lat", "lon").alias("p"), "c", "l")).alias("value"))
+    return entries.orderBy("entry").select(F.to_json(F.struct("entry", "n", "d", F.array("lat", "lon").alias("p"), "c", "l")).alias("value"))

@@ -34,6 +34,15 @@ def from_geojson(text: Column) -> Column:
     return F.when(kind.isin(TYPES) & rings.isNotNull(), F.struct(kind.alias("type"), rings.alias("rings")))
 
 
+def tagged(rows: DataFrame, text: str, tags: list[str]) -> DataFrame:
+    """Extracted features, a GeoJSON feature a row, as a table: element and id (of "way/12", or of @type and @id), the tags asked for (null where a feature has none), and its geometry. Rows that are no feature with a geometry are left out."""
+    at = lambda *path: F.get_json_object(text, "$" + "".join(f"['{p}']" for p in path))
+    name = F.coalesce(at("id"), at("properties", "@id"), at("properties", "id"))
+    element = F.coalesce(F.nullif(F.regexp_extract(name, "^([a-z]+)/[0-9]+$", 1), F.lit("")), at("properties", "@type"), at("properties", "element"))
+    number = F.nullif(F.regexp_extract(name, "([0-9]+)$", 1), F.lit("")).cast("long")
+    return rows.select(element.alias("element"), number.alias("id"), *[at("properties", t).alias(t) for t in tags], from_geojson(F.col(text)).alias("geometry")).where("geometry is not null")
+
+
 def _wkb(data: bytes | None) -> dict | None:
     if not data:
         return None

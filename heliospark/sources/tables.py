@@ -65,6 +65,11 @@ def canopy(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([], schema("canopy"))
 
 
+def write_canopy(canopy: DataFrame, folder: str, measured: bool) -> None:
+    """The crowns that `canopy` reads: measured ones, or those of the lattice."""
+    canopy.select(*schema("canopy").names).write.mode("overwrite").parquet(f"{folder}/canopy_{'measured' if measured else 'lattice'}")
+
+
 def overrides(spark: SparkSession, path: str) -> DataFrame:
     """(osm_element, osm_id, levels) from a CSV file; a key that stands twice is an error, and levels that are no number are dropped."""
     from heliospark.functions.tags import parse_numeric
@@ -102,13 +107,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, kind: str = "tables") -> str:
+    """A new path in the shared folder; what is written there goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, which ends its lineage. The folder goes with `dropped`, or when the JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    path = scratch(spark)
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.hs_path = path
     return out

@@ -117,3 +117,33 @@ def test_costs_and_policy(spark):
     pub = one(spark, exposure.public_preference(exposure.preference(F.lit(dt.date(2026, 10, 1)), F.lit(4.0), F.lit(0.0), F.lit(0.0))))[0].asDict()
     assert "alpha" not in pub and pub["provider"] == "forecast"
     assert one(spark, exposure.gain(F.lit(0.7), F.lit(0.4), F.lit("shade")), exposure.gain(F.lit(0.7), F.lit(0.4), F.lit("sun")), exposure.gain(F.lit(0.7), F.lit(0.4), F.lit("balanced"))) == (pytest.approx(0.3), pytest.approx(-0.3), 0.0)
+
+
+def test_points_inside(spark):
+    import math
+    import random
+
+    from heliospark.functions import geo
+
+    r = random.Random(3)
+    rows = []
+    for _ in range(60):
+        n = r.randint(3, 12)
+        star = [(math.cos(2 * math.pi * i / n) * (d := r.uniform(0.1, 9)), math.sin(2 * math.pi * i / n) * d) for i in range(n)]
+        rows.append(([star + star[:1]],))
+    rows.append(([[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)], [(1.0, 1.0), (8.0, 1.0), (8.0, 8.0), (1.0, 8.0), (1.0, 1.0)]],))
+    df = spark.createDataFrame(rows, "rings array<array<struct<x:double,y:double>>>").withColumn("p", geo.point_inside(F.col("rings")))
+    assert all(x["i"] for x in df.select(geo.in_rings(F.col("rings"), F.col("p.x"), F.col("p.y")).alias("i")).collect())
+    flat = spark.createDataFrame([([[(0.0, 1.0), (5.0, 1.0), (0.0, 1.0)]],)], "rings array<array<struct<x:double,y:double>>>")
+    assert flat.select(geo.point_inside(F.col("rings")).alias("p")).first()["p"] is None
+
+
+def test_daylight_of_many_dates(spark):
+    import datetime as dt
+
+    from heliospark.functions import solar
+
+    days = spark.createDataFrame([(dt.date(2026, 1, 5),), (dt.date(2026, 6, 21),), (None,)], "day date")
+    got = sorted((r["day"], r["minute"]) for r in solar.daylight(days, "day").collect())
+    want = sorted((r["day"], r["m"]) for r in days.where("day is not null").select("day", F.explode(solar.daylight_minutes(F.col("day"))).alias("m")).collect())
+    assert got == want and got

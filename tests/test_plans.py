@@ -309,3 +309,66 @@ def test_simplified_keeps_what_is_off_the_line(spark):
     notch = [(0, 0), (20, 0), (20, 3), (22, 3), (22, 0), (40, 0), (40, 40), (0, 40), (0, 0)]
     assert kept(notch) == notch
     assert kept([(0, 0), (0.2, 0), (0.2, 0.2), (0, 0)]) == [(0, 0), (0.2, 0), (0.2, 0.2), (0, 0)]
+
+
+def test_days(spark, tmp_path):
+    from heliospark.plans import days
+
+    e, n, s, c, ids = city(spark, ROUND, ROUND_STREETS, [720, 780], moving)
+    e = e.withColumn("key", F.lit(0))
+    date, root = dt.date(2026, 7, 1), str(tmp_path / "scores")
+    with pytest.raises(ValueError, match="daylight"):
+        days.assemble(spark, root, 5, date, e, [], "12:00")
+    with pytest.raises(FileNotFoundError, match="13:00"):
+        days.assemble(spark, root, 5, date, e, ["12:00", "13:00"], "12:50")
+    # nothing stored: one stamp, scored on the way, holds from end to end, at night too, and scores have gaps
+    one = days.assemble(spark, root, 5, date, e, ["12:00", "13:00"], "12:30", lambda stamp: s.where("stamp_idx = 0 and edge_id < 4").select("edge_id", "shade"))
+    assert one.stamps == ["12:00"]
+    for form in (1, search.BROADCAST_CELLS):
+        town = search.opened(e, n, one.shade, one.clock, form)
+        for minute in (720, 60):
+            walk = {r["kind"]: r["shade_fraction"] for r in routing.plan(ask(spark, ids, [("A", "C", 6, minute)]), town).collect()}
+            assert walk["route"] == 1.0
+    names = spark.createDataFrame([(0, "12:00"), (1, "13:00")], "stamp_idx int, stamp string")
+    rows = s.join(names, "stamp_idx").join(e, "edge_id").select(F.lit(5).alias("radius_m"), F.lit(date).alias("date"), "stamp", "u", "v", "key", F.col("shade").alias("shade_fraction"))
+    scorestore.save(rows, root)
+    whole = days.assemble(spark, root, 5, date, e, ["12:00", "13:00"], "12:00")
+    town = search.opened(e, n, whole.shade, whole.clock)
+    assert routing.plan(ask(spark, ids, [("A", "C", 6, 720)]), town).where("kind = 'route'").first()["shade_fraction"] == 0.75
+    # one stamp of the store, where another is missing
+    assert days.assemble(spark, root, 5, date, e, ["12:00", "13:00", "14:00"], "12:40").stamps == ["13:00"]
+
+
+def test_bodies(spark):
+    rows = ['{"date": "2026-09-13", "hour": 10, "minute": 20}', '{"date": "2026-09-13", "hour": 10, "minute": 20, "zeal": 1, "a": 2}', "[1]", "", None, '{"hour": 10}', '{"date": "13.9.2026", "hour": 10, "minute": 0}', '{"date": "2026-09-13", "hour": "x", "minute": 0}']
+    got = spark.createDataFrame([(r,) for r in rows], "b string").select(routing.body_refusal(F.col("b"), dt.date(2026, 9, 13)).alias("w")).collect()
+    no = "the body is no JSON object"
+    assert [r["w"] for r in got] == [None, "unknown field: a", no, no, no, "date is too far from today", "date is too far from today", "hour is outside 0 to 23"]
+
+
+def test_bounded_bodies():
+    import io
+
+    waits = []
+    fetch = lambda data: lambda wait: (waits.append(wait), io.BytesIO(data))[1]
+    assert files.bounded_body(fetch(b'{"a": 1}')) == {"a": 1} and waits == [3.0]
+    assert files.bounded_body(fetch(b"[1]")) == {}
+    assert files.bounded_body(fetch(b'"' + b"x" * 8 + b'"'), limit=10) == {}
+    with pytest.raises(ValueError, match="longer"):
+        files.bounded_body(fetch(b'"' + b"x" * 9 + b'"'), limit=10)
+    with pytest.raises(ValueError):
+        files.bounded_body(fetch(b"<html>"))
+
+
+def test_index_is_held_but_failures_are_not(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = files.Index(spark, path)
+    with pytest.raises(Exception):
+        index.entries()
+    spark.createDataFrame([("<html>",)], "value string").write.text(path)
+    with pytest.raises(Exception):
+        index.entries()
+    e = spark.createDataFrame([(0, "Ann", "Cafe", 51.0, 71.0, "ann", "ann")], "entry long, n string, d string, lat double, lon double, c string, l string")
+    files.index_json(e).write.mode("overwrite").text(path)
+    assert [tuple(r) for r in index.entries().collect()] == [(0, "Ann", "Cafe", 51.0, 71.0, "ann", "ann")]
+    assert index.entries() is index.entries()
