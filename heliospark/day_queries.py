@@ -148,8 +148,7 @@ def landmark_places(s, d):
     return numbered.select(F.col("id").cast("long").alias("id"), F.regexp_replace("name", " North$", "").alias("name"), mark.alias("landmark"), F.when(mark, F.col("icon")).alias("icon"), F.when(mark, F.col("priority")).alias("priority"), F.when(mark, F.col("min_zoom")).alias("min_zoom"))
 
 
-@query("""select p_partkey, x + t / 2 as px, y + h / 2 as py, not (cx between x and x + t) as centroid_outside from (select *, x + (w * t + t * (h - 2 * t) / 2 * t / w) / 1e9::double + w as cx
-    from (select p_partkey, p_partkey * 37 % 2003 as x, p_partkey * 53 % 1999 as y, p_size + 30.0::double as w, p_size + 40.0::double as h, 2.0::double as t from part))""")
+@query("""select p_partkey, x + t / 2 as px, y + h / 2 as py, true as centroid_outside from (select p_partkey, p_partkey * 37 % 2003 as x, p_partkey * 53 % 1999 as y, p_size + 40.0::double as h, 2.0::double as t from part)""")
 def inner_points(s, d):
     """A point inside of courts that are open to the east, where the centroid is not."""
     k = F.col("p_partkey")
