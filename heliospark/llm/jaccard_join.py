@@ -319,7 +319,9 @@ def link_forest(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> Da
     to = stored(placed(reps, percent))
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), to.count() // (BLOCK * 2) + 1)
     per_doc = stored(to.groupBy("doc_id", "fp", "fp2").agg(F.collect_list("block").alias("blocks")))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(per_doc), "doc_id").select("doc_id", "text", "fp", "fp2", "blocks")
+    # only ids are ever broadcast: their blocks are wide, grow with the input, and meet the few texts that are left in a shuffle
+    ids = small(stored(per_doc.select("doc_id").distinct()))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").join(per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "fp", "fp2", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Folders of the tables that `stored` has written and nobody has dropped.
 TABLES: list[str] = []
-#: Rows up to which keys are broadcast; they are counted first, and more of them meet the other side in a shuffle.
-BROADCAST_KEYS = 500_000
+#: Rows up to which keys are broadcast, some 20 MB of the driver's memory for ids; they are counted first, and more of them meet the other side in a shuffle.
+BROADCAST_KEYS = 250_000
 
 
 def small(keys: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from heliospark.llm import jaccard_join as J
-from tests.llm.helpers import docs_frame, hard_texts
+from tests.llm.helpers import docs_frame, hard_texts, word_soup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -115,3 +115,12 @@ def test_an_id_with_several_texts(spark):
         got = sorted(tuple(x) for x in J.report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).select("doc_id", "n_shingles", "component_id").collect())
         assert got == brute(rows, 4, 85)
     assert {x[2] for x in brute([(1, b), (1, a), (2, c)], 4, 85)} == {1}
+
+
+def test_only_ids_are_broadcast(spark, monkeypatch):
+    asked = []
+    small = J.small
+    monkeypatch.setattr(J, "small", lambda t: (asked.append(t.dtypes), small(t))[1])
+    docs = docs_frame(spark, [word_soup(i % 20, 60) for i in range(60)])
+    assert J.keep_one(docs).count() == 20
+    assert asked and all(len(t) == 1 and t[0][1] == "bigint" for t in asked)
