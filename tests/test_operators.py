@@ -290,3 +290,26 @@ def test_survey(spark):
         survey.answer(a, s, spark.createDataFrame([("way", 1, 81.0, "s")], a.schema))
     pos = spark.createDataFrame([("way", 9, 0), ("way", 7, 1), ("way", 5, 2)], "osm_element string, osm_id long, pos int")
     assert survey.resume_at(pos, a.select("osm_element", "osm_id").unionByName(s)).first()["pos"] == 2
+
+
+def test_nearest_of_many_at_few_places(spark):
+    """Copies at one place are neither met with each other nor lost, and work is of places."""
+    from heliospark.operators import near
+
+    s = [(i, float(i % 5), float(i % 3)) for i in range(3000)]
+    q = [(10_000 + i, float(i % 7), float(i % 2)) for i in range(400)] + [(1, None, 0.0), (2, 1e6, 0.0)]
+    sources, queries = spark.createDataFrame(s, "source_id long, sx double, sy double"), spark.createDataFrame(q, "query_id long, x double, y double")
+    got = {}
+    for r in near.nearest_k(queries, sources, 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["d2"], r["source_id"]))
+    assert set(got) == {i for i, x, _ in q if x is not None}
+    for i, x, y in q:
+        if x is not None:
+            want = sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in s)[:4]
+            assert sorted(got[i]) == [(n, d, j) for n, (d, j) in enumerate(want, 1)]
+    assert near._nearest_of_places(queries.select("x", "y").distinct(), sources, 4, None, [], None).count() == 4 * 15  # 14 places and the one afar
+    nodes = sources.select(F.col("source_id").alias("node_id"), (-F.col("source_id")).alias("pos"), F.col("sx").alias("x"), F.col("sy").alias("y"))
+    one = {r["point_id"]: r for r in near.nearest_one(queries.withColumnRenamed("query_id", "point_id"), nodes, 1.5).collect()}
+    for i, x, y in q:
+        best = min((((x - a) ** 2 + (y - b) ** 2, -j) for j, a, b in s if x is not None and (x - a) ** 2 + (y - b) ** 2 <= 2.25), default=None)
+        assert (one[i]["node_id"], one[i]["away"]) == ((-best[1], best[0] ** 0.5) if best else (None, None)) and (one[i]["reason"] is None) == bool(best)
