@@ -12,7 +12,7 @@ from heliospark.geo_queries import SUN_SQL, _store
 from heliospark.operators import advice, places, quality, survey
 from heliospark.plans import days, routing
 from heliospark.queries import DEPARTURES_SQL, STAMP_SQL, STAMPS, _departures, _mass, dbl, load, query
-from heliospark.sources import files, geometry, scorestore
+from heliospark.sources import files, geometry, scorestore, tables
 from heliospark.sources.tables import scratch
 
 _MINUTES = f"""d as (select distinct cast(o_orderdate as date) as day from orders), m as (select h * 60 + q as minute from range(24) h(h), (select unnest([0, 20, 40]) as q)),
@@ -156,7 +156,7 @@ def inner_points(s, d):
     at = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
     zero = F.lit(0.0)
     ring = F.array(at(zero, zero), at(w, zero), at(w, t), at(t, t), at(t, h - t), at(w, h - t), at(w, h), at(zero, h), at(zero, zero))
-    p = load(s, d, "part").select("p_partkey", ring.alias("ring"), geo.point_inside(F.array(ring)).alias("p"), geo.ring_centroid(ring).alias("c"))
+    p = tables.dealt(load(s, d, "part")).select("p_partkey", ring.alias("ring"), geo.point_inside(F.array(ring)).alias("p"), geo.ring_centroid(ring).alias("c"))
     return p.select("p_partkey", F.col("p.x").alias("px"), F.col("p.y").alias("py"), (~geo.in_ring(F.col("ring"), F.col("c.x"), F.col("c.y"))).alias("centroid_outside"))
 
 

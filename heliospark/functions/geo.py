@@ -95,7 +95,7 @@ def from_utm(x: Column, y: Column, zone: int = 42) -> Column:
 
 def ring_edges(ring: Column) -> Column:
     """Array of structs (a, b): a ring's edges, the closing one too; edges without length are left out."""
-    closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    closed = let(ring, lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1))))
     edges = let(closed, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), lambda i: F.struct(F.element_at(r, i).alias("a"), F.get(r, i).alias("b"))))
     return F.filter(edges, lambda e: e["a"] != e["b"])
 
@@ -122,6 +122,10 @@ def polygon_area(rings: Column) -> Column:
 
 def ring_centroid(ring: Column) -> Column:
     """Area centroid of an outer ring; of a flat one, the mean of its corners."""
+    return let(ring, _centroid)
+
+
+def _centroid(ring: Column) -> Column:
     o = F.element_at(ring, 1)
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
@@ -140,18 +144,22 @@ def ring_centroid(ring: Column) -> Column:
 
 
 def point_inside(rings: Column) -> Column:
-    """A point in a polygon, which the centroid of a bent one is not: the middle of the widest stretch inside on a level halfway between the corners around mid-height. Null for a polygon without height."""
-    ys = F.array_sort(F.array_distinct(F.transform(F.flatten(rings), lambda p: p["y"])))
-    half = (F.array_min(ys) + F.array_max(ys)) / 2
-    level = (F.array_max(F.filter(ys, lambda v: v <= half)) + F.array_min(F.filter(ys, lambda v: v > half))) / 2
-
-    def widest(y):
-        met = F.filter(F.flatten(F.transform(rings, ring_edges)), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
-        xs = F.array_sort(F.transform(met, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
-        spans = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 2, F.lit(2)), lambda i: F.struct((F.get(v, i + 1) - F.get(v, i)).alias("wide"), ((F.get(v, i) + F.get(v, i + 1)) / 2).alias("x")))
-        return F.struct(let(xs, lambda v: F.array_max(spans(v))["x"]).alias("x"), y.alias("y"))
-
-    return F.when(F.array_max(ys) > F.array_min(ys), let(level, widest))
+    """A point in a polygon, which the centroid of a bent one is not: the middle of the widest stretch inside on a level halfway between the corners around mid-height. Null for a polygon without height. The rings, their heights and the level are made once, however the rings are given."""
+
+    def of(rings):
+        def widest(y):
+            met = F.filter(F.flatten(F.transform(rings, ring_edges)), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+            xs = F.array_sort(F.transform(met, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
+            spans = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 2, F.lit(2)), lambda i: F.struct((F.get(v, i + 1) - F.get(v, i)).alias("wide"), ((F.get(v, i) + F.get(v, i + 1)) / 2).alias("x")))
+            return F.struct(let(xs, lambda v: F.array_max(spans(v))["x"]).alias("x"), y.alias("y"))
+
+        def among(ys):
+            level = lambda half: (F.array_max(F.filter(ys, lambda v: v <= half)) + F.array_min(F.filter(ys, lambda v: v > half))) / 2
+            return F.when(F.array_max(ys) > F.array_min(ys), let(let((F.array_min(ys) + F.array_max(ys)) / 2, level), widest))
+
+        return let(F.array_sort(F.array_distinct(F.transform(F.flatten(rings), lambda p: p["y"]))), among)
+
+    return let(rings, of)
 
 
 def in_ring(ring: Column, x: Column, y: Column) -> Column:

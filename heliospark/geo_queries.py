@@ -339,7 +339,7 @@ def simplified_rings(s, d):
     off = dbl(k % 9) / 10
     at = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
     ring = F.array(at(0, 0), at(10, off), at(20, -off), at(40, 0), at(40 - off, 20), at(40, 40), at(20, 40 + off), at(0, 40), at(0, 0))
-    return load(s, d, "supplier").select("s_suppkey", (F.size(files.simplified(ring)) - 1).alias("corners"))
+    return tables.dealt(load(s, d, "supplier")).select("s_suppkey", (F.size(files.simplified(ring)) - 1).alias("corners"))
 
 
 from heliospark import city_queries, day_queries, layer_queries  # noqa: E402, F401  # they register themselves

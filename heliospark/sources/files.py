@@ -89,7 +89,12 @@ def simplified(ring: Column, tolerance: float = SIMPLIFY) -> Column:
     """A closed ring without corners that lie within the tolerance of the line between kept ones (Douglas and Peucker).
 
     Each round looks at all stretches between kept corners at once and keeps the corner of each that is farthest off, if it
-    is too far; a ring of n corners needs at most n rounds, and one that no corner is kept of is returned as it is."""
+    is too far; a ring of n corners needs at most n rounds, and one that no corner is kept of is returned as it is. The ring is
+    made once, however it is given."""
+    return let(ring, lambda r: _simplified(r, tolerance))
+
+
+def _simplified(ring: Column, tolerance: float) -> Column:
     point = lambda i: F.element_at(ring, i + 1)
     last = F.size(ring) - 1
 

@@ -127,6 +127,11 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df over as many tasks as it has lots of rows: a table of few files is few tasks, however long each row takes."""
+    return df.repartition(df.count() // rows + 1)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of `stored` that nothing will read again."""
     for t in tables:

@@ -39,3 +39,18 @@ def test_samples_are_the_smallest_hashes(spark):
             want = sorted((i for i in range(5000) if i % 3 == k), key=lambda i: code[i])[:keep]
             assert sorted(r["id"] for r in got if r["c"] == name) == sorted(want)
         assert {r["id"] for r in quality.hash_sample(df, "id", keep).collect()} == set(sorted(range(5000), key=lambda i: code[i])[:keep])
+
+
+def test_a_ring_is_made_once(spark):
+    """Whatever makes a ring is named once, not again for each of its corners."""
+    from pyspark.sql import functions as F
+
+    from heliospark.functions import geo
+    from heliospark.sources import files
+
+    df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (0.0, 0.0)],)], "ring array<struct<x:double,y:double>>")
+    for made in (geo.point_inside(F.array("ring")), geo.ring_centroid(F.col("ring")), files.simplified(F.col("ring"))):
+        plan = df.select(made.alias("p"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("ring#") <= 2, plan.count("ring#")
+    row = df.select(geo.point_inside(F.array("ring")).alias("p"), geo.ring_centroid(F.col("ring")).alias("c"), F.size(files.simplified(F.col("ring"))).alias("n")).first()
+    assert (tuple(row["p"]), tuple(row["c"]), row["n"]) == ((2.0, 1.5), (2.0, 1.5), 5)
