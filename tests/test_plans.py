@@ -372,3 +372,33 @@ def test_index_is_held_but_failures_are_not(spark, tmp_path):
     files.index_json(e).write.mode("overwrite").text(path)
     assert [tuple(r) for r in index.entries().collect()] == [(0, "Ann", "Cafe", 51.0, 71.0, "ann", "ann")]
     assert index.entries() is index.entries()
+
+
+def test_landmarks_promise_no_more_than_is_left(spark):
+    """On a one-way loop with a dead end and a stamp that comes back, guided walks are those of the search without hints, and tables agree."""
+    ways = [("A", "B", 70.0), ("B", "C", 90.0), ("C", "D", 60.0), ("D", "A", 80.0), ("B", "D", 155.0), ("A", "E", 30.0), ("D", "F", 40.0), ("F", "A", 40.0)]
+    e = spark.createDataFrame([(i, *w) for i, w in enumerate(ways)], "edge_id long, u string, v string, length double")
+    n = spark.createDataFrame([(k, 0.0, 0.0) for k in "ABCDEF"], "node_id string, x double, y double")
+    shade = spark.createDataFrame([(t, i, (i * 3 + t * 5) % 7 / 8) for t in (0, 1) for i in range(len(ways))], "stamp_idx int, edge_id long, shade float")
+    clock = spark.createDataFrame([(m, 0 if m in (601, 604) else 1 if m in (602, 603) else 2) for m in range(1441)], "minute int, stamp_idx int")
+    town = search.City.of(e, n, shade, clock)
+    asked = [(f"{a}{b}{alpha}", a, b, float(alpha), 600.0) for a in "ABCDEF" for b in "ABCDEF" for alpha in (-6, 0, 4) if a != b]
+    at = {k: i for i, k in enumerate(town.nodes.tolist())}
+    for _, a, b, alpha, depart in asked:
+        least = town.least(alpha, town.clock, depart)
+        assert town.walk(town.prices(alpha), town.clock, at[a], at[b], depart, least=least) == town.walk(town.prices(alpha), town.clock, at[a], at[b], depart, guide=False)
+    r = spark.createDataFrame(asked, "req_id string, origin string, goal string, alpha double, depart double")
+    told = {x["req_id"]: (x["cost"], x["walked"]) for x in search.cheapest(r, town).collect()}
+    assert told == {x["req_id"]: (x["cost"], x["walked"]) for x in search.relax(r, e, shade, clock).collect()} and "EA0" not in told
+
+
+def test_searches_are_dealt_over_tasks(spark):
+    """A table of one file is one task; requests are dealt by their number, and long walks leave in several batches."""
+    n = 3 * search.REQUESTS
+    e = spark.createDataFrame([(0, 0, 1, 5.0), (1, 1, 0, 5.0)], "edge_id long, u long, v long, length double")
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 5.0, 0.0)], "node_id long, x double, y double")
+    clock = spark.range(1441).selectExpr("cast(id as int) as minute", "0 as stamp_idx")
+    town = search.City.of(e, nodes, spark.createDataFrame([(0, 0, 0.5)], "stamp_idx int, edge_id long, shade float"), clock)
+    asked = spark.range(0, n, 1, 1).selectExpr("id as req_id", "id % 2 as origin", "1 - id % 2 as goal", "1.0D as alpha", "0.0D as depart")
+    out = search.routes(asked, town)
+    assert out.rdd.getNumPartitions() == 4 and out.count() == 2 * n
