@@ -1,7 +1,7 @@
 """Unions and differences of polygons, of any number of them, tile by tile.
 
 Coordinates are rounded to UNIT. Parts are dealt to tiles; a tile of many edges is cut into
-four, sixteen and so on, by their number. In a tile the heights of
+four, sixteen and so on, by their number; of one that is cut often, the cells that lie whole in one solid part are known without a sweep (`covered`). In a tile the heights of
 all corners, crossings and border crossings cut its edges into slabs in which nothing crosses, and one sweep over all slabs at once
 counts from west to east how many solid and how many soft parts hold what lies between two edges (each part by the even-odd rule).
 Where that changes from one region to another is boundary: the slabs' edges, and along their heights what is in a region above and not below, or
@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from heliospark.functions import geo
 from heliospark.operators import rings as R
-from heliospark.operators.near import cells
+from heliospark.operators.near import cells, small
 from heliospark.sources.tables import dropped, stored
 
 #: Metres of a unit; metres of a tile's side, edges above which it is cut, and how often it may be.
 UNIT, TILE, MOST, CUTS = 1e-6, 64.0, 96, 5
+#: Cuts from which on cells that one part covers are left out, and how many of them lie along a tile's side.
+DEEP = 3
+CELLS = 1 << DEEP
 SOLID, SOFT = 1, 2
 OUT = "kind int, region int, path array<struct<x:bigint,y:bigint>>, upright boolean, line long, p0 long, p1 long, sign int"
 
@@ -197,10 +200,25 @@ def boundary(parts: DataFrame, tile: float = TILE, most: int = MOST) -> DataFram
     dealt = p.select("stamp", "part", F.size("es").alias("n"), "x0", "y0", "x1", "y1", F.explode(cells(*box, side)).alias("base"))
     depth = F.least(F.lit(CUTS), F.greatest(F.lit(0), F.ceil(F.log(F.sum("n") / float(most)) / math.log(4)))).cast("int")
     cuts = dealt.groupBy("stamp", "base").agg(depth.alias("cut"))
+    whole = stored(covered(p, side))
+    # of a tile that is cut often, the cells that one solid part covers need no sweep: what lies in them is not read further
+    masks = whole.withColumn("base", F.struct(*[F.floor(F.col(c) / CELLS).alias(c) for c in ("cx", "cy")])).groupBy("stamp", "base").agg(F.bit_or(_bit(F.col("cx"), F.col("cy"))).alias("mask"))
+    cuts = stored(cuts.join(masks, ["stamp", "base"], "left").withColumn("mask", F.when(F.col("cut") >= DEEP, F.coalesce("mask", F.lit(0)))))
     fine = F.call_function("shiftright", F.lit(side), F.col("cut")).cast("long")
     spans = [F.greatest(F.floor(F.col(f"{k}0") / fine), F.call_function("shiftleft", F.col(f"base.c{k}"), F.col("cut"))) for k in "xy"], [F.least(F.floor(F.col(f"{k}1") / fine), F.call_function("shiftleft", F.col(f"base.c{k}") + 1, F.col("cut")) - 1) for k in "xy"]
     within = F.flatten(F.transform(F.sequence(spans[0][0], spans[1][0]), lambda cx: F.transform(F.sequence(spans[0][1], spans[1][1]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-    dealt = dealt.join(cuts, ["stamp", "base"]).select("stamp", "part", "cut", F.explode(within).alias("c"))
+    dealt = dealt.join(small(cuts), ["stamp", "base"])
+    once = dealt.where("mask is null").select("stamp", "part", "cut", F.explode(within).alias("c"))
+    # the cells that are left of the others, and how often each of them is cut again
+    spans = [[F.greatest(F.floor(F.col(f"{k}0") / (side >> DEEP)), F.col(f"base.c{k}") * CELLS), F.least(F.floor(F.col(f"{k}1") / (side >> DEEP)), F.col(f"base.c{k}") * CELLS + CELLS - 1)] for k in "xy"]
+    open_ = F.filter(F.flatten(F.transform(F.sequence(*spans[0]), lambda cx: F.transform(F.sequence(*spans[1]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy"))))), lambda c: F.col("mask").bitwiseAND(_bit(c["cx"], c["cy"])) == 0)
+    left = stored(dealt.where("mask is not null").select("stamp", "part", "n", "x0", "y0", "x1", "y1", F.explode(open_).alias("c")))
+    again = F.least(F.lit(CUTS - DEEP), F.greatest(F.lit(0), F.ceil(F.log(F.sum("n") / float(most)) / math.log(4)))).cast("int")
+    left = left.join(left.groupBy("stamp", "c").agg(again.alias("more")), ["stamp", "c"])
+    part_of = lambda v: F.floor(v / F.call_function("shiftright", F.lit(side >> DEEP), F.col("more")))
+    spans = [[F.greatest(part_of(F.col(f"{k}0")), F.call_function("shiftleft", F.col(f"c.c{k}"), F.col("more"))), F.least(part_of(F.col(f"{k}1")), F.call_function("shiftleft", F.col(f"c.c{k}") + 1, F.col("more")) - 1)] for k in "xy"]
+    finer = F.flatten(F.transform(F.sequence(*spans[0]), lambda cx: F.transform(F.sequence(*spans[1]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    dealt = once.unionByName(left.select("stamp", "part", (F.col("more") + DEEP).alias("cut"), F.explode(finer).alias("c")))
     s = F.call_function("shiftright", F.lit(side), F.col("cut")).cast("long")
     tiled = dealt.select("stamp", "part", "cut", "c", (F.col("c.cx") * s).alias("tx0"), (F.col("c.cy") * s).alias("ty0"), s.alias("s")).join(p.select("part", "soft", "es"), "part")
     e = tiled.select("stamp", "part", "soft", "cut", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"), "tx0", "ty0", "s", F.explode("es").alias("e")).select("*", "e.*").drop("e")
@@ -219,19 +237,62 @@ def boundary(parts: DataFrame, tile: float = TILE, most: int = MOST) -> DataFram
         got.insert(0, "stamp", pdf["stamp"].iloc[0])
         return got.astype({c: "Int64" for c in ("line", "p0", "p1", "sign")} | {"upright": "boolean"})
 
+    # a covered cell is a square of the solid region: its sides, with the signs that a sweep gives
+    x, y, one = F.col("cx") * (side >> DEEP), F.col("cy") * (side >> DEEP), F.lit(side >> DEEP)
+    sign = lambda v: F.lit(v).alias("sign")
+    side_of = lambda upright, line, a, k: F.struct(F.lit(upright).alias("upright"), line.alias("line"), a.alias("p0"), (a + one).alias("p1"), sign(k))
+    of_tile = lambda c: F.floor(F.col(c) / CELLS)
+    squares = whole.withColumns({"bx": of_tile("cx"), "by": of_tile("cy")}).join(cuts.where("mask is not null").select("stamp", F.col("base.cx").alias("bx"), F.col("base.cy").alias("by")), ["stamp", "bx", "by"], "left_semi")
+    squares = squares.select("stamp", F.explode(F.array(side_of(True, x, y, -1), side_of(True, x + one, y, 1), side_of(False, y, x, 1), side_of(False, y + one, x, -1))).alias("q")).select("stamp", F.lit(SOLID).alias("region"), "q.*")
     made = stored(e.withColumn("bx0", F.floor(F.col("cx") / 4)).withColumn("by0", F.floor(F.col("cy") / 4)).groupBy("stamp", "cut", "bx0", "by0").applyInPandas(tiles, f"stamp {kinds}, {OUT}"))
     line = ["stamp", "region", "upright", "line", "seg"]
-    rim = made.where("kind = 1").withColumn("seg", F.floor((F.col("p0") + F.col("p1")) / 2 / side))
+    rim = made.where("kind = 1").select("stamp", "region", "upright", "line", "p0", "p1", "sign").unionByName(squares).withColumn("seg", F.floor((F.col("p0") + F.col("p1")) / 2 / side))
     turns = rim.select(*line, F.explode(F.array(F.struct(F.col("p0").alias("p"), F.col("sign").alias("d")), F.struct(F.col("p1").alias("p"), (-F.col("sign")).alias("d")))).alias("t")).groupBy(*line, "t.p").agg(F.sum("t.d").alias("d"))
     w = Window.partitionBy(*line).orderBy("p")
     net = turns.withColumn("sum", F.sum("d").over(w)).withColumn("to", F.lead("p").over(w)).where("sum != 0 and to is not null")
     at = lambda v: F.struct(F.when(F.col("upright"), F.col("line")).otherwise(F.col(v)).alias("x"), F.when(F.col("upright"), F.col(v)).otherwise(F.col("line")).alias("y"))
     sides = net.select("stamp", "region", F.when(F.col("sum") > 0, F.array(at("p"), at("to"))).otherwise(F.array(at("to"), at("p"))).alias("path"))
     out = R.link(made.where("kind = 0").select("stamp", "region", "path").unionByName(sides), ["stamp", "region"])
-    dropped(made, p)
+    dropped(made, p, whole, cuts, left)
     return out
 
 
+def _bit(cx, cy):
+    """A cell's bit among those of its tile."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(cx, F.lit(CELLS)) * CELLS + F.pmod(cy, F.lit(CELLS))).cast("int"))
+
+
+def covered(p: DataFrame, side: int) -> DataFrame:
+    """(stamp, cx, cy), distinct: the cells of side >> DEEP that lie whole in one solid convex part of p(stamp, soft, es, x0, y0, x1, y1).
+
+    In a row of cells a convex part covers what it holds of the row's lower and upper line, so no cell is tried that is not covered.
+    The ends are drawn in by two units for what is rounded."""
+    cell = side >> DEEP
+    turn = lambda e, f: (e["bx"] - e["ax"]).cast("double") * (f["by"] - f["ay"]).cast("double") - (e["by"] - e["ay"]).cast("double") * (f["bx"] - f["ax"]).cast("double")
+    n = F.size("es")
+    # one ring whose corners all turn the same way, and that goes round once: it rises and falls once
+    nexts = F.concat(F.slice("es", 2, n), F.slice("es", 1, 1))
+    turns = F.zip_with("es", nexts, turn)
+    joined = F.forall(F.zip_with("es", nexts, lambda e, f: (e["bx"] == f["ax"]) & (e["by"] == f["ay"])), lambda x: x)
+    rises = F.filter("es", lambda e: e["ay"] != e["by"])
+    changes = F.size(F.filter(F.zip_with(rises, F.concat(F.slice(rises, 2, n), F.slice(rises, 1, 1)), lambda e, f: (e["by"] > e["ay"]) != (f["by"] > f["ay"])), lambda x: x))
+    convex = joined & (F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0)) & (changes == 2)
+    row = F.explode(F.sequence(F.ceil(F.col("y0") / cell), F.floor(F.col("y1") / cell) - 1)).alias("cy")
+    rows = p.where(~F.col("soft") & (n > 2) & (F.floor(F.col("y1") / cell) - 1 >= F.ceil(F.col("y0") / cell)) & (F.col("x1") - F.col("x0") > cell)).where(convex).select("stamp", "es", row)
+
+    def at(y, up: bool):
+        """Where the edges that rise, or fall, cross a height: (least, most)."""
+        own = F.filter("es", lambda e: ((e["by"] > e["ay"]) if up else (e["by"] < e["ay"])) & (F.least(e["ay"], e["by"]) <= y) & (F.greatest(e["ay"], e["by"]) >= y))
+        xs = F.transform(own, lambda e: e["ax"] + (e["bx"] - e["ax"]) * ((y - e["ay"]) / (e["by"] - e["ay"])))
+        return F.array_min(xs), F.array_max(xs)
+
+    lower, upper = F.col("cy") * cell, (F.col("cy") + 1) * cell
+    ends = [at(y, up) for y in (lower, upper) for up in (True, False)]
+    (a, b), (c, d) = ([F.least(ends[i][0], ends[i + 1][0]), F.greatest(ends[i][1], ends[i + 1][1])] for i in (0, 2))
+    held = rows.select("stamp", "cy", F.ceil((F.greatest(a, c) + 2) / cell).alias("first"), (F.floor((F.least(b, d) - 2) / cell) - 1).alias("last"))
+    return held.where("last >= first").select("stamp", F.explode(F.sequence("first", "last")).alias("cx"), "cy").distinct()
+
+
 def layers(parts: DataFrame, tile: float = TILE, most: int = MOST) -> DataFrame:
     """(stamp, kind, ring, area): rings of the union of the solid parts, and of the soft parts' less the solid ones', of parts(stamp, soft, rings). Holes have a negative area."""
     b = boundary(parts, tile, most)

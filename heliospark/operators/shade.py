@@ -80,14 +80,33 @@ def shadow_polygons(casters: DataFrame, stamps: DataFrame) -> DataFrame:
 
 
 def swept_parts(casters: DataFrame, stamps: DataFrame) -> DataFrame:
-    """(stamp, soft, rings): the footprints and the bands of their leading edges, whose union is the shadow."""
-    parts = shadow_parts(casters, stamps)
+    """(stamp, soft, rings), whose union is the shadow: of a convex caster its shadow as one ring, of others the footprints and the bands of their leading edges."""
+    at = casters.withColumn("__edges", F.when(F.size("rings") == 1, geo.ring_edges(F.col("rings")[0]))).withColumn("__turn", _convex_turn(F.col("__edges")))
+    whole = at.where("__turn != 0").crossJoin(F.broadcast(stamps)).withColumn("v", shadow_vector(F.col("height_m"), F.col("altitude"), F.col("azimuth"))).where("v is not null")  # some dozens of stamps
+    v = F.col("v")
+    moved = lambda p: F.struct((p["x"] + v["dx"]).alias("x"), (p["y"] + v["dy"]).alias("y"))
+    leads = lambda e: ((e["b"]["x"] - e["a"]["x"]) * v["dy"] - (e["b"]["y"] - e["a"]["y"]) * v["dx"]) * F.col("__turn") < -EPS
+    ring = F.flatten(F.transform("__edges", lambda e: F.when(leads(e), F.array(moved(e["a"]), moved(e["b"]))).otherwise(F.array(e["a"], e["b"]))))
+    hulls = whole.select("stamp", F.col("height_source").isin(CANOPY_SOURCES).alias("soft"), F.array(ring).alias("rings"))
+    parts = shadow_parts(at.where("coalesce(__turn, 0) = 0").drop("__edges", "__turn"), stamps)
     b = F.col("band")
     corner = lambda e, v: F.struct((b["x"] + (b["ex"] if e else 0) + (b["vx"] if v else 0)).alias("x"), (b["y"] + (b["ey"] if e else 0) + (b["vy"] if v else 0)).alias("y"))
     swept = F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
     days = F.broadcast(stamps.where("altitude > 0").select("stamp"))  # some dozens of stamps
     feet = parts.where("band is null").drop("stamp").crossJoin(days).select("stamp", "soft", "rings")
-    return parts.where("band is not null").select("stamp", "soft", swept.alias("rings")).unionByName(feet)
+    return hulls.unionByName(parts.where("band is not null").select("stamp", "soft", swept.alias("rings"))).unionByName(feet)
+
+
+def _convex_turn(edges):
+    """1 if a ring of these edges is convex and runs against the clock, -1 if with it, else 0: all corners turn one way, and it rises and falls once."""
+    n = F.size(edges)
+    nexts = lambda a: F.concat(F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), F.slice(a, 1, 1))
+    turn = lambda e, f: (e["b"]["x"] - e["a"]["x"]) * (f["b"]["y"] - f["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (f["b"]["x"] - f["a"]["x"])
+    turns = F.zip_with(edges, nexts(edges), turn)
+    rises = F.filter(edges, lambda e: e["a"]["y"] != e["b"]["y"])
+    changes = F.size(F.filter(F.zip_with(rises, nexts(rises), lambda e, f: (e["b"]["y"] > e["a"]["y"]) != (f["b"]["y"] > f["a"]["y"])), lambda x: x))
+    once = (n > 2) & (changes == 2)
+    return F.when(once & F.forall(turns, lambda t: t > 0), 1.0).when(once & F.forall(turns, lambda t: t < 0), -1.0).otherwise(0.0)
 
 
 def shadow_layers(casters: DataFrame, stamps: DataFrame) -> DataFrame:

@@ -143,3 +143,13 @@ def test_layers_do_not_overlap_and_night_has_none(spark):
     assert total(rows, "solid") + total(rows, "soft") == pytest.approx(whole, abs=0.05)
     assert {r["kind"] for r in field(spark, casters[1:], [("a", ALTITUDE, AZIMUTH)])} == {"soft"}
     assert {r["kind"] for r in field(spark, casters[:1], [("a", ALTITUDE, AZIMUTH)])} == {"solid"}
+
+
+def test_cells_that_one_part_covers_are_known_without_a_sweep(spark):
+    """A square's inner cells are all found, a notched part has none, nor has a soft one."""
+    units = lambda ring: [tuple(round(v / overlay.UNIT) for v in (*a, *b)) for a, b in zip(ring, ring[1:], strict=False)]
+    square = [(-5.0, -5.0), (70.0, -5.0), (70.0, 70.0), (-5.0, 70.0), (-5.0, -5.0)]
+    notched = [(-5.0, -5.0), (70.0, -5.0), (70.0, 70.0), (30.0, 10.0), (-5.0, 70.0), (-5.0, -5.0)]
+    box = (-5_000_000, -5_000_000, 70_000_000, 70_000_000)
+    p = spark.createDataFrame([("a", False, units(square), *box), ("b", False, units(notched), *box), ("c", True, units(square), *box)], "stamp string, soft boolean, es array<struct<ax:long,ay:long,bx:long,by:long>>, x0 long, y0 long, x1 long, y1 long")
+    assert {(r["stamp"], r["cx"], r["cy"]) for r in overlay.covered(p, 64_000_000).collect()} == {("a", x, y) for x in range(8) for y in range(8)}
