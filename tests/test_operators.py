@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -313,3 +314,27 @@ def test_nearest_of_many_at_few_places(spark):
     for i, x, y in q:
         best = min((((x - a) ** 2 + (y - b) ** 2, -j) for j, a, b in s if x is not None and (x - a) ** 2 + (y - b) ** 2 <= 2.25), default=None)
         assert (one[i]["node_id"], one[i]["away"]) == ((-best[1], best[0] ** 0.5) if best else (None, None)) and (one[i]["reason"] is None) == bool(best)
+
+
+def test_far_sources_are_sought_by_halved_cells(spark):
+    """Places whose sources all lie far off: rings of cells around each place would be very many cells."""
+    rng = np.random.default_rng(5)
+    q = rng.integers(0, 600, (1000, 2))
+    along, across = rng.integers(0, 1010, 20000), rng.integers(1000, 1010, 20000)
+    src = np.where(np.arange(20000)[:, None] % 2 == 0, np.column_stack([along, across]), np.column_stack([across, along]))
+    kind = rng.integers(0, 2, 20000)
+    queries = spark.createDataFrame([(i, float(x), float(y), i % 3) for i, (x, y) in enumerate(q.tolist())], "query_id int, x double, y double, kind int")
+    sources = spark.createDataFrame([(i, float(x), float(y), c) for i, ((x, y), c) in enumerate(zip(src.tolist(), kind.tolist(), strict=True))], "source_id int, sx double, sy double, kind int")
+    began = time.time()
+    got = {}
+    for r in near.nearest_k(queries, sources, 4, on=["kind"]).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["source_id"], r["d2"]))
+    assert time.time() - began < 120
+    assert {i % 3 for i in got} == {0, 1}  # there is no source of the third class
+    for i in range(1000):
+        own = np.flatnonzero(kind == i % 3)
+        d2 = ((src[own] - q[i]) ** 2).sum(1)
+        first = np.lexsort((own, d2))[:4]
+        assert sorted(got.get(i, [])) == [(n + 1, own[j], d2[j]) for n, j in enumerate(first)]
+    most = near.nearest_k(queries, sources, 4, on=["kind"], most=550.0).collect()
+    assert sorted((r["query_id"], r["source_id"], r["d2"], r["rank"]) for r in most) == sorted((i, s, d, n) for i, rows in got.items() for n, s, d in rows if d <= 550.0**2)
