@@ -5,6 +5,8 @@ it in intervals; the union of these intervals is the covered length."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,13 @@ from heliospark.operators import overlay
 from heliospark.operators.near import cells, grid_join
 from heliospark.operators.rings import polygons
 from heliospark.sources.files import lon_lat, simplified
-from heliospark.sources.tables import stored
+from heliospark.sources.tables import dropped, stored
 
 EPS = 1e-9
+#: Parts of the first lot in its fullest cell, and the most lots.
+FIRST, LOTS = 512, 12
+SPAN = ["stamp", "edge_id", "piece", "soft", "t0", "t1"]
+BAND = "struct<x:double,y:double,ex:double,ey:double,vx:double,vy:double,fx:double,fy:double,gx:double,gy:double>"
 
 
 def shadow_parts(casters: DataFrame, stamps: DataFrame, leading: bool = True) -> DataFrame:
@@ -212,19 +218,34 @@ def score_streets(edges: DataFrame, casters: DataFrame, stamps: DataFrame) -> Da
     return score(edges, shadow_parts(stored(near_streets(casters, edges)), stamps), stamps)
 
 
-def score(edges: DataFrame, parts: DataFrame, stamps: DataFrame, cell: float = 128.0) -> DataFrame:
-    """(stamp, edge_id, shade) for edges(edge_id, coords) and every stamp: the share of an edge's own length in solid shadow, and CANOPY_OPACITY of that in soft shadow alone. Night is where stamps' altitude says so, or else a stamp without any part."""
+def score(edges: DataFrame, parts: DataFrame, stamps: DataFrame, cell: float = 128.0, first: int = FIRST) -> DataFrame:
+    """(stamp, edge_id, shade) for edges(edge_id, coords) and every stamp: the share of an edge's own length in solid shadow, and CANOPY_OPACITY of that in soft shadow alone. Night is where stamps' altitude says so, or else a stamp without any part.
+
+    Where shadows lie many times over each other, most add nothing. So parts are dealt to lots, each about a fourth of the next, of which the first
+    has some `first` parts in the fullest cell, and a lot meets only the gaps that those before it have left: a street in full shadow is done. Rings,
+    which are asked far slower than bands, come last."""
+    days = stamps.where("altitude > 0") if "altitude" in stamps.columns else stamps
+    if "band" not in parts.columns:
+        parts = parts.withColumn("band", F.lit(None).cast(BAND))
+    # a lot's number is by chance, and one higher in a fourth of the cases
+    chance = (F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 31)) + 1) / float(1 << 31)
+    parts = stored(parts.withColumn("lot", F.least(F.lit(LOTS), F.floor(-F.log(chance) / math.log(4))).cast("int")), "lot")
+    ringed = F.col("rings").isNotNull()
+    full = parts.groupBy(ringed.alias("ringed"), "stamp", "soft", F.floor(F.col("r_x0") / cell), F.floor(F.col("r_y0") / cell)).agg(F.count("*").alias("n")).groupBy("ringed").agg(F.max("n").alias("n")).orderBy("ringed").collect()  # two rows
     pieces = stored(street_pieces(edges))
-    size, days = F.col("size"), stamps.where("altitude > 0") if "altitude" in stamps.columns else stamps
-    span = lambda i: [F.col("stamp"), F.col("edge_id"), F.col("piece"), F.col("soft"), (i["t0"] * size).alias("t0"), (i["t1"] * size).alias("t1")]
-    whole_rings = grid_join(pieces, parts.where("rings is not null"), cell).withColumn("i", F.explode(inside(F.col("rings"), F.col("a"), F.col("b"))))
-    spans = whole_rings.where("stamp is not null").select(*span(F.col("i")))
-    if "band" in parts.columns:
-        # exploded, so that the interval is not asked for before the boxes are
-        met = grid_join(pieces, parts.where("band is not null"), cell).withColumns(band_shares(F.col("band"), F.col("a"), F.col("b")))
-        swept = met.withColumn("i", F.explode(F.array(in_band()))).where("i.t1 > i.t0").select(*span(F.col("i")))
-        feet = whole_rings.where("stamp is null").drop("stamp").crossJoin(F.broadcast(days.select("stamp"))).select(*span(F.col("i")))  # some dozens of stamps
-        spans = swept.unionByName(feet)
+    # a span without length at each piece's end, before which a gap may lie
+    end = F.col("size")
+    spans = stored(_grown(pieces.crossJoin(F.broadcast(days.select("stamp"))).select("stamp", "edge_id", "piece", F.lit(False).alias("soft"), end.alias("t0"), end.alias("t1"))))  # some dozens of stamps
+    for rings, most in full:
+        top = min(LOTS, max(0, math.ceil(math.log(most / first, 4))))
+        for k in range(top, -1, -1):
+            gaps = stored(_gaps(spans, pieces))
+            if not gaps.limit(1).count():
+                dropped(gaps)
+                break
+            lot = parts.where(ringed if rings else ~ringed).where(F.col("lot") >= top if k == top else F.col("lot") == k).drop("lot")
+            old, spans = spans, stored(_grown(spans.select(SPAN).unionByName((_ring_spans if rings else _band_spans)(gaps, lot, cell))))
+            dropped(gaps, old)
     sums = dark_lengths(spans).select("stamp", "edge_id", (F.col("solid") + CANOPY_OPACITY * (F.col("both") - F.col("solid"))).alias("dark"))
     if "altitude" in stamps.columns:
         night = stamps.where("not coalesce(altitude > 0, false)").select("stamp", F.lit(True).alias("night"))
@@ -234,3 +255,40 @@ def score(edges: DataFrame, parts: DataFrame, stamps: DataFrame, cell: float = 1
     all_rows = whole.crossJoin(F.broadcast(stamps.select("stamp").join(night, "stamp", "left")))  # some dozens of stamps
     shade = F.when(F.col("night"), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide("dark", "length"), F.lit(0.0))))
     return all_rows.join(sums, ["stamp", "edge_id"], "left").select("stamp", "edge_id", shade.cast("float").alias("shade"))
+
+
+def _span(i) -> list:
+    return [F.col("stamp"), F.col("edge_id"), F.col("piece"), F.col("soft"), (i["t0"] * F.col("size")).alias("t0"), (i["t1"] * F.col("size")).alias("t1")]
+
+
+def _band_spans(gaps: DataFrame, parts: DataFrame, cell: float) -> DataFrame:
+    """SPAN of the bands that meet the gaps of their kind, along the whole piece."""
+    # exploded, so that the interval is not asked for before the boxes are
+    met = grid_join(gaps, parts.drop("rings"), cell, ["stamp", "soft"]).withColumns(band_shares(F.col("band"), F.col("a"), F.col("b")))
+    return met.withColumn("i", F.explode(F.array(in_band()))).where("i.t1 > i.t0").select(*_span(F.col("i")))
+
+
+def _ring_spans(gaps: DataFrame, parts: DataFrame, cell: float) -> DataFrame:
+    """SPAN of the rings that meet the gaps of their kind, along the whole piece; what is of every stamp meets a piece once for all stamps at which it has gaps."""
+    parts, within = parts.drop("band"), F.explode(inside(F.col("rings"), F.col("a"), F.col("b")))
+    own = grid_join(gaps, parts.where("stamp is not null"), cell, ["stamp", "soft"]).withColumn("i", within).select(*_span(F.col("i")))
+    low, high = [F.min(c).alias(c) for c in ("x0", "y0")], [F.max(c).alias(c) for c in ("x1", "y1")]
+    of_all = gaps.groupBy("edge_id", "piece", "soft", "a", "b", "size").agg(F.collect_set("stamp").alias("at"), *low, *high)
+    feet = grid_join(of_all, parts.where("stamp is null").drop("stamp"), cell, ["soft"]).withColumn("i", within).withColumn("stamp", F.explode("at"))
+    return own.unionByName(feet.select(*_span(F.col("i"))))
+
+
+def _grown(spans: DataFrame) -> DataFrame:
+    """The spans that add to what those before them in their piece cover, all or solid, with how far that goes; what is left out adds nothing."""
+    w = Window.partitionBy("stamp", "edge_id", "piece").orderBy("t0", "t1", "soft").rowsBetween(Window.unboundedPreceding, -1)
+    ends = spans.select(*SPAN, F.coalesce(F.max("t1").over(w), F.lit(0.0)).alias("end_both"), F.coalesce(F.max(F.when(~F.col("soft"), F.col("t1"))).over(w), F.lit(0.0)).alias("end_solid"))
+    return ends.where((F.col("t1") > F.col("end_both")) | ~F.col("soft") & (F.col("t1") > F.col("end_solid")))
+
+
+def _gaps(spans: DataFrame, pieces: DataFrame) -> DataFrame:
+    """pieces with stamp and soft, once for each gap between spans, whose box is theirs: solid parts are asked for where no solid one lies, soft ones where none lies. Gaps of up to EPS are none."""
+    kinds = F.array(*(F.struct(F.lit(soft).alias("soft"), F.col(f"end_{end}").alias("g0"), F.when(F.lit(soft) | ~F.col("soft"), F.col("t0")).alias("g1")) for soft, end in ((True, "both"), (False, "solid"))))
+    gaps = spans.select("stamp", "edge_id", "piece", F.explode(kinds).alias("g")).select("stamp", "edge_id", "piece", "g.*").where(F.col("g1") - F.col("g0") > EPS)
+    at = lambda g, v: F.col(f"a.{v}") + (F.col(f"b.{v}") - F.col(f"a.{v}")) * (F.col(g) / F.col("size"))
+    box = [f(at("g0", v), at("g1", v)).alias(f"{v}{n}") for n, f in enumerate((F.least, F.greatest)) for v in "xy"]
+    return gaps.join(pieces.drop("x0", "y0", "x1", "y1"), ["edge_id", "piece"]).select("stamp", "soft", "edge_id", "piece", "a", "b", "size", *box)

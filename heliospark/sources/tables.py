@@ -117,11 +117,11 @@ def scratch(spark: SparkSession, kind: str = "tables") -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """df written to the shared folder and read back, which ends its lineage. The folder goes with `dropped`, or when the JVM ends."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.mode("overwrite").parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.hs_path = path
     return out

@@ -111,6 +111,23 @@ def test_swept_shadows_like_sampling(spark):
     assert shade.shadow_parts(casters, night).count() == 0
 
 
+def test_streets_meet_only_what_still_adds_shade(spark, monkeypatch):
+    """Lots give what all parts at once give, and where shadows lie many times over each other few of them meet a street."""
+    r = random.Random(5)
+    houses = [(box(x, y, x + r.uniform(8, 20), y + r.uniform(8, 20)), r.uniform(9, 20), r.choice(["tag", "tag", "canopy_model"])) for x, y in ((r.uniform(0, 60), r.uniform(0, 60)) for _ in range(300))]
+    houses += [(box(x, 100, x + 5, 105), 4.0, h) for x, h in ((0, "tag"), (3, "canopy_model"), (20, "canopy_model"))]
+    casters = spark.createDataFrame(houses, f"rings {RINGS}, height_m double, height_source string")
+    lines = [((5, 5), (50, 20)), ((30, 60), (30, 2)), ((-40, 10), (60, 12)), ((-5, 102), (40, 103)), ((60, 60), (80, 90)), ((3, 3), (3, 3))]
+    e = spark.createDataFrame([(i, [pt(*a), pt(*b)]) for i, (a, b) in enumerate(lines)], f"edge_id long, coords {LINE}")
+    stamps = spark.createDataFrame([("a", 45.0, 134.3), ("c", -1.0, 0.0)], "stamp string, altitude double, azimuth double")
+    joined, met = shade.grid_join, []
+    monkeypatch.setattr(shade, "grid_join", lambda *a: (out := joined(*a), met.append(out.count()))[0])
+    got = [{(x["stamp"], x["edge_id"]): x["shade"] for x in shade.score(e, shade.shadow_parts(casters, stamps), stamps, first=n).collect()} for n in (1 << 40, 48)]
+    assert got[0] == pytest.approx(got[1], abs=1e-6) and len(got[0]) == 12
+    assert got[0]["a", 0] == 1.0 and 0 < got[0]["a", 2] < 1 and 0 < got[0]["a", 3] < 1 and got[0]["c", 4] == 1.0
+    assert len(met) > 6 and sum(met[3:]) < sum(met[:3]) / 2
+
+
 def table_of(spark, times):
     rows = [(i, int(t[:2]) * 60 + int(t[3:])) for i, t in enumerate(times)]
     return {r["minute"]: r["stamp_idx"] for r in walks.clock_table(spark.createDataFrame(rows, "stamp_idx int, minute int")).collect()}
