@@ -35,5 +35,5 @@ def buffered(shapes: DataFrame, radius: float, quarter: int = 4, closed: bool =
     parts = strips.unionByName(joins).select(F.col("id").alias("stamp"), F.lit(False).alias("soft"), F.array("ring").alias("rings"))
     if closed:
         parts = parts.unionByName(shapes.select(F.col("id").alias("stamp"), F.lit(False).alias("soft"), "rings"))
-    merged = overlay.layers(parts).select("stamp", "ring", "area")
+    merged = overlay.layers_each(parts).select("stamp", "ring", "area")
     return R.polygons(merged, ["stamp"]).select(F.col("stamp").alias("id"), "rings")

@@ -32,6 +32,8 @@ UNIT, TILE, MOST, CUTS = 1e-6, 64.0, 96, 5
 #: Cuts from which on cells that one part covers are left out, and how many of them lie along a tile's side.
 DEEP = 3
 CELLS = 1 << DEEP
+#: Edges of a stamp that is a tile of its own, how far in metres it may go (the square of that in units is far below the largest whole number), and how many of them a task takes.
+FEW, REACH, EACH = 512, 500.0, 1_000
 SOLID, SOFT = 1, 2
 OUT = "kind int, region int, path array<struct<x:bigint,y:bigint>>, upright boolean, line long, p0 long, p1 long, sign int"
 
@@ -295,11 +297,52 @@ def covered(p: DataFrame, side: int) -> DataFrame:
 
 def layers(parts: DataFrame, tile: float = TILE, most: int = MOST) -> DataFrame:
     """(stamp, kind, ring, area): rings of the union of the solid parts, and of the soft parts' less the solid ones', of parts(stamp, soft, rings). Holes have a negative area."""
-    b = boundary(parts, tile, most)
-    straight = b.select("stamp", F.when(F.col("region") == SOLID, "solid").otherwise("soft").alias("kind"), R.straightened(F.col("path")).alias("path"))
+    return _measured(boundary(parts, tile, most))
+
+
+def _measured(b: DataFrame) -> DataFrame:
+    # stored, or a filter by area would put the straightening of a path in place of each of its corners
+    straight = stored(b.select("stamp", F.when(F.col("region") == SOLID, "solid").otherwise("soft").alias("kind"), R.straightened(F.col("path")).alias("path")))
     return straight.where("size(path) > 3").select("stamp", "kind", R.in_metres(F.col("path"), UNIT).alias("ring"), (R.signed_area(F.col("path")) * UNIT * UNIT).alias("area"))
 
 
+def layers_each(parts: DataFrame, few: int = FEW, reach: float = REACH) -> DataFrame:
+    """layers() of very many stamps, most of which have few parts near each other: a stamp of up to `few` edges that goes no farther than `reach` is a tile
+    of its own, whose chains are whole rings, and a task sweeps some EACH of them. The others are cut into tiles as ever."""
+    parts = stored(parts)
+    points = F.flatten("rings")
+    over = lambda k, f: f(F.transform(points, lambda q: q[k]))
+    of = parts.select("stamp", F.size(points).alias("n"), *[over(k, f).alias(f"{k}{i}") for k in "xy" for i, f in enumerate((F.array_min, F.array_max))])
+    box = of.groupBy("stamp").agg(F.sum("n").alias("n"), *[f(f"{k}{i}").alias(f"{k}{i}") for k in "xy" for i, f in enumerate((F.min, F.max))])
+    own = stored(box.where((F.col("n") <= few) & (F.col("x1") - F.col("x0") <= reach) & (F.col("y1") - F.col("y0") <= reach)).select("stamp"))
+    to_unit = lambda v: F.round(v / UNIT).cast("long")
+    edges = F.transform(geo.rings_edges(F.col("rings")), lambda e: F.struct(to_unit(e["a"]["x"]).alias("ax"), to_unit(e["a"]["y"]).alias("ay"), to_unit(e["b"]["x"]).alias("bx"), to_unit(e["b"]["y"]).alias("by")))
+    e = parts.join(own, "stamp", "left_semi").withColumn("part", F.monotonically_increasing_id()).select("stamp", "part", "soft", F.explode(edges).alias("e")).select("stamp", "part", "soft", "e.*").where("ay != by")
+    e = e.withColumn("lot", F.pmod(F.xxhash64("stamp"), F.lit(own.count() // EACH + 1)))
+
+    def tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+        stamp, _ = pd.factorize(pdf["stamp"])
+        order = np.argsort(stamp, kind="stable")
+        part, soft, at = pdf["part"].to_numpy()[order], pdf["soft"].to_numpy(bool)[order], pdf[["ax", "ay", "bx", "by"]].to_numpy(np.int64)[order]
+        starts = runs([stamp[order]])
+        rows, out = [], []
+        for i, j in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+            x, y = at[i:j, [0, 2]], at[i:j, [1, 3]]
+            # wider than the parts, so that nothing lies on its border
+            cut, _ = sweep(np.unique(part[i:j], return_inverse=True)[1], soft[i:j], at[i:j], (x.min() - 1, y.min() - 1, x.max() + 1, y.max() + 1))
+            got = chains(cut)
+            rows += [order[i]] * len(got)
+            out += [(region, [{"x": a, "y": b} for a, b in path]) for region, path in got]
+        found = pd.DataFrame(out, columns=["region", "path"])
+        found.insert(0, "stamp", pdf["stamp"].to_numpy()[rows])
+        return found
+
+    kind = parts.schema["stamp"].dataType.simpleString()
+    small_ones = stored(e.groupBy("lot").applyInPandas(tiles, f"stamp {kind}, region int, path {R.PATH}"))
+    rest = parts.join(own, "stamp", "left_anti")
+    return _measured(small_ones.unionByName(boundary(rest).select("stamp", "region", "path")) if rest.limit(1).count() else small_ones)
+
+
 def union(polygons: DataFrame) -> DataFrame:
     """(rings) of the union of polygons(rings): outer rings with their holes."""
     merged = layers(polygons.select(F.lit(0).alias("stamp"), F.lit(False).alias("soft"), "rings"))

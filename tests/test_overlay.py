@@ -153,3 +153,17 @@ def test_cells_that_one_part_covers_are_known_without_a_sweep(spark):
     box = (-5_000_000, -5_000_000, 70_000_000, 70_000_000)
     p = spark.createDataFrame([("a", False, units(square), *box), ("b", False, units(notched), *box), ("c", True, units(square), *box)], "stamp string, soft boolean, es array<struct<ax:long,ay:long,bx:long,by:long>>, x0 long, y0 long, x1 long, y1 long")
     assert {(r["stamp"], r["cx"], r["cy"]) for r in overlay.covered(p, 64_000_000).collect()} == {("a", x, y) for x in range(8) for y in range(8)}
+
+
+def test_many_small_stamps_are_tiles_of_their_own(spark):
+    """Stamps with few parts are swept whole, others in tiles: rings and areas are those of layers()."""
+    import random
+
+    r = random.Random(2)
+    ring = lambda x, y, a, b: [[{"x": float(x), "y": float(y)}, {"x": x + a, "y": float(y)}, {"x": x + a, "y": y + b}, {"x": float(x), "y": y + b}, {"x": float(x), "y": float(y)}]]
+    rows = [(k, k % 2 == 1 and j == 0, ring(r.randint(-90, 90), r.randint(-90, 90), r.uniform(5, 60), r.uniform(5, 60))) for k in range(6) for j in range(5)]
+    rows += [(9, False, ring(0, 0, 700.0, 5.0)), (9, False, ring(3, 3, 5.0, 700.0))]
+    parts = spark.createDataFrame(rows, "stamp long, soft boolean, rings array<array<struct<x:double,y:double>>>")
+    got, want = ({(x["stamp"], x["kind"]): x["a"] for x in f(parts).groupBy("stamp", "kind").agg({"area": "sum"}).withColumnRenamed("sum(area)", "a").collect()} for f in (overlay.layers_each, overlay.layers))
+    assert {k[0] for k in got} == {0, 1, 2, 3, 4, 5, 9} and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-3 for k in want)
