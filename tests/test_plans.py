@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,3 +403,36 @@ def test_searches_are_dealt_over_tasks(spark):
     asked = spark.range(0, n, 1, 1).selectExpr("id as req_id", "id % 2 as origin", "1 - id % 2 as goal", "1.0D as alpha", "0.0D as depart")
     out = search.routes(asked, town)
     assert out.rdd.getNumPartitions() == 4 and out.count() == 2 * n
+
+
+def test_a_network_takes_the_driver_some_bytes_an_edge(spark):
+    """Arrays, not rows and lists of Python objects: it is measured in what Python allocates."""
+    import tracemalloc
+
+    wide, n = 60, 3_600
+    nodes = spark.range(n).selectExpr("id as node_id", f"id % {wide} * 10.0D as x", f"floor(id / {wide}) * 10.0D as y")
+    edges = nodes.selectExpr("node_id as u", f"explode(array(node_id + 1, node_id - 1, node_id + {wide}, node_id - {wide})) as v").where(f"v between 0 and {n - 1}")
+    edges = edges.toPandas().assign(edge_id=lambda e: np.arange(len(e)), length=lambda e: 10.0 + (e["u"] * e["v"]) % 7)
+    made = spark.createDataFrame(edges).select("edge_id", "u", "v", "length").localCheckpoint()
+    shade_of = made.selectExpr("explode(sequence(0, 5)) as stamp_idx", "edge_id", "cast((u + v) % 5 / 4 as float) as shade").localCheckpoint()
+    clock = spark.range(1441).selectExpr("cast(id as int) as minute", "cast(least(id / 200, 6) as int) as stamp_idx")
+    tracemalloc.start()
+    town = search.City.of(made, nodes, shade_of, clock)
+    marks = town.landmarks()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400 * len(edges), most / len(edges)
+    assert town.shade.shape == (7, len(edges)) and (town.shade[6] == 1).all() and np.array_equal(town.shade[2], ((edges["u"] + edges["v"]) % 5 / 4).to_numpy(np.float32))
+    # lengths by rounds over all edges
+    there, at = marks[0][0], int(np.argmin(marks[0][0]))
+    far = np.full(n, np.inf)
+    far[at] = 0.0
+    while True:
+        new = far.copy()
+        np.minimum.at(new, edges["v"].to_numpy(), far[edges["u"].to_numpy()] + edges["length"].to_numpy())
+        if np.array_equal(new, far):
+            break
+        far = new
+    assert np.allclose(there, far, rtol=1e-12)
+    with pytest.raises(ValueError, match="not there"):
+        search.City.of(made, nodes.where("node_id != 7"), shade_of, clock)
