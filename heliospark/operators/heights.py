@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliospark.constants import LEVEL_HEIGHT, MIN_GROUP, NEIGHBOURS
-from heliospark.operators.near import nearest_k, small
+from heliospark.operators.near import nearest_k, sided, small
 
 
 def level_priors(known: DataFrame, least: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
@@ -23,7 +23,7 @@ def neighbour_levels(buildings: DataFrame, k: int = NEIGHBOURS, size: float | No
 
     def medians(q: DataFrame, s: DataFrame, on: list[str]) -> DataFrame:
         near = nearest_k(q, s.drop("levels"), k, size, on)
-        return near.join(s.select("source_id", "levels"), "source_id").groupBy("query_id").agg(F.median("levels").alias("neighbour_levels"))
+        return near.join(sided(s.select("source_id", "levels"), s.count()), "source_id").groupBy("query_id").agg(F.median("levels").alias("neighbour_levels"))
 
     same = medians(want.where("bin is not null"), have.where("bin is not null"), ["bin"])
     left = want.join(same, "query_id", "left_anti").drop("bin")

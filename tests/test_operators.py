@@ -355,3 +355,28 @@ def test_far_sources_are_sought_by_halved_cells(spark):
         assert sorted(got.get(i, [])) == [(n + 1, own[j], d2[j]) for n, j in enumerate(first)]
     most = near.nearest_k(queries, sources, 4, on=["kind"], most=550.0).collect()
     assert sorted((r["query_id"], r["source_id"], r["d2"], r["rank"]) for r in most) == sorted((i, s, d, n) for i, rows in got.items() for n, s, d in rows if d <= 550.0**2)
+
+
+def test_many_rows_in_small_files_are_not_broadcast(spark, monkeypatch):
+    """Places of few different numbers take little space on disk, and much as rows on the driver."""
+    from heliospark.sources import tables
+
+    plans, store = [], tables.stored
+
+    def recorded(df, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, *by)
+
+    monkeypatch.setattr(tables, "stored", recorded)
+    monkeypatch.setattr(near, "BROADCAST_ROWS", 20)
+    q = spark.range(300).selectExpr("id as query_id", "id % 20 * 1.0D as x", "floor(id / 20) * 1.0D as y", "id % 2 as c")
+    s = spark.range(300).selectExpr("id as source_id", "id % 20 * 1.0D + 400 as sx", "floor(id / 20) * 1.0D as sy", "id % 2 as c")
+    found = near.nearest_k(q, s, 2, on=["c"])
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) > 4 and not [p for p in joins if "BroadcastHashJoin" in p]
+    got = {(r["query_id"], r["rank"]): r["source_id"] for r in found.collect()}
+    both = sorted(s.collect(), key=lambda r: r["source_id"])
+    for r in q.where("query_id % 37 = 0").collect():
+        best = sorted(((r["x"] - t["sx"]) ** 2 + (r["y"] - t["sy"]) ** 2, t["source_id"]) for t in both if t["c"] == r["c"])[:2]
+        assert [got[r["query_id"], 1], got[r["query_id"], 2]] == [i for _, i in best]
